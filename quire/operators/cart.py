@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import exprs as X
 from quire.operators.catalog import resolve
-from quire.operators.skew import salted_join
+from quire.operators.skew import durable, salted_join
 
 KEY = ["user_id", "book_id"]
 COLUMNS = (
@@ -172,7 +172,7 @@ def add_to_cart(cart: DataFrame, books: DataFrame, commands: DataFrame) -> CartC
 def _owned(commands: DataFrame, cart: DataFrame) -> DataFrame:
     """Commands whose cart row belongs to their user."""
     rows = cart.select(F.col("id").alias("cart_item_id"), "user_id")
-    return salted_join(commands, rows, ["cart_item_id", "user_id"], "left_semi", "cmd_id")
+    return commands.join(rows, ["cart_item_id", "user_id"], "left_semi")
 
 
 def _results(commands: DataFrame, hits: DataFrame, bad: Column) -> DataFrame:
@@ -228,8 +228,9 @@ def fold_commands(cart: DataFrame, books: DataFrame, commands: DataFrame) -> Dat
     adds = (
         resolve_adds(commands.filter(F.col("op") == "add"), books)
         .filter(F.col("status") == OK)
-        .select("cmd_id", "user_id", F.col("item.book_id").alias("book_id"), "op", "ts", "qty", "item")
+        .select("cmd_id", "user_id", F.col("item.book_id").alias("book_id"), "ts", "qty", "item")
     )
+    adds = durable(adds)  # read twice below
     others = (
         commands.filter(F.col("op").isin("set", "remove"))
         .select("cmd_id", "user_id", X.text_or_null("book_id").alias("book_id"), "op", "ts",

@@ -39,7 +39,7 @@ def validate(cart: DataFrame, requests: DataFrame) -> DataFrame:
     """Per request: ids asked for, ids that are the user's, and the status before
     any conflict between requests."""
     rows = cart.select("id", "user_id", F.lit(1).alias("_own"))
-    checked = salted_join(_pairs(requests), rows, ["id", "user_id"], "left", "request_id")
+    checked = _pairs(requests).join(rows, ["id", "user_id"], "left")
     found = checked.groupBy("request_id").agg(F.count("_own").alias("_found"))
     asked = F.size(X.distinct_ids("cart_item_ids"))
     matched = F.coalesce("_found", F.lit(0)).cast("int")
@@ -71,16 +71,21 @@ def _one_round(open_pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return winners, open_pairs.join(out, "request_id", "left_anti")
 
 
-def _in_turn(pairs: pd.DataFrame) -> pd.DataFrame:
-    """Serve one user's requests one after another."""
-    taken: set[str] = set()
-    won = []
-    for (_, request_id), group in pairs.groupby(["ts", "request_id"], sort=True):
-        ids = set(group["id"])
-        if taken.isdisjoint(ids):
-            taken |= ids
-            won.append(request_id)
-    return pd.DataFrame({"request_id": pd.Series(won, dtype="object")})
+def _serve_in_turn(pairs: DataFrame) -> DataFrame:
+    """Winners when each user's requests are served one after another."""
+
+    def one_user(rows: pd.DataFrame) -> pd.DataFrame:  # nested, so that workers get it by value
+        taken: set[str] = set()
+        won = []
+        for (_, request_id), group in rows.groupby(["ts", "request_id"], sort=True):
+            ids = set(group["id"])
+            if taken.isdisjoint(ids):
+                taken |= ids
+                won.append(request_id)
+        return pd.DataFrame({"request_id": pd.Series(won, dtype="object")})
+
+    rows = pairs.select("user_id", "request_id", "ts", "id")
+    return rows.groupBy("user_id").applyInPandas(one_user, "request_id string")
 
 
 def _rounds(pairs: DataFrame, limit: int) -> Iterator[DataFrame]:
@@ -90,8 +95,7 @@ def _rounds(pairs: DataFrame, limit: int) -> Iterator[DataFrame]:
         if n == 0:
             return
         if n <= limit:
-            by_user = pairs.select("user_id", "request_id", "ts", "id").groupBy("user_id")
-            yield by_user.applyInPandas(_in_turn, "request_id string")
+            yield _serve_in_turn(pairs)
             return
         winners, pairs = _one_round(pairs)
         yield durable(winners)

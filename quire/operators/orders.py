@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import exprs as X
 from quire.operators.cart import INVALID, NOT_FOUND, OK
-from quire.operators.skew import nest, salted_join
+from quire.operators.skew import hot_keys, nest, salted_join
 
 RECENT_ORDERS = 3  # fixed value
 ITEM_FIELDS = (
@@ -30,7 +30,7 @@ def items_with_cover(items: DataFrame, books: DataFrame) -> DataFrame:
     """Order lines with the book's cover where their own is empty, and the fields a
     reader of the history sees."""
     covers = books.select("book_id", F.col("cover").alias("_cover"))
-    joined = salted_join(items, covers, ["book_id"], "left", "id")
+    joined = items.join(covers, "book_id", "left")
     return joined.withColumns(
         {
             "cover": X.cover_or_fallback("cover", "_cover"),
@@ -51,23 +51,22 @@ def _newest_first() -> list[Column]:
     return [F.col("created_at").desc_nulls_first(), F.col("id").desc()]
 
 
+def _lines_of(orders: DataFrame, items: DataFrame) -> DataFrame:
+    return items.join(orders.select(F.col("id").alias("order_id")), "order_id", "left_semi")
+
+
 def history_lines(
     orders: DataFrame, items: DataFrame, books: DataFrame, users: DataFrame | None = None
 ) -> DataFrame:
     """Flat history: one row per order line, one row with NULL line fields for an
     order without lines."""
     chosen = _of_users(orders, users)
-    shown = items
-    if users is not None:
-        keys = chosen.select(F.col("id").alias("order_id"))
-        shown = salted_join(items, keys, ["order_id"], "left_semi", "id")
+    shown = items if users is None else _lines_of(chosen, items)
     lines = items_with_cover(shown, books).withColumnRenamed("id", "item_id")
     heads = chosen.select(F.col("id").alias("order_id"), "user_id", "total_amount", "status",
                           F.col("created_at").alias("purchase_date"))
     bare = heads.join(shown.select("order_id").distinct(), "order_id", "left_anti")
-    return salted_join(lines, heads, ["order_id"], "inner", "item_id").unionByName(
-        bare, allowMissingColumns=True
-    )
+    return lines.join(heads, "order_id").unionByName(bare, allowMissingColumns=True)
 
 
 def order_history(
@@ -79,12 +78,10 @@ def order_history(
 ) -> DataFrame:
     """Order documents with nested lines, newest first per user."""
     chosen = _of_users(orders, users)
-    shown = items
-    if users is not None:
-        keys = chosen.select(F.col("id").alias("order_id"))
-        shown = salted_join(items, keys, ["order_id"], "left_semi", "id")
+    shown = items if users is None else _lines_of(chosen, items)
     lines = items_with_cover(shown, books)
-    nested = nest(lines, ["order_id"], [F.col("id")], F.struct(*ITEM_FIELDS), "items", "id", max_items)
+    item = F.struct(*ITEM_FIELDS)
+    nested = nest(lines, ["order_id"], [F.col("id")], item, "items", "id", max_items, counted=items)
     item_type = nested.schema["items"].dataType
     return (
         chosen.join(nested.withColumnRenamed("order_id", "id"), "id", "left")
@@ -156,9 +153,7 @@ def recent_purchases(orders: DataFrame, items: DataFrame, count: int = RECENT_OR
     """
     by_user = Window.partitionBy("user_id").orderBy(*_newest_first())
     latest = orders.withColumn("rank", F.row_number().over(by_user)).filter(F.col("rank") <= count)
-    wanted = latest.select(F.col("id").alias("order_id"))
-    lines = salted_join(items, wanted, ["order_id"], "left_semi", "id")
-    amounts = charges(latest, lines).select("id", F.col("total").alias("amount"), "item_count")
+    amounts = charges(latest, _lines_of(latest, items)).select("id", F.col("total").alias("amount"), "item_count")
     return latest.join(amounts, "id").select("user_id", "rank", "id", "created_at", "amount", "item_count")
 
 
@@ -175,14 +170,13 @@ def purchase_counts(orders: DataFrame, items: DataFrame) -> DataFrame:
 def _own_lines(commands: DataFrame, items: DataFrame, orders: DataFrame, keys: list[str]) -> DataFrame:
     """Commands joined to the lines they name in orders of their user."""
     lines = items.select(F.col("id").alias("order_item_id"), "order_id")
-    named = salted_join(commands, lines, keys, "inner", "cmd_id")
     owners = orders.select(F.col("id").alias("order_id"), "user_id")
-    return salted_join(named, owners, ["order_id", "user_id"], "inner", "cmd_id")
+    return commands.join(lines, keys).join(owners, ["order_id", "user_id"])
 
 
-def _retotal(orders: DataFrame, items: DataFrame, touched: DataFrame) -> DataFrame:
+def _retotal(orders: DataFrame, items: DataFrame, touched: DataFrame, hot: list[int]) -> DataFrame:
     """Recalculate the totals of the touched orders (order_id) only."""
-    lines = salted_join(items, touched, ["order_id"], "left_semi", "id")
+    lines = salted_join(items, touched, ["order_id"], "left_semi", "id", hot=hot)
     sums = touched.join(order_lines_total(lines), "order_id", "left").select(
         F.col("order_id").alias("id"),
         F.coalesce("lines_total", F.lit(0)).cast(X.MONEY).alias("_total"),
@@ -224,7 +218,8 @@ def update_quantities(orders: DataFrame, items: DataFrame, commands: DataFrame)
         .select("cmd_id", "user_id", "status", F.when(F.col("status") == OK, 1).otherwise(0).alias("affected_rows"))
     )
     touched = hits.select("order_id").distinct()
-    return LineChange(_retotal(orders, changed, touched), changed, results)
+    hot = hot_keys(items, ["order_id"])
+    return LineChange(_retotal(orders, changed, touched, hot), changed, results)
 
 
 def delete_items(orders: DataFrame, items: DataFrame, commands: DataFrame) -> LineChange:
@@ -242,10 +237,11 @@ def delete_items(orders: DataFrame, items: DataFrame, commands: DataFrame) -> Li
     first = named.groupBy("order_item_id", "order_id").agg(F.min(F.struct("ts", "cmd_id")).alias("_at"))
     kept = items.join(first.select(F.col("order_item_id").alias("id")), "id", "left_anti").select(*items.columns)
     touched = first.groupBy("order_id").agg(F.max("_at").alias("_last"))
-    remaining = salted_join(kept, touched, ["order_id"], "left_semi", "id").select("order_id").distinct()
+    hot = hot_keys(items, ["order_id"])
+    remaining = salted_join(kept, touched, ["order_id"], "left_semi", "id", hot=hot).select("order_id").distinct()
     emptied = touched.join(remaining, "order_id", "left_anti")
     kept_orders = orders.join(emptied.select(F.col("order_id").alias("id")), "id", "left_anti")
-    new_orders = _retotal(kept_orders.select(*orders.columns), kept, remaining)
+    new_orders = _retotal(kept_orders.select(*orders.columns), kept, remaining, hot)
     hit = first.select(F.col("_at.cmd_id").alias("cmd_id"), F.lit(True).alias("_hit"))
     ended = emptied.select(F.col("_last.cmd_id").alias("cmd_id"), F.lit(True).alias("_ended"))
     results = (

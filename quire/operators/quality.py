@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quire import schemas
 from quire.functions import exprs as X
 from quire.operators.cart import add_faults, command_faults
-from quire.operators.skew import salted_join
+from quire.operators.skew import hot_keys, salted_join
 from quire.operators.users import registration_faults, update_faults
 
 
@@ -79,7 +79,7 @@ def orphans(child: DataFrame, table: str, column: str, parent: DataFrame, parent
     parents = parent.select(F.col(key).alias(column))
     row_key = schemas.PRIMARY_KEYS[table]
     rows = child.select(F.col(row_key).alias("_key"), column).filter(F.col(column).isNotNull())
-    return salted_join(rows, parents, [column], "left_anti", "_key").select(
+    return rows.join(parents, column, "left_anti").select(
         F.lit(table).alias("table_name"),
         F.col("_key").cast("string").alias("row_key"),
         F.lit(f"{column} -> {parent_table}").alias("rule"),
@@ -99,13 +99,16 @@ def cascade_delete_users(tables: Mapping[str, DataFrame], gone: DataFrame) -> di
     ids = gone.select("id").distinct()
     owners = ids.withColumnRenamed("id", "user_id")
     orders = tables["orders"]
-    lost_orders = salted_join(orders, owners, ["user_id"], "left_semi", "id").select(F.col("id").alias("order_id"))
+    hot = hot_keys(orders, ["user_id"])
+    lost_orders = salted_join(orders, owners, ["user_id"], "left_semi", "id", hot=hot).select(
+        F.col("id").alias("order_id")
+    )
     return {
         **tables,
         "users": tables["users"].join(ids, "id", "left_anti"),
         "cart_items": salted_join(tables["cart_items"], owners, ["user_id"], "left_anti", "id"),
-        "orders": salted_join(orders, owners, ["user_id"], "left_anti", "id"),
-        "order_items": salted_join(tables["order_items"], lost_orders, ["order_id"], "left_anti", "id"),
+        "orders": salted_join(orders, owners, ["user_id"], "left_anti", "id", hot=hot),
+        "order_items": tables["order_items"].join(lost_orders, "order_id", "left_anti"),
     }
 
 

@@ -23,6 +23,8 @@ TARGETS = (
 )
 # Distinct values of a group up to which one task may hold them all.
 DIRECT_VALUES = 1_000_000
+# Groups up to which their brackets are broadcast.
+BROADCAST_GROUPS = 100_000
 _ACCURACY = 10_000
 
 
@@ -78,7 +80,8 @@ def _narrowed(rows: DataFrame, by: list[str], p: float, limit: int) -> DataFrame
     )
     while True:
         state = durable(state)
-        both = _same_group(rows, state, by)
+        few = state.count() <= BROADCAST_GROUPS
+        both = _same_group(rows, F.broadcast(state) if few else state, by)
         inside = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
         largest = (
             both.filter(inside).groupBy(*by).agg(F.approx_count_distinct("_v").alias("d")).agg(F.max("d")).first()[0]

@@ -1,8 +1,11 @@
 """Joins and nestings that stay even when one key holds a large share of the rows.
 
-Aggregations need nothing from here: Spark pre-aggregates per task before the
-shuffle.  A join of a big side on a key one value of which dominates, and an
-array built per key, do.
+Three cases need nothing from here.  Aggregations are pre-aggregated per task before
+the shuffle; rank filters with a fixed top likewise.  A join of two sides that are both
+shuffled for it is split at run time by adaptive execution, so the other modules write
+such joins plainly.  What adaptive execution cannot split is a join whose other side was
+just aggregated on the join key, as that side has no shuffle of its own: this is what
+``salted_join`` is for.  ``nest`` covers arrays built per key.
 """
 
 from __future__ import annotations
@@ -57,15 +60,18 @@ def salted_join(
     how: str,
     spread: str,
     small_input: int | None = None,
+    hot: list[int] | None = None,
 ) -> DataFrame:
     """Equi-join keeping ``big`` on the left (inner, left, left_semi or left_anti).
 
     Rows of ``big`` with a hot key are spread over as many shuffle partitions as
     there are, by ``spread``, a column that differs between rows; the few rows of
-    ``other`` with these keys are repeated once per part.
+    ``other`` with these keys are repeated once per part.  ``hot`` gives the hot keys
+    where they are known from a cheaper table.
     """
     keys = list(keys)
-    hot = hot_keys(big, keys, small_input)
+    if hot is None:
+        hot = hot_keys(big, keys, small_input)
     if not hot:
         return big.join(other, keys, how)
     parts = max(2, int(big.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -88,12 +94,14 @@ def nest(
     name: str,
     spread: str,
     max_items: int | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """One row per key with the sorted array ``name`` of ``item`` structs.
 
     A key with more than ``max_items`` rows comes as several rows, numbered upwards
     by ``section``, which together hold all its items in order; any other key has
-    the single section 0.  ``order`` should end in a unique column.
+    the single section 0.  ``order`` should end in a unique column.  ``counted`` is a
+    table with the same keys as often, where that is cheaper to count.
     """
     keys = list(keys)
     limit = MAX_ITEMS if max_items is None else max_items
@@ -103,7 +111,7 @@ def nest(
         packed = F.sort_array(F.collect_list(F.struct(*ordered, item.alias("item"))))
         return rows.groupBy(*by).agg(F.transform(packed, lambda x: x["item"]).alias(name))
 
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    counts = (df if counted is None else counted).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     over = counts.filter(F.col("_n") > limit)
     summary = over.agg(F.sum("_n").alias("n")).first()
     if summary["n"] is None:

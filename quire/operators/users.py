@@ -66,7 +66,7 @@ def register(users: DataFrame, commands: DataFrame) -> UserChange:
     """
     bad = (F.coalesce("email", F.lit("")) == "") | X.text_or_null("name").isNull()
     valid = commands.filter(~bad)
-    free = salted_join(valid, users.select("email").distinct(), ["email"], "left_anti", "cmd_id")
+    free = valid.join(users.select("email"), "email", "left_anti")
     winners = free.groupBy("email").agg(F.min_by("cmd_id", F.struct("ts", "cmd_id")).alias("cmd_id"))
     results = (
         commands.join(_flag(winners, "_won"), "cmd_id", "left")
@@ -88,7 +88,7 @@ def email_conflicts(users: DataFrame, commands: DataFrame) -> DataFrame:
     asked = commands.withColumn("_email", X.text_or_null("email"))
     holders = users.select(F.col("email").alias("_email"), F.col("id").alias("_holder"))
     return (
-        salted_join(asked, holders, ["_email"], "inner", "cmd_id")
+        asked.join(holders, "_email")
         .filter(F.col("_holder") != F.col("user_id"))
         .select("cmd_id", "user_id", F.col("_email").alias("email"), F.col("_holder").alias("held_by"))
     )
@@ -106,7 +106,7 @@ def update_profiles(users: DataFrame, commands: DataFrame) -> UserChange:
     valid = parsed.filter(~F.col("_bad"))
     taken = email_conflicts(users, valid).select("cmd_id").distinct()
     ids = users.select(F.col("id").alias("user_id"))
-    known = salted_join(valid.join(taken, "cmd_id", "left_anti"), ids, ["user_id"], "left_semi", "cmd_id")
+    known = valid.join(taken, "cmd_id", "left_anti").join(ids, "user_id", "left_semi")
     first = (
         known.filter(F.col("_email").isNotNull())
         .groupBy("_email")

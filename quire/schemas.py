@@ -4,34 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-_MONEY = T.DecimalType(10, 2)
+_TYPES = {
+    "string": T.StringType(),
+    "strings": T.ArrayType(T.StringType()),
+    "int": T.IntegerType(),
+    "double": T.DoubleType(),
+    "boolean": T.BooleanType(),
+    "timestamp": T.TimestampType(),
+    "money": T.DecimalType(10, 2),
+}
 
 
 def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    pairs = [column.split() for column in text.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 BOOKS = _schema(
     "book_id string, title string, author string, genre string, description string, "
-    "price decimal(10,2), volume string, cover string, type string, publisher string, "
+    "price money, volume string, cover string, type string, publisher string, "
     "keywords string, stock int, page_count int, release_date string, created_at timestamp"
 )
 BOOKS_FIX = _schema("title string, volume string, cover string, page_count int, release_date string")
 USERS = _schema("id string, name string, email string, created_at timestamp, updated_at timestamp")
 CART_ITEMS = _schema(
     "id string, user_id string, book_id string, title string, volume string, cover string, "
-    "unit_price decimal(10,2), quantity int, created_at timestamp, updated_at timestamp"
+    "unit_price money, quantity int, created_at timestamp, updated_at timestamp"
 )
-ORDERS = _schema("id string, user_id string, total_amount decimal(10,2), status string, created_at timestamp")
+ORDERS = _schema("id string, user_id string, total_amount money, status string, created_at timestamp")
 ORDER_ITEMS = _schema(
     "id string, order_id string, book_id string, title string, cover string, "
-    "unit_price decimal(10,2), quantity int, line_total decimal(10,2)"
+    "unit_price money, quantity int, line_total money"
 )
 CART_COMMANDS = _schema(
     "cmd_id string, user_id string, op string, cart_item_id string, book_id string, "
     "book_title string, volume string, quantity string, ts timestamp"
 )
-CHECKOUT_REQUESTS = _schema("request_id string, user_id string, cart_item_ids array<string>, ts timestamp")
+CHECKOUT_REQUESTS = _schema("request_id string, user_id string, cart_item_ids strings, ts timestamp")
 ORDER_ITEM_COMMANDS = _schema(
     "cmd_id string, user_id string, op string, order_item_id string, order_id string, "
     "quantity string, ts timestamp"
@@ -90,4 +99,3 @@ FOREIGN_KEYS = (
     ("order_items", "order_id", "orders"),
 )
 PRIMARY_KEYS = {"books": "book_id", "users": "id", "cart_items": "id", "orders": "id", "order_items": "id"}
-MONEY_TYPE = _MONEY
