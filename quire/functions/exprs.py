@@ -7,6 +7,7 @@ would and serves input normalisation.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import Column
@@ -14,7 +15,10 @@ from pyspark.sql import functions as F
 
 # Whitespace stripped from user input, number syntax, the id
 # delimiter, the volume prefix and the e-mail rule.
-_SPACE = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+_SPACE = (
+    "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 ID_DELIMITER = "::"
 VOLUME_PREFIX = "Vol "
@@ -31,7 +35,7 @@ def _col(c: Column | str) -> Column:
 
 
 def js_trim(c: Column | str) -> Column:
-    return F.regexp_replace(_col(c), f"^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(_col(c), F.lit(_SPACE))
 
 
 def text_or_null(c: Column | str) -> Column:
@@ -45,18 +49,34 @@ def is_blank(c: Column | str) -> Column:
     return c.isNull() | (F.btrim(c) == "")
 
 
+def _via(c: Column, *steps: Callable[[Column], Column]) -> Column:
+    """Apply steps one after another, each to a value computed once however often the
+    step mentions it (a one-element array stands in for a local variable)."""
+    values = F.array(c)
+    for step in steps:
+        values = F.transform(values, step)
+    return F.get(values, F.lit(0))
+
+
+def _parsed(text: Column) -> Column:
+    return F.when(text.rlike(_NUMBER), text.try_cast("double"))
+
+
 def number_or_null(c: Column | str) -> Column:
     """Finite number written in plain or exponent notation, else NULL."""
-    text = js_trim(_col(c).cast("string"))
-    value = F.when(text.rlike(_NUMBER), text.try_cast("double"))
-    return F.when(F.abs(value) < F.lit(float("inf")), value)
+    infinite = float("inf")
+    return _via(
+        js_trim(_col(c).cast("string")), _parsed, lambda v: F.when((v < infinite) & (v > -infinite), v)
+    )
 
 
 def quantity_or_null(c: Column | str) -> Column:
     """Positive whole number that fits an integer column, else NULL."""
-    value = number_or_null(c)
-    whole = (value == F.floor(value)) & (value > 0) & (value <= 2147483647)
-    return F.when(whole, value.cast("int"))
+
+    def whole(v: Column) -> Column:
+        return F.when((v == F.floor(v)) & (v > 0) & (v <= 2147483647), v.cast("int"))
+
+    return _via(js_trim(_col(c).cast("string")), _parsed, whole)
 
 
 def to_list(c: Column | str, is_array: bool = False) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import exprs as X
 from quire.operators.catalog import resolve
-from quire.operators.skew import durable, salted_join
+from quire.operators.skew import durable, lookup_join, salted_join
 
 KEY = ["user_id", "book_id"]
 COLUMNS = (
@@ -130,9 +130,10 @@ def _apply(cart: DataFrame, touched: DataFrame) -> DataFrame:
     the struct _new used where no stored row is kept.
     """
     live = F.col("_exists")
+    touched = durable(touched)  # read twice below, and small beside the cart
     changes = touched.select(*KEY, F.lit(True).alias("_touched"), "_keep", "_exists", "_qty", "_updated")
     merged = (
-        salted_join(cart, changes, KEY, "left", "id")
+        lookup_join(cart, changes, KEY, "left", "id")
         .filter(F.col("_touched").isNull() | (live & F.col("_keep").eqNullSafe(F.col("id"))))
         .withColumns(
             {

@@ -20,6 +20,7 @@ from quire.operators.skew import durable, salted_join
 # Contested (request, row) pairs that are settled user by user in one pass; beyond
 # this many, rounds over the whole set shrink them first.
 SEQUENTIAL_PAIRS = 500_000
+USER_GROUPS = 32
 
 
 class Checkout(NamedTuple):
@@ -35,12 +36,24 @@ def _pairs(requests: DataFrame) -> DataFrame:
     )
 
 
+def _checked_pairs(cart: DataFrame, requests: DataFrame) -> DataFrame:
+    rows = cart.select("id", "user_id", F.lit(1).alias("_own"))
+    return _pairs(requests).join(rows, ["id", "user_id"], "left")
+
+
+def _found(checked: DataFrame) -> DataFrame:
+    return checked.groupBy("request_id").agg(
+        F.count("_own").alias("_found"), F.max("_wanted").alias("_wanted")
+    )
+
+
 def validate(cart: DataFrame, requests: DataFrame) -> DataFrame:
     """Per request: ids asked for, ids that are the user's, and the status before
     any conflict between requests."""
-    rows = cart.select("id", "user_id", F.lit(1).alias("_own"))
-    checked = _pairs(requests).join(rows, ["id", "user_id"], "left")
-    found = checked.groupBy("request_id").agg(F.count("_own").alias("_found"))
+    return _statuses(requests, _found(_checked_pairs(cart, requests)).drop("_wanted"))
+
+
+def _statuses(requests: DataFrame, found: DataFrame) -> DataFrame:
     asked = F.size(X.distinct_ids("cart_item_ids"))
     matched = F.coalesce("_found", F.lit(0)).cast("int")
     return requests.join(found, "request_id", "left").select(
@@ -72,20 +85,26 @@ def _one_round(open_pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _serve_in_turn(pairs: DataFrame) -> DataFrame:
-    """Winners when each user's requests are served one after another."""
+    """Winners when each user's requests are served one after another.
+
+    Users never share a row, so a group of users can be served in one go.
+    """
 
-    def one_user(rows: pd.DataFrame) -> pd.DataFrame:  # nested, so that workers get it by value
+    def in_turn(rows: pd.DataFrame) -> pd.DataFrame:  # nested, so that workers get it by value
+        asked: dict[tuple, set[str]] = {}
+        for ts, request_id, row in zip(rows["ts"], rows["request_id"], rows["id"]):
+            asked.setdefault((ts, request_id), set()).add(row)
         taken: set[str] = set()
         won = []
-        for (_, request_id), group in rows.groupby(["ts", "request_id"], sort=True):
-            ids = set(group["id"])
-            if taken.isdisjoint(ids):
-                taken |= ids
-                won.append(request_id)
+        for turn in sorted(asked):
+            if taken.isdisjoint(asked[turn]):
+                taken |= asked[turn]
+                won.append(turn[1])
         return pd.DataFrame({"request_id": pd.Series(won, dtype="object")})
 
-    rows = pairs.select("user_id", "request_id", "ts", "id")
-    return rows.groupBy("user_id").applyInPandas(one_user, "request_id string")
+    group = F.pmod(F.xxhash64("user_id"), F.lit(USER_GROUPS)).alias("_group")
+    rows = pairs.select("request_id", "ts", "id", group)
+    return rows.groupBy("_group").applyInPandas(in_turn, "request_id string")
 
 
 def _rounds(pairs: DataFrame, limit: int) -> Iterator[DataFrame]:
@@ -98,23 +117,26 @@ def _rounds(pairs: DataFrame, limit: int) -> Iterator[DataFrame]:
             yield _serve_in_turn(pairs)
             return
         winners, pairs = _one_round(pairs)
-        yield durable(winners)
+        yield winners
 
 
 def decide(cart: DataFrame, requests: DataFrame, sequential_pairs: int | None = None) -> DataFrame:
     """Each request with its final status."""
     limit = SEQUENTIAL_PAIRS if sequential_pairs is None else sequential_pairs
-    valid = validate(cart, requests)
-    pairs = _pairs(valid.filter(F.col("status") == OK))
+    checked = durable(_checked_pairs(cart, requests))
+    found = _found(checked)
+    complete = found.filter("_found = _wanted").select("request_id")
+    pairs = checked.join(complete, "request_id", "left_semi").drop("_own")
     shared = pairs.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("id")
     contested = salted_join(pairs, shared, ["id"], "left_semi", "request_id").select("request_id").distinct()
     open_pairs = pairs.join(contested, "request_id", "left_semi")
+    valid = _statuses(requests, found.drop("_wanted"))
     won = None
     for winners in _rounds(open_pairs, limit):
         won = winners if won is None else won.unionByName(winners)
     if won is None:
         return valid
-    lost = contested.join(won, "request_id", "left_anti").withColumn("_lost", F.lit(True))
+    lost = durable(contested.join(won, "request_id", "left_anti")).withColumn("_lost", F.lit(True))
     return (
         valid.join(lost, "request_id", "left")
         .withColumn("status", F.when(F.col("_lost"), NOT_FOUND).otherwise(F.col("status")))
@@ -124,7 +146,7 @@ def decide(cart: DataFrame, requests: DataFrame, sequential_pairs: int | None =
 
 def checkout(cart: DataFrame, requests: DataFrame, sequential_pairs: int | None = None) -> Checkout:
     """Serve all requests.  Every cart row goes to at most one order, or stays."""
-    decided = decide(cart, requests, sequential_pairs)
+    decided = durable(decide(cart, requests, sequential_pairs))
     bought = _pairs(decided.filter(F.col("status") == OK)).select("request_id", "ts", "id", "user_id")
     order_id = X.derived_id("request_id")
     lines = (

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import exprs as X
 from quire.operators.cart import INVALID, NOT_FOUND, OK
-from quire.operators.skew import hot_keys, nest, salted_join
+from quire.operators.skew import durable, hot_keys, lookup_join, nest, salted_join
 
 RECENT_ORDERS = 3  # fixed value
 ITEM_FIELDS = (
@@ -174,9 +174,10 @@ def _own_lines(commands: DataFrame, items: DataFrame, orders: DataFrame, keys: l
     return commands.join(lines, keys).join(owners, ["order_id", "user_id"])
 
 
-def _retotal(orders: DataFrame, items: DataFrame, touched: DataFrame, hot: list[int]) -> DataFrame:
-    """Recalculate the totals of the touched orders (order_id) only."""
-    lines = salted_join(items, touched, ["order_id"], "left_semi", "id", hot=hot)
+def _retotal(orders: DataFrame, items: DataFrame, touched: DataFrame, stored: DataFrame) -> DataFrame:
+    """Recalculate the totals of the touched orders (order_id) only; ``stored`` are the
+    lines as they were, which are cheaper to look over than the changed ones."""
+    lines = lookup_join(items, touched, ["order_id"], "left_semi", "id", lambda: hot_keys(stored, ["order_id"]))
     sums = touched.join(order_lines_total(lines), "order_id", "left").select(
         F.col("order_id").alias("id"),
         F.coalesce("lines_total", F.lit(0)).cast(X.MONEY).alias("_total"),
@@ -194,7 +195,7 @@ def update_quantities(orders: DataFrame, items: DataFrame, commands: DataFrame)
     item_id, qty = X.text_or_null("order_item_id"), X.quantity_or_null("quantity")
     parsed = commands.select("cmd_id", "user_id", item_id.alias("order_item_id"), qty.alias("qty"), "ts")
     bad = F.col("order_item_id").isNull() | F.col("qty").isNull()
-    hits = _own_lines(parsed.filter(~bad), items, orders, ["order_item_id"])
+    hits = durable(_own_lines(parsed.filter(~bad), items, orders, ["order_item_id"]))
     last = hits.groupBy(F.col("order_item_id").alias("id")).agg(
         F.max_by("qty", F.struct("ts", "cmd_id")).alias("_qty")
     )
@@ -218,8 +219,7 @@ def update_quantities(orders: DataFrame, items: DataFrame, commands: DataFrame)
         .select("cmd_id", "user_id", "status", F.when(F.col("status") == OK, 1).otherwise(0).alias("affected_rows"))
     )
     touched = hits.select("order_id").distinct()
-    hot = hot_keys(items, ["order_id"])
-    return LineChange(_retotal(orders, changed, touched, hot), changed, results)
+    return LineChange(_retotal(orders, changed, touched, items), changed, results)
 
 
 def delete_items(orders: DataFrame, items: DataFrame, commands: DataFrame) -> LineChange:
@@ -234,14 +234,16 @@ def delete_items(orders: DataFrame, items: DataFrame, commands: DataFrame) -> Li
     )
     bad = F.col("order_item_id").isNull() | F.col("order_id").isNull()
     named = _own_lines(parsed.filter(~bad), items, orders, ["order_item_id", "order_id"])
-    first = named.groupBy("order_item_id", "order_id").agg(F.min(F.struct("ts", "cmd_id")).alias("_at"))
+    first = durable(named.groupBy("order_item_id", "order_id").agg(F.min(F.struct("ts", "cmd_id")).alias("_at")))
     kept = items.join(first.select(F.col("order_item_id").alias("id")), "id", "left_anti").select(*items.columns)
     touched = first.groupBy("order_id").agg(F.max("_at").alias("_last"))
-    hot = hot_keys(items, ["order_id"])
-    remaining = salted_join(kept, touched, ["order_id"], "left_semi", "id", hot=hot).select("order_id").distinct()
+    left = lookup_join(
+        kept, touched.select("order_id"), ["order_id"], "left_semi", "id", lambda: hot_keys(items, ["order_id"])
+    )
+    remaining = durable(left.select("order_id").distinct())
     emptied = touched.join(remaining, "order_id", "left_anti")
     kept_orders = orders.join(emptied.select(F.col("order_id").alias("id")), "id", "left_anti")
-    new_orders = _retotal(kept_orders.select(*orders.columns), kept, remaining, hot)
+    new_orders = _retotal(kept_orders.select(*orders.columns), kept, remaining, items)
     hit = first.select(F.col("_at.cmd_id").alias("cmd_id"), F.lit(True).alias("_hit"))
     ended = emptied.select(F.col("_last.cmd_id").alias("cmd_id"), F.lit(True).alias("_ended"))
     results = (

@@ -12,9 +12,10 @@ from __future__ import annotations
 
 import math
 import tempfile
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A key counts as hot from 1/HOT_KEYS of the rows on, so there are at most HOT_KEYS of them.
@@ -22,18 +23,30 @@ HOT_KEYS = 256
 _TRACKED = 16 * HOT_KEYS
 # Below this many rows one task takes any key.
 SMALL_INPUT = 1_000_000
+# Rows of ids and numbers up to which a counted table is broadcast.
+BROADCAST_ROWS = 200_000
 # Longest array built for one key.
 MAX_ITEMS = 100_000
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new place under the folder the session names for checkpoints."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        base = tempfile.mkdtemp(prefix="quire-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/quire-{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder of the session, so that lost executors cost nothing."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quire-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    """The same rows from a table written to the shared folder.
+
+    Used where a narrow intermediate result is read several times: it is computed once,
+    survives lost executors, and its size is known to the optimizer.
+    """
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], small_input: int | None = None) -> list[int]:
@@ -86,6 +99,21 @@ def salted_join(
     return left.join(right, keys + ["_part"], how).drop("_part")
 
 
+def lookup_join(
+    big: DataFrame,
+    found: DataFrame,
+    keys: Sequence[str],
+    how: str,
+    spread: str,
+    hot: Callable[[], list[int]] | None = None,
+) -> DataFrame:
+    """``salted_join``, but ``found`` is counted first and broadcast if it is small, so
+    that ``big`` needs no shuffle.  ``found`` should be cheap to count and narrow."""
+    if found.count() <= BROADCAST_ROWS:
+        return big.join(F.broadcast(found), list(keys), how)
+    return salted_join(big, found, keys, how, spread, hot=None if hot is None else hot())
+
+
 def nest(
     df: DataFrame,
     keys: Sequence[str],

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import exprs as X
 from quire.operators.cart import CONFLICT, INVALID, NOT_FOUND, OK, command_faults
-from quire.operators.skew import salted_join
+from quire.operators.skew import durable, salted_join
 
 COLUMNS = ("id", "name", "email", "created_at", "updated_at")
 MIN_NAME_LENGTH = 3  # fixed value
@@ -103,17 +103,22 @@ def update_profiles(users: DataFrame, commands: DataFrame) -> UserChange:
     parsed = commands.withColumns(
         {"_bad": F.size(update_faults()) > 0, "_name": X.text_or_null("name"), "_email": X.text_or_null("email")}
     )
-    valid = parsed.filter(~F.col("_bad"))
-    taken = email_conflicts(users, valid).select("cmd_id").distinct()
-    ids = users.select(F.col("id").alias("user_id"))
-    known = valid.join(taken, "cmd_id", "left_anti").join(ids, "user_id", "left_semi")
+    clash = email_conflicts(users, parsed.filter(~F.col("_bad"))).select("cmd_id").distinct()
+    ids = users.select(F.col("id").alias("user_id"), F.lit(True).alias("_user"))
+    checked = durable(
+        parsed.join(_flag(clash, "_taken"), "cmd_id", "left")
+        .join(ids, "user_id", "left")
+        .select("cmd_id", "user_id", "ts", "_bad", "_name", "_email", "_taken", "_user")
+    )
+    known = checked.filter(~F.col("_bad") & F.col("_taken").isNull() & F.col("_user"))
     first = (
         known.filter(F.col("_email").isNotNull())
         .groupBy("_email")
         .agg(F.min_by("user_id", F.struct("ts", "cmd_id")).alias("_first"))
     )
     late = salted_join(known, first, ["_email"], "inner", "cmd_id").filter(F.col("_first") != F.col("user_id"))
-    ok = known.join(late.select("cmd_id"), "cmd_id", "left_anti")
+    late = durable(late.select("cmd_id"))
+    ok = known.join(late, "cmd_id", "left_anti")
     at = F.struct("ts", "cmd_id")
     last = ok.groupBy(F.col("user_id").alias("id")).agg(
         F.max_by("_name", F.when(F.col("_name").isNotNull(), at)).alias("_name"),
@@ -131,16 +136,14 @@ def update_profiles(users: DataFrame, commands: DataFrame) -> UserChange:
         )
         .select(*COLUMNS)
     )
-    clashes = _flag(taken.unionByName(late.select("cmd_id")).distinct(), "_clash")
     status = (
         F.when(F.col("_bad"), INVALID)
-        .when(F.col("_clash"), CONFLICT)
-        .when(F.col("_ok"), OK)
+        .when(F.col("_taken") | F.col("_late"), CONFLICT)
+        .when(F.col("_user"), OK)
         .otherwise(NOT_FOUND)
     )
     results = (
-        parsed.join(clashes, "cmd_id", "left")
-        .join(_flag(ok, "_ok"), "cmd_id", "left")
+        checked.join(_flag(late, "_late"), "cmd_id", "left")
         .withColumn("status", status)
         .select("cmd_id", "user_id", "status", F.when(F.col("status") == OK, 1).otherwise(0).alias("affected_rows"))
     )

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators import requests as R
+from quire.operators.skew import shared_folder
 from quire.plans import views as V
 from quire.plans.cart_queries import FOLD_SQL
 from quire.plans.registry import as_text, query, r6
@@ -132,14 +130,6 @@ def quota_excess_requests(spark: SparkSession, base: str) -> DataFrame:
 # Streams over the event table as a file source -----------------------------------------
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A fresh folder under the session's shared checkpoint folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        shared = tempfile.mkdtemp(prefix="quire-stream-")
-    return f"{shared.rstrip('/')}/quire-{uuid.uuid4().hex}"
-
-
 def _event_stream(spark: SparkSession, base: str) -> DataFrame:
     name = "events.parquet"
     schema = spark.read.parquet(f"{base.rstrip('/')}/{name}").schema
@@ -153,7 +143,7 @@ def _event_stream(spark: SparkSession, base: str) -> DataFrame:
 )
 def stream_quota(spark: SparkSession, base: str) -> DataFrame:
     requests = _event_stream(spark, base).selectExpr(*[f"{e} as `{a}`" for e, a in V.REQUESTS])
-    place = _scratch(spark)
+    place = shared_folder(spark)
     J.run_available(J.quota_stream(requests), f"{place}/state", J.latest_to(f"{place}/out"), "complete")
     return as_text(J.read_latest(spark, f"{place}/out"), "window_start")
 
@@ -168,7 +158,7 @@ def stream_quota(spark: SparkSession, base: str) -> DataFrame:
 )
 def stream_latency(spark: SparkSession, base: str) -> DataFrame:
     requests = _event_stream(spark, base).selectExpr(*[f"{e} as `{a}`" for e, a in V.REQUESTS])
-    place = _scratch(spark)
+    place = shared_folder(spark)
     J.run_available(J.latency_stream(requests), f"{place}/state", J.latest_to(f"{place}/out"), "complete")
     out = J.read_latest(spark, f"{place}/out").select("minute_start", "requests", "failed", "error_rate", "avg")
     return as_text(_rounded(out, "error_rate", "avg"), "minute_start")
@@ -190,7 +180,7 @@ def latency_per_minute(spark: SparkSession, base: str) -> DataFrame:
 def stream_cart(spark: SparkSession, base: str) -> DataFrame:
     events = _event_stream(spark, base).selectExpr(*[f"{e} as `{a}`" for e, a in V._event_number("spark")])
     commands = events.filter("event_type <> 'purchase'").selectExpr(*[f"{e} as `{a}`" for e, a in V.SMALL_COMMANDS])
-    place = _scratch(spark)
+    place = shared_folder(spark)
     publish({"cart_items": V.small_cart(spark, base)}, place, -1)
     J.run_available(commands, f"{place}/state", J.cart_batch(place, V.small_books(spark, base)))
     return as_text(read_published(spark, place, "cart_items"), "created_at", "updated_at")
