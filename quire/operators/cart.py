@@ -112,13 +112,15 @@ def _first_add(cond: Column | None = None) -> Column:
     return F.min_by(what, when) if cond is None else F.min_by(what, F.when(cond, when))
 
 
-def _stored(cart: DataFrame) -> DataFrame:
-    """Per key: the row that is kept and the total; a negative quantity fails the job."""
+def _stored(cart: DataFrame, keys: DataFrame) -> DataFrame:
+    """Per key among ``keys``: the row that is kept and the total; a negative quantity
+    fails the job.  Few keys are broadcast, so the cart is neither shuffled nor sorted."""
     quantity = F.when(
         F.col("quantity").isNull() | (F.col("quantity") < 0),
         F.raise_error(F.lit("invalid existing cart quantity")).cast("int"),
     ).otherwise(F.col("quantity"))
-    return cart.groupBy(*KEY).agg(
+    rows = lookup_join(cart, keys.select(*KEY), KEY, "left_semi", "id")
+    return rows.groupBy(*KEY).agg(
         F.max_by("id", _newest()).alias("_keep"), F.sum(quantity).alias("_have")
     )
 
@@ -158,12 +160,12 @@ def add_to_cart(cart: DataFrame, books: DataFrame, commands: DataFrame) -> CartC
     """Add commands: merge into the newest row of the key, whose other data stay, or
     insert a row with the catalog's data.  Keys without a command stay as they are."""
     resolved = resolve_adds(commands, books)
-    adds = (
+    adds = durable(
         resolved.filter(F.col("status") == OK)
         .groupBy("user_id", F.col("item.book_id").alias("book_id"))
         .agg(F.sum("qty").alias("_add"), _first_add().alias("_new"), F.max("ts").alias("_updated"))
     )
-    touched = adds.join(_stored(cart), KEY, "left").withColumns(
+    touched = adds.join(_stored(cart, adds), KEY, "left").withColumns(
         {"_exists": F.lit(True), "_qty": F.col("_add") + F.coalesce("_have", F.lit(0))}
     )
     results = resolved.select("cmd_id", "user_id", "status", F.col("item.book_id").alias("book_id"))
@@ -254,7 +256,8 @@ def fold_commands(cart: DataFrame, books: DataFrame, commands: DataFrame) -> Dat
         F.max(F.when(after_remove, F.col("ts"))).alias("_last_add"),
         _first_add(after_remove).alias("_new"),
     )
-    keys = added.join(marks, KEY, "full_outer").join(_stored(cart), KEY, "left")
+    folded = durable(added.join(marks, KEY, "full_outer"))
+    keys = folded.join(_stored(cart, folded), KEY, "left")
     kept = F.col("_keep").isNotNull() & F.col("_removed").isNull()
     founded = F.col("_new").isNotNull()
     set_counts = (

@@ -83,9 +83,13 @@ def catalog(books: DataFrame, numeric_order: bool = False, max_items: int | None
 
     Sort the result by ``title, section`` for the catalog's order.
     """
-    item = F.struct(F.col("volume_number").alias("volumeNumber"), "cover", "page_count", "release_date")
-    rows = volumes(books)
-    nested = nest(rows, ["title"], volume_order(numeric_order), item, "volumes", "book_id", max_items)
+    fields = ("volume_number", *BACKFILLED)
+
+    def item(x: Column) -> Column:
+        return F.struct(x["volume_number"].alias("volumeNumber"), *[x[c].alias(c) for c in BACKFILLED])
+
+    order = volume_order(numeric_order)
+    nested = nest(volumes(books), ["title"], order, fields, item, "volumes", "book_id", max_items)
     return titles(books).join(nested, "title").select("title", *ATTRIBUTES, "volumes", "section")
 
 

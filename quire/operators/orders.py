@@ -80,8 +80,19 @@ def order_history(
     chosen = _of_users(orders, users)
     shown = items if users is None else _lines_of(chosen, items)
     lines = items_with_cover(shown, books)
-    item = F.struct(*ITEM_FIELDS)
-    nested = nest(lines, ["order_id"], [F.col("id")], item, "items", "id", max_items, counted=items)
+    fields = ("book_id", "title", "unit_price", "quantity", "line_total", "cover")
+
+    def item(x: Column) -> Column:
+        return F.struct(
+            x["o0"].alias("id"),
+            F.col("order_id"),
+            *[x[c].alias(c) for c in fields],
+            x["title"].alias("book_title"),
+            X.book_volume(x["book_id"]).alias("volume"),
+            x["unit_price"].alias("price"),
+        )
+
+    nested = nest(lines, ["order_id"], [F.col("id")], fields, item, "items", "id", max_items, counted=items)
     item_type = nested.schema["items"].dataType
     return (
         chosen.join(nested.withColumnRenamed("order_id", "id"), "id", "left")

@@ -77,9 +77,9 @@ def salted_join(
 ) -> DataFrame:
     """Equi-join keeping ``big`` on the left (inner, left, left_semi or left_anti).
 
-    Rows of ``big`` with a hot key are spread over as many shuffle partitions as
-    there are, by ``spread``, a column that differs between rows; the few rows of
-    ``other`` with these keys are repeated once per part.  ``hot`` gives the hot keys
+    Rows of ``big`` with a hot key are spread by ``spread``, a column that differs between
+    rows, over a few times as many parts as there are shuffle partitions; the few rows
+    of ``other`` with these keys are repeated once per part.  ``hot`` gives the hot keys
     where they are known from a cheaper table.
     """
     keys = list(keys)
@@ -87,7 +87,7 @@ def salted_join(
         hot = hot_keys(big, keys, small_input)
     if not hot:
         return big.join(other, keys, how)
-    parts = max(2, int(big.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = 4 * int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # even out hash collisions
     is_hot = F.xxhash64(*keys).isin(hot)
     left = big.withColumn(
         "_part", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(parts)).cast("int")).otherwise(F.lit(0))
@@ -118,13 +118,17 @@ def nest(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
-    item: Column,
+    fields: Sequence[str],
+    make: Callable[[Column], Column],
     name: str,
     spread: str,
     max_items: int | None = None,
     counted: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per key with the sorted array ``name`` of ``item`` structs.
+    """One row per key with the sorted array ``name`` of its rows.
+
+    Only the ``order`` columns (o0, o1, ...) and ``fields`` are shuffled; ``make`` builds
+    an item from them once they are sorted.
 
     A key with more than ``max_items`` rows comes as several rows, numbered upwards
     by ``section``, which together hold all its items in order; any other key has
@@ -136,8 +140,8 @@ def nest(
     ordered = [c.alias(f"o{i}") for i, c in enumerate(order)]
 
     def collect(rows: DataFrame, by: list[str]) -> DataFrame:
-        packed = F.sort_array(F.collect_list(F.struct(*ordered, item.alias("item"))))
-        return rows.groupBy(*by).agg(F.transform(packed, lambda x: x["item"]).alias(name))
+        packed = F.sort_array(F.collect_list(F.struct(*ordered, *fields))).alias(name)
+        return rows.groupBy(*by).agg(packed).withColumn(name, F.transform(name, make))
 
     counts = (df if counted is None else counted).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     over = counts.filter(F.col("_n") > limit)

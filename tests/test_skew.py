@@ -60,8 +60,8 @@ def test_lookup_join_beyond_the_limit(sides, monkeypatch):
 def test_nest_keeps_everything(sides):
     big, _ = sides
     rows = big.dropna()
-    whole = S.nest(rows, ["k"], [F.col("row")], F.struct("row"), "rows", "row")
-    parts = S.nest(rows, ["k"], [F.col("row")], F.struct("row"), "rows", "row", max_items=500)
+    whole = S.nest(rows, ["k"], [F.col("row")], [], lambda x: F.struct(x["o0"].alias("row")), "rows", "row")
+    parts = S.nest(rows, ["k"], [F.col("row")], [], lambda x: F.struct(x["o0"].alias("row")), "rows", "row", max_items=500)
     assert whole.count() == rows.select("k").distinct().count() and {r[0] for r in whole.select("section").distinct().collect()} == {0}
     assert parts.agg(F.max(F.size("rows"))).first()[0] < 3000
     hot = parts.filter("k = 1").orderBy("section").collect()
