@@ -192,13 +192,12 @@ def _results(commands: DataFrame, hits: DataFrame, bad: Column) -> DataFrame:
 def set_quantity(cart: DataFrame, commands: DataFrame) -> CartChange:
     """Set commands on own rows; the last valid one of a row counts."""
     qty = X.quantity_or_null("quantity")
-    hits = _owned(commands.filter(qty.isNotNull()), cart)
-    last = (
-        hits.groupBy(F.col("cart_item_id").alias("id"))
-        .agg(F.max_by(F.struct(qty.alias("qty"), F.col("ts").alias("ts")), F.struct("ts", "cmd_id")).alias("_s"))
+    valid = commands.filter(qty.isNotNull())
+    last = valid.groupBy(F.col("cart_item_id").alias("id"), "user_id").agg(
+        F.max_by(F.struct(qty.alias("qty"), F.col("ts").alias("ts")), F.struct("ts", "cmd_id")).alias("_s")
     )
     changed = (
-        cart.join(last, "id", "left")
+        cart.join(last, ["id", "user_id"], "left")
         .withColumns(
             {
                 "quantity": F.coalesce("_s.qty", "quantity"),
@@ -207,17 +206,17 @@ def set_quantity(cart: DataFrame, commands: DataFrame) -> CartChange:
         )
         .select(*COLUMNS)
     )
-    return CartChange(changed, _results(commands, hits, qty.isNull()))
+    return CartChange(changed, _results(commands, _owned(valid, cart), qty.isNull()))
 
 
 def remove_from_cart(cart: DataFrame, commands: DataFrame) -> CartChange:
     """Remove commands on own rows; a second one for the same row finds nothing."""
-    first = (
-        _owned(commands, cart)
-        .groupBy(F.col("cart_item_id").alias("id"))
-        .agg(F.min_by("cmd_id", F.struct("ts", "cmd_id")).alias("cmd_id"))
+    first = commands.groupBy("cart_item_id", "user_id").agg(
+        F.min_by("cmd_id", F.struct("ts", "cmd_id")).alias("cmd_id")
     )
-    return CartChange(cart.join(first, "id", "left_anti"), _results(commands, first, F.lit(False)))
+    named = first.select(F.col("cart_item_id").alias("id"), "user_id")
+    left = cart.join(named, ["id", "user_id"], "left_anti").select(*COLUMNS)
+    return CartChange(left, _results(commands, _owned(first, cart), F.lit(False)))
 
 
 def fold_commands(cart: DataFrame, books: DataFrame, commands: DataFrame) -> DataFrame:

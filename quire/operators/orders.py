@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,9 +27,9 @@ class LineChange(NamedTuple):
     results: DataFrame
 
 
-def items_with_cover(items: DataFrame, books: DataFrame) -> DataFrame:
+def items_with_cover(items: DataFrame, books: DataFrame, more: Sequence[str] = ()) -> DataFrame:
     """Order lines with the book's cover where their own is empty, and the fields a
-    reader of the history sees."""
+    reader of the history sees; ``more`` names further columns to keep."""
     covers = books.select("book_id", F.col("cover").alias("_cover"))
     joined = items.join(covers, "book_id", "left")
     return joined.withColumns(
@@ -38,7 +39,7 @@ def items_with_cover(items: DataFrame, books: DataFrame) -> DataFrame:
             "volume": X.book_volume("book_id"),
             "price": F.col("unit_price"),
         }
-    ).select(*ITEM_FIELDS)
+    ).select(*ITEM_FIELDS, *more)
 
 
 def _of_users(orders: DataFrame, users: DataFrame | None) -> DataFrame:
@@ -51,22 +52,18 @@ def _newest_first() -> list[Column]:
     return [F.col("created_at").desc_nulls_first(), F.col("id").desc()]
 
 
-def _lines_of(orders: DataFrame, items: DataFrame) -> DataFrame:
-    return items.join(orders.select(F.col("id").alias("order_id")), "order_id", "left_semi")
-
-
 def history_lines(
     orders: DataFrame, items: DataFrame, books: DataFrame, users: DataFrame | None = None
 ) -> DataFrame:
     """Flat history: one row per order line, one row with NULL line fields for an
     order without lines."""
-    chosen = _of_users(orders, users)
-    shown = items if users is None else _lines_of(chosen, items)
-    lines = items_with_cover(shown, books).withColumnRenamed("id", "item_id")
-    heads = chosen.select(F.col("id").alias("order_id"), "user_id", "total_amount", "status",
-                          F.col("created_at").alias("purchase_date"))
-    bare = heads.join(shown.select("order_id").distinct(), "order_id", "left_anti")
-    return lines.join(heads, "order_id").unionByName(bare, allowMissingColumns=True)
+    heads = _of_users(orders, users).select(
+        F.col("id").alias("order_id"), "user_id", "total_amount", "status", F.col("created_at").alias("purchase_date")
+    )
+    owned = items.join(heads, "order_id")
+    lines = items_with_cover(owned, books, heads.columns[1:]).withColumnRenamed("id", "item_id")
+    bare = heads.join(items.select("order_id").distinct(), "order_id", "left_anti")
+    return lines.unionByName(bare, allowMissingColumns=True)
 
 
 def order_history(
@@ -78,7 +75,10 @@ def order_history(
 ) -> DataFrame:
     """Order documents with nested lines, newest first per user."""
     chosen = _of_users(orders, users)
-    shown = items if users is None else _lines_of(chosen, items)
+    shown = items
+    if users is not None:
+        ids = chosen.select(F.col("id").alias("order_id"))
+        shown = lookup_join(items, ids, ["order_id"], "left_semi", "id")
     lines = items_with_cover(shown, books)
     fields = ("book_id", "title", "unit_price", "quantity", "line_total", "cover")
 
@@ -137,8 +137,9 @@ def without_items(orders: DataFrame, items: DataFrame) -> DataFrame:
     return orders.join(keys, "id", "left_anti")
 
 
-def charges(orders: DataFrame, items: DataFrame) -> DataFrame:
-    """Per order: subtotal of its lines, delivery fee, total and number of lines."""
+def charges(orders: DataFrame, items: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    """Per order: subtotal of its lines, delivery fee, total and number of lines;
+    ``more`` names further order columns to keep."""
     amount = (F.col("unit_price") * F.col("quantity")).cast(X.WIDE_MONEY)
     sums = items.groupBy(F.col("order_id").alias("id")).agg(
         F.sum(amount).alias("_sum"), F.count(F.lit(1)).alias("_n")
@@ -153,19 +154,21 @@ def charges(orders: DataFrame, items: DataFrame) -> DataFrame:
         )
         .withColumn("delivery_fee", X.delivery_fee("subtotal"))
         .withColumn("total", (F.col("subtotal") + F.col("delivery_fee")).cast(X.WIDE_MONEY))
-        .select("id", "user_id", "created_at", "item_count", "subtotal", "delivery_fee", "total")
+        .select("id", "user_id", "created_at", "item_count", "subtotal", "delivery_fee", "total", *more)
     )
 
 
 def recent_purchases(orders: DataFrame, items: DataFrame, count: int = RECENT_ORDERS) -> DataFrame:
     """The latest orders of each user with their amount.
 
-    The rank filter keeps ``count`` rows per user in every task before the shuffle.
+    The rank filter keeps ``count`` rows per user in every task before the shuffle, and
+    lines are summed per order before they meet the orders.
     """
     by_user = Window.partitionBy("user_id").orderBy(*_newest_first())
     latest = orders.withColumn("rank", F.row_number().over(by_user)).filter(F.col("rank") <= count)
-    amounts = charges(latest, _lines_of(latest, items)).select("id", F.col("total").alias("amount"), "item_count")
-    return latest.join(amounts, "id").select("user_id", "rank", "id", "created_at", "amount", "item_count")
+    return charges(latest, items, ["rank"]).select(
+        "user_id", "rank", "id", "created_at", F.col("total").alias("amount"), "item_count"
+    )
 
 
 def purchase_counts(orders: DataFrame, items: DataFrame) -> DataFrame:

@@ -66,8 +66,8 @@ def register(users: DataFrame, commands: DataFrame) -> UserChange:
     """
     bad = (F.coalesce("email", F.lit("")) == "") | X.text_or_null("name").isNull()
     valid = commands.filter(~bad)
-    free = valid.join(users.select("email"), "email", "left_anti")
-    winners = free.groupBy("email").agg(F.min_by("cmd_id", F.struct("ts", "cmd_id")).alias("cmd_id"))
+    earliest = valid.groupBy("email").agg(F.min_by("cmd_id", F.struct("ts", "cmd_id")).alias("cmd_id"))
+    winners = earliest.join(users.select("email"), "email", "left_anti")
     results = (
         commands.join(_flag(winners, "_won"), "cmd_id", "left")
         .withColumn("status", F.when(bad, INVALID).when(F.col("_won"), OK).otherwise(CONFLICT))

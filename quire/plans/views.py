@@ -19,7 +19,7 @@ def _book_id(column: str) -> str:
 
 _LINE_ID = (
     "cast(l_orderkey as string) || '-' || cast(l_linenumber as string) || '-' || "
-    "cast(l_partkey as string) || '-' || cast(l_suppkey as string)"
+    "cast(l_partkey as string) || '-' || cast(l_suppkey as string) || '-' || cast(cast(l_quantity as int) as string)"
 )
 _TS = "cast('2024-01-01 00:00:00' as timestamp)"
 _EVENT_ID = "lpad(cast(event_id as string), 12, '0')"
