@@ -27,7 +27,8 @@ FEE_RATE = Decimal("0.1")
 MIN_STEP_QUANTITY, MAX_STEP_QUANTITY = 1, 10
 
 MONEY = "decimal(10,2)"
-WIDE_MONEY = "decimal(18,2)"
+# Products and sums: one huge order must not fail the job for all others.
+WIDE_MONEY = "decimal(28,2)"
 
 
 def _col(c: Column | str) -> Column:

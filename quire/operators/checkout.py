@@ -151,7 +151,7 @@ def checkout(cart: DataFrame, requests: DataFrame, sequential_pairs: int | None
     order_id = X.derived_id("request_id")
     lines = (
         bought.join(cart, ["id", "user_id"])
-        .withColumn("line_total", (F.col("unit_price") * F.col("quantity")).cast(X.MONEY))
+        .withColumn("line_total", (F.col("unit_price") * F.col("quantity")).cast(X.WIDE_MONEY))
         .select(
             X.derived_id("request_id", "id").alias("id"),
             order_id.alias("order_id"),
@@ -168,7 +168,7 @@ def checkout(cart: DataFrame, requests: DataFrame, sequential_pairs: int | None
         )
     )
     orders = lines.groupBy("order_id", "user_id", "ts").agg(
-        F.sum("line_total").cast(X.MONEY).alias("total_amount")
+        F.sum("line_total").cast(X.WIDE_MONEY).alias("total_amount")
     ).select(
         F.col("order_id").alias("id"),
         "user_id",

@@ -116,7 +116,7 @@ def recalculated_totals(orders: DataFrame, items: DataFrame) -> DataFrame:
     sums = order_lines_total(items).withColumnRenamed("order_id", "id")
     return (
         orders.join(sums, "id", "left")
-        .withColumn("total_amount", F.coalesce("lines_total", F.lit(0)).cast(X.MONEY))
+        .withColumn("total_amount", F.coalesce("lines_total", F.lit(0)).cast(X.WIDE_MONEY))
         .select(*orders.columns)
     )
 
@@ -194,7 +194,7 @@ def _retotal(orders: DataFrame, items: DataFrame, touched: DataFrame, stored: Da
     lines = lookup_join(items, touched, ["order_id"], "left_semi", "id", lambda: hot_keys(stored, ["order_id"]))
     sums = touched.join(order_lines_total(lines), "order_id", "left").select(
         F.col("order_id").alias("id"),
-        F.coalesce("lines_total", F.lit(0)).cast(X.MONEY).alias("_total"),
+        F.coalesce("lines_total", F.lit(0)).cast(X.WIDE_MONEY).alias("_total"),
     )
     return (
         orders.join(sums, "id", "left")
@@ -219,7 +219,7 @@ def update_quantities(orders: DataFrame, items: DataFrame, commands: DataFrame)
             {
                 "quantity": F.coalesce("_qty", "quantity"),
                 "line_total": F.when(
-                    F.col("_qty").isNotNull(), (F.col("unit_price") * F.col("_qty")).cast(X.MONEY)
+                    F.col("_qty").isNotNull(), (F.col("unit_price") * F.col("_qty")).cast(X.WIDE_MONEY)
                 ).otherwise(F.col("line_total")),
             }
         )

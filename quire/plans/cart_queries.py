@@ -218,7 +218,7 @@ def cart_fold(spark: SparkSession, base: str) -> DataFrame:
 @query(
     "line_subtotals",
     with_views("v_cart", """
-    SELECT id, quantity, unit_price, cast(unit_price * quantity as decimal(18,2)) AS subtotal FROM v_cart"""),
+    SELECT id, quantity, unit_price, cast(unit_price * quantity as decimal(28,2)) AS subtotal FROM v_cart"""),
 )
 def line_subtotals(spark: SparkSession, base: str) -> DataFrame:
     return C.line_subtotals(V.cart(spark, base)).select("id", "quantity", "unit_price", "subtotal")
@@ -229,11 +229,11 @@ def line_subtotals(spark: SparkSession, base: str) -> DataFrame:
     "selection_totals",
     with_views("v_cart", """
     SELECT user_id, selected_count, subtotal,
-      cast(CASE WHEN subtotal > 0 THEN round(subtotal * cast(0.1 as decimal(2,1)), 2) ELSE 0 END as decimal(18,2)) AS delivery_fee,
-      cast(subtotal + CASE WHEN subtotal > 0 THEN round(subtotal * cast(0.1 as decimal(2,1)), 2) ELSE 0 END as decimal(18,2)) AS total,
+      cast(CASE WHEN subtotal > 0 THEN round(subtotal * cast(0.1 as decimal(2,1)), 2) ELSE 0 END as decimal(28,2)) AS delivery_fee,
+      cast(subtotal + CASE WHEN subtotal > 0 THEN round(subtotal * cast(0.1 as decimal(2,1)), 2) ELSE 0 END as decimal(28,2)) AS total,
       all_selected
     FROM (SELECT user_id, count(*) FILTER (chosen) AS selected_count,
-        cast(coalesce(sum(unit_price * quantity) FILTER (chosen), 0) as decimal(18,2)) AS subtotal, bool_and(chosen) AS all_selected
+        cast(coalesce(sum(unit_price * quantity) FILTER (chosen), 0) as decimal(28,2)) AS subtotal, bool_and(chosen) AS all_selected
       FROM (SELECT *, volume IN ('1', '3', '5', '7') AS chosen FROM v_cart) GROUP BY user_id)"""),
 )
 def selection_totals(spark: SparkSession, base: str) -> DataFrame:
@@ -341,7 +341,7 @@ def checkout_results(spark: SparkSession, base: str) -> DataFrame:
 @query(
     "checkout_orders",
     _checkout_sql(f"""
-    SELECT {q_md5_id('request_id')} AS id, user_id, cast(sum(unit_price * quantity) as decimal(10,2)) AS total_amount,
+    SELECT {q_md5_id('request_id')} AS id, user_id, cast(sum(unit_price * quantity) as decimal(28,2)) AS total_amount,
       'completed' AS status, cast(any_value(ts) as varchar) AS created_at
     FROM k_bought GROUP BY request_id, user_id"""),
 )
@@ -353,7 +353,7 @@ def checkout_orders(spark: SparkSession, base: str) -> DataFrame:
     "checkout_lines",
     _checkout_sql(f"""
     SELECT {q_md5_id("request_id || '|' || id")} AS id, {q_md5_id('request_id')} AS order_id, book_id, title, cover,
-      unit_price, quantity, cast(unit_price * quantity as decimal(10,2)) AS line_total,
+      unit_price, quantity, cast(unit_price * quantity as decimal(28,2)) AS line_total,
       cast(created_at as varchar) AS cart_created_at, id AS cart_item_id
     FROM k_bought"""),
 )

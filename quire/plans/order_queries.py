@@ -74,10 +74,10 @@ def order_history_lines(spark: SparkSession, base: str) -> DataFrame:
 _CHARGES = """
 o_charges AS (
   SELECT id, user_id, created_at, item_count, subtotal,
-    cast(CASE WHEN subtotal > 0 THEN round(subtotal * cast(0.1 as decimal(2,1)), 2) ELSE 0 END as decimal(18,2)) AS delivery_fee,
-    cast(subtotal + CASE WHEN subtotal > 0 THEN round(subtotal * cast(0.1 as decimal(2,1)), 2) ELSE 0 END as decimal(18,2)) AS total
+    cast(CASE WHEN subtotal > 0 THEN round(subtotal * cast(0.1 as decimal(2,1)), 2) ELSE 0 END as decimal(28,2)) AS delivery_fee,
+    cast(subtotal + CASE WHEN subtotal > 0 THEN round(subtotal * cast(0.1 as decimal(2,1)), 2) ELSE 0 END as decimal(28,2)) AS total
   FROM (SELECT o.id, o.user_id, o.created_at, count(i.id) AS item_count,
-      cast(coalesce(sum(i.unit_price * i.quantity), 0) as decimal(18,2)) AS subtotal
+      cast(coalesce(sum(i.unit_price * i.quantity), 0) as decimal(28,2)) AS subtotal
     FROM v_orders o LEFT JOIN v_items i ON i.order_id = o.id GROUP BY o.id, o.user_id, o.created_at))
 """
 
@@ -118,7 +118,7 @@ _TOTALS = "(SELECT order_id, sum(line_total) AS s FROM v_items GROUP BY 1)"
 @query(
     "order_totals_recalc",
     with_views("v_orders v_items", f"""
-    SELECT o.id, o.user_id, o.status, cast(coalesce(t.s, 0) as decimal(10,2)) AS total_amount
+    SELECT o.id, o.user_id, o.status, cast(coalesce(t.s, 0) as decimal(28,2)) AS total_amount
     FROM v_orders o LEFT JOIN {_TOTALS} t ON t.order_id = o.id"""),
 )
 def order_totals_recalc(spark: SparkSession, base: str) -> DataFrame:
@@ -129,7 +129,7 @@ def order_totals_recalc(spark: SparkSession, base: str) -> DataFrame:
 @query(
     "order_total_drift",
     with_views("v_orders v_items", f"""
-    SELECT o.id, cast(o.total_amount as decimal(18,2)) AS total_amount, cast(coalesce(t.s, 0) as decimal(18,2)) AS lines_total
+    SELECT o.id, cast(o.total_amount as decimal(28,2)) AS total_amount, cast(coalesce(t.s, 0) as decimal(28,2)) AS lines_total
     FROM v_orders o LEFT JOIN {_TOTALS} t ON t.order_id = o.id WHERE o.total_amount <> coalesce(t.s, 0)"""),
 )
 def order_total_drift(spark: SparkSession, base: str) -> DataFrame:
@@ -152,7 +152,7 @@ u_hits AS (SELECT c.*, i.order_id FROM u_cmds c JOIN v_items i ON i.id = c.item
   JOIN v_orders o ON o.id = i.order_id AND o.user_id = c.user_id WHERE c.qty IS NOT NULL),
 u_last AS (SELECT item, arg_max(qty, struct_pack(a := ts, b := cmd_id)) AS qty FROM u_hits GROUP BY 1),
 u_items AS (SELECT i.* REPLACE (coalesce(l.qty, i.quantity) AS quantity,
-    CASE WHEN l.qty IS NULL THEN i.line_total ELSE cast(i.unit_price * l.qty as decimal(10,2)) END AS line_total)
+    CASE WHEN l.qty IS NULL THEN i.line_total ELSE cast(i.unit_price * l.qty as decimal(28,2)) END AS line_total)
   FROM v_items i LEFT JOIN u_last l ON l.item = i.id)
 """
 _LINE_VIEWS = "v_orders v_items v_line_commands"
@@ -187,7 +187,7 @@ def order_item_qty_lines(spark: SparkSession, base: str) -> DataFrame:
     "order_item_qty_totals",
     with_views(_LINE_VIEWS, f"""{_SETS.strip()}
     SELECT o.id, o.user_id, CASE WHEN o.id IN (SELECT order_id FROM u_hits) THEN
-        cast((SELECT sum(line_total) FROM u_items i WHERE i.order_id = o.id) as decimal(10,2)) ELSE o.total_amount END AS total_amount
+        cast((SELECT sum(line_total) FROM u_items i WHERE i.order_id = o.id) as decimal(28,2)) ELSE o.total_amount END AS total_amount
     FROM v_orders o"""),
 )
 def order_item_qty_totals(spark: SparkSession, base: str) -> DataFrame:
@@ -236,7 +236,7 @@ def order_delete_outcome(spark: SparkSession, base: str) -> DataFrame:
     "order_delete_totals",
     with_views(_LINE_VIEWS, f"""{_REMOVALS.strip()}
     SELECT o.id, o.user_id, CASE WHEN o.id IN (SELECT ord FROM r_gone) THEN
-        cast((SELECT sum(line_total) FROM r_items i WHERE i.order_id = o.id) as decimal(10,2)) ELSE o.total_amount END AS total_amount
+        cast((SELECT sum(line_total) FROM r_items i WHERE i.order_id = o.id) as decimal(28,2)) ELSE o.total_amount END AS total_amount
     FROM v_orders o WHERE o.id NOT IN (SELECT ord FROM r_emptied)"""),
 )
 def order_delete_totals(spark: SparkSession, base: str) -> DataFrame:
