@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import packing
+from quire.llm import bestfit, divergence, packing, ring
 from quire.llm.common import table
 
 
@@ -15,5 +15,20 @@ def op1_packing(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_packing": op1_packing}
+def op5_quality(spark: SparkSession, base: str) -> DataFrame:
+    return divergence.quality(table(spark, base, "documents"))
+
+
+def op7_sharding(spark: SparkSession, base: str) -> DataFrame:
+    out = ring.shard_documents(table(spark, base, "documents"), shards=40)
+    return out.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op8_binary_output(spark: SparkSession, base: str) -> DataFrame:
+    return bestfit.pack_matrix(table(spark, base, "documents"))
+
+
+QUERIES = {q.__name__: q for q in (op1_packing, op5_quality, op7_sharding, op8_binary_output)}
 ORACLES: dict[str, str] = {}
