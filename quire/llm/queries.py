@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bestfit, divergence, packing, ring
+from quire.llm import bagminhash, bestfit, divergence, packing, ring
 from quire.llm.common import table
 
 
@@ -30,5 +30,9 @@ def op8_binary_output(spark: SparkSession, base: str) -> DataFrame:
     return bestfit.pack_matrix(table(spark, base, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op1_packing, op5_quality, op7_sharding, op8_binary_output)}
+def op9_minhash(spark: SparkSession, base: str) -> DataFrame:
+    return bagminhash.near_duplicates(table(spark, base, "documents"))
+
+
+QUERIES = {q.__name__: q for q in (op1_packing, op5_quality, op7_sharding, op8_binary_output, op9_minhash)}
 ORACLES: dict[str, str] = {}
