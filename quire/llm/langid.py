@@ -74,7 +74,6 @@ class Field:
     bits: int
     weights: np.ndarray  # table rows x languages
     moves: np.ndarray  # log weights of transitions
-    first: np.ndarray
 
     def scores(self, w: Words) -> np.ndarray:
         """Words x languages."""
@@ -84,40 +83,68 @@ class Field:
         return out
 
 
-def forward_backward(field: Field, scores: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities of the languages of each word, and expected transitions.
+def forward_backward(
+    field: Field, scores: np.ndarray, lengths: np.ndarray, learn: bool = False, block: int = 512
+) -> tuple[np.ndarray, np.ndarray | None]:
+    """Probabilities of the languages of each word, and when learning the expected transitions.
 
-    scores: words of sequences of the given lengths, one after the other.  All sequences advance
-    together, the longest ones alone at the end."""
-    order = np.argsort(-lengths, kind="stable")
-    begin = (np.cumsum(lengths) - lengths)[order]
-    sizes = lengths[order]
-    top = scores.max(axis=1, keepdims=True) if len(scores) else scores
-    emit = np.exp(np.maximum(scores - top, -60.0))
+    scores: words of sequences of the given lengths, one after the other.  Sequences are cut into
+    blocks; what a block does to any state before it is a small matrix, and the product of
+    these gives every block's state at both ends, so that all blocks of a batch run side by
+    side, however long one text is."""
+    k = len(field.moves)
+    if not len(scores):
+        return np.zeros((0, k)), np.zeros((k, k))
+    emit = np.exp(np.maximum(scores - scores.max(axis=1, keepdims=True), -60.0))
     move = np.exp(field.moves - field.moves.max())
-    alpha, beta = np.zeros_like(emit), np.zeros_like(emit)
-    longest = int(sizes[0]) if len(sizes) else 0
-    active = np.searchsorted(-sizes, -np.arange(longest), side="left")  # sequences longer than t
-    now = None
-    for t in range(longest):
+    lengths = lengths[lengths > 0]
+    per = -(-lengths // block)
+    head = np.cumsum(per) - per  # of each sequence, its first block
+    place = np.arange(per.sum()) - np.repeat(head, per)
+    begin = np.repeat(np.cumsum(lengths) - lengths, per) + place * block
+    size = np.minimum(np.repeat(lengths, per) - place * block, block)
+    enter, leave = np.full((len(size), k), 1.0 / k), np.full((len(size), k), 1.0 / k)
+    even = lambda x: x / x.sum(axis=-1, keepdims=True)
+    order = np.argsort(-size, kind="stable")
+    begin, size = begin[order], size[order]
+    steps = range(int(size[0]))
+    active = np.searchsorted(-size, -np.arange(len(steps)), side="left")  # blocks longer than t
+    if per.max() > 1:
+        some = np.flatnonzero(np.repeat(per > 1, per)[order])  # a sequence of one block needs no matrix
+        some_begin, some_active = begin[some], np.searchsorted(some, active)
+        now = np.tile(np.eye(k), (len(some), 1, 1))
+        for t in steps:
+            n = some_active[t]
+            onward = (now[:n].reshape(-1, k) @ move).reshape(n, k, k) * emit[some_begin[:n] + t][:, None, :]
+            now[:n] = onward / onward.sum(axis=(1, 2), keepdims=True)
+        does = np.empty((len(size), k, k))
+        does[order[some]] = now
+        for j in range(1, int(per.max())):
+            at = head[per > j] + j
+            enter[at] = even(np.einsum("ni,nij->nj", enter[at - 1], does[at - 1]))
+            back = (head + per)[per > j] - j - 1  # from the end
+            leave[back] = even(np.einsum("nij,nj->ni", does[back + 1], leave[back + 1]))
+    enter, leave = enter[order], leave[order]
+    alpha, beta = np.empty_like(emit), np.empty_like(emit)
+    now = enter
+    for t in steps:
         at = begin[: active[t]] + t
-        now = (np.exp(field.first) if t == 0 else now[: len(at)] @ move) * emit[at]
-        now = now / now.sum(axis=1, keepdims=True)
+        now = even((now[: len(at)] @ move) * emit[at])
         alpha[at] = now
-    expected = np.zeros_like(move)
-    for t in range(longest - 1, -1, -1):
-        n = active[t]
-        at, m = begin[:n] + t, active[t + 1] if t + 1 < longest else 0
-        back = np.full((n, len(move)), 1.0 / len(move))
+    for t in reversed(steps):
+        n, m = active[t], active[t + 1] if t + 1 < len(steps) else 0
+        at = begin[:n] + t
+        now = leave[:n].copy()
         if m:
-            onward = emit[at[:m] + 1] * beta[at[:m] + 1]
-            back[:m] = onward @ move.T
-            joint = alpha[at[:m]][:, :, None] * move[None] * onward[:, None, :]
-            expected += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-            back[:m] /= back[:m].sum(axis=1, keepdims=True)
-        beta[at] = back
-    post = alpha * beta
-    return post / np.maximum(post.sum(axis=1, keepdims=True), 1e-300), expected
+            now[:m] = even((emit[at[:m] + 1] * beta[at[:m] + 1]) @ move.T)
+        beta[at] = now
+    if not learn:
+        return even(alpha * beta), None
+    inner = np.ones(len(emit), bool)
+    inner[np.cumsum(lengths) - 1] = False
+    inner = np.flatnonzero(inner)
+    joint = alpha[inner][:, :, None] * move[None] * (emit * beta)[inner + 1][:, None, :]
+    return even(alpha * beta), (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
 
 
 def fit(texts: Sequence[str], labels: Sequence[str], bits: int = 16, rounds: int = 4, parts: int = 6, seed: int = 5) -> Field:
@@ -140,7 +167,7 @@ def fit(texts: Sequence[str], labels: Sequence[str], bits: int = 16, rounds: int
         counts[:, c] = np.bincount(w.grams[gram_gold == c], minlength=rows) + sum(np.bincount(w.single[gold == c, j], minlength=rows) for j in range(3))
     rate = np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * rows))
     seen = counts.sum(axis=1, keepdims=True) > 0
-    field = Field(languages, bits, np.where(seen, 0.2 * (rate - rate.mean(axis=1, keepdims=True)), 0.0), np.full((k, k), -2.0) + 2.0 * np.eye(k), np.zeros(k))
+    field = Field(languages, bits, np.where(seen, 0.2 * (rate - rate.mean(axis=1, keepdims=True)), 0.0), np.full((k, k), -2.0) + 2.0 * np.eye(k))
     power, power_moves = np.full((rows, k), 1e-2), np.full((k, k), 1.0)
     for _ in range(rounds):
         for share in np.array_split(rng.permutation(len(runs)), parts):
@@ -155,7 +182,7 @@ def fit(texts: Sequence[str], labels: Sequence[str], bits: int = 16, rounds: int
             stops = np.cumsum(size)
             at = np.arange(stops[-1]) + np.repeat((w.ends - w.size)[words] - (stops - size), size)
             part = Words(w.owner[words], size, w.single[words], w.grams[at], stops)
-            post, expected = forward_backward(field, field.scores(part), lengths)
+            post, expected = forward_backward(field, field.scores(part), lengths, learn=True)
             gap = post
             gap[np.arange(len(words)), gold[words]] -= 1
             slope = np.empty((rows, k))
@@ -191,7 +218,7 @@ def label(field: Field, texts: Sequence[str | None], most: int = 1 << 20) -> Ite
         return
     owner, size, score = np.concatenate(owners), np.concatenate(sizes), np.concatenate(scores).astype(np.float64)
     lengths = np.bincount(owner, minlength=len(texts))
-    post, _ = forward_backward(field, score, lengths[lengths > 0])
+    post, _ = forward_backward(field, score, lengths)
     share = np.stack([np.bincount(owner, post[:, c] * size, len(texts)) for c in range(len(field.languages))], axis=1)
     best = post.argmax(axis=1)
     ends = np.cumsum(lengths)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bagminhash, bestfit, divergence, packing, ring, suffixes
+from quire.llm import ann, bagminhash, bestfit, divergence, langid, packing, ring, suffixes
 from quire.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_packing(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
+def op2_language_id(spark: SparkSession, base: str) -> DataFrame:
+    return langid.identify(table(spark, base, "documents"))
+
+
 def op4_suffix_dedup(spark: SparkSession, base: str) -> DataFrame:
     out = suffixes.remove_repeats(table(spark, base, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -24,6 +28,10 @@ def op5_quality(spark: SparkSession, base: str) -> DataFrame:
     return divergence.quality(table(spark, base, "documents"))
 
 
+def op6_nearest(spark: SparkSession, base: str) -> DataFrame:
+    return ann.nearest(table(spark, base, "embeddings"))
+
+
 def op7_sharding(spark: SparkSession, base: str) -> DataFrame:
     out = ring.shard_documents(table(spark, base, "documents"), shards=40)
     return out.select(
@@ -39,5 +47,17 @@ def op9_minhash(spark: SparkSession, base: str) -> DataFrame:
     return bagminhash.near_duplicates(table(spark, base, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op1_packing, op4_suffix_dedup, op5_quality, op7_sharding, op8_binary_output, op9_minhash)}
+QUERIES = {
+    q.__name__: q
+    for q in (
+        op1_packing,
+        op2_language_id,
+        op4_suffix_dedup,
+        op5_quality,
+        op6_nearest,
+        op7_sharding,
+        op8_binary_output,
+        op9_minhash,
+    )
+}
 ORACLES: dict[str, str] = {}
