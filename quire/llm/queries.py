@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import ann, bagminhash, bestfit, divergence, langid, packing, ring, suffixes
+from quire.llm import ann, bagminhash, bestfit, divergence, langid, packing, pieces, ring, suffixes
 from quire.llm.common import table
 
 
@@ -47,6 +47,11 @@ def op9_minhash(spark: SparkSession, base: str) -> DataFrame:
     return bagminhash.near_duplicates(table(spark, base, "documents"))
 
 
+def op10_sentencepiece(spark: SparkSession, base: str) -> DataFrame:
+    done = pieces.decode(pieces.encode(table(spark, base, "documents")))
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     q.__name__: q
     for q in (
@@ -58,6 +63,7 @@ QUERIES = {
         op7_sharding,
         op8_binary_output,
         op9_minhash,
+        op10_sentencepiece,
     )
 }
 ORACLES: dict[str, str] = {}
