@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import ann, bagminhash, bestfit, divergence, langid, packing, pieces, ring, suffixes
+from quire.llm import ann, bagminhash, bestfit, divergence, langid, packing, pieces, pii, ring, suffixes
 from quire.llm.common import table
 
 
@@ -19,6 +19,17 @@ def op2_language_id(spark: SparkSession, base: str) -> DataFrame:
     return langid.identify(table(spark, base, "documents"))
 
 
+def op3_pii(spark: SparkSession, base: str) -> DataFrame:
+    found = pii.find(table(spark, base, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id",
+        *(count(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)),
+        F.sha2(pii.shown(F.col("base")), 256).alias("base_sha256"),
+        pii.shown(F.col("spans")).alias("spans"),
+    )
+
+
 def op4_suffix_dedup(spark: SparkSession, base: str) -> DataFrame:
     out = suffixes.remove_repeats(table(spark, base, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -57,6 +68,7 @@ QUERIES = {
     for q in (
         op1_packing,
         op2_language_id,
+        op3_pii,
         op4_suffix_dedup,
         op5_quality,
         op6_nearest,
