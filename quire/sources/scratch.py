@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,9 +33,20 @@ def written(df: DataFrame, base: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession) -> None:
-    """Delete what this process has written there; only once no result needs it any more."""
+@contextmanager
+def collected() -> Iterator[set[str]]:
+    """The places taken inside the block, for ``clear``."""
+    before, made = set(_FOLDERS), set()
+    try:
+        yield made
+    finally:
+        made |= _FOLDERS - before
+
+
+def clear(spark: SparkSession, folders: Iterable[str] | None = None) -> None:
+    """Delete these places, or all that this process has taken; only once no result needs them any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _FOLDERS:
-        path = jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop())
+    for folder in list(_FOLDERS if folders is None else folders):
+        path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
+        _FOLDERS.discard(folder)
