@@ -184,7 +184,8 @@ def near_duplicates(
     star_rounds: int = 4,
     members: int = 512,
 ) -> DataFrame:
-    """One row per document: doc_id, copy_of (smallest id with the same text), class_id (smallest id of its class).
+    """One row per document: doc_id, copy_of (smallest id with the same text), class_id (smallest id of its class),
+    print (MD5 of the text).
 
     A class is a connected component of links; equal texts are linked, and so are texts whose
     shingle multisets have a weighted Jaccard similarity of ``threshold`` or more (a
@@ -228,4 +229,19 @@ def near_duplicates(
         done = checked if done is None else done.unionByName(checked)
         labels = components(done.filter("linked"))
     out = marked.select(F.col("node").alias("doc_id"), "print").join(same, "print").join(labels, F.col("copy_of") == labels["node"], "left")
-    return out.select("doc_id", "copy_of", F.coalesce("component", "copy_of").alias("class_id"))
+    return out.select("doc_id", "copy_of", F.coalesce("component", "copy_of").alias("class_id"), "print")
+
+
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` with all their columns, one of each class: the one with the smallest id.
+
+    Rows without an id stay once for each text that no row with an id has.
+    """
+    found = near_duplicates(docs, doc_id, text, **options)
+    key = F.col(f"`{doc_id}`")
+    first = found.filter(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("_first")).distinct()
+    kept = docs.filter(key.isNotNull()).join(first, key.cast("long") == F.col("_first"), "left_semi").dropDuplicates([doc_id])
+    alone = found.filter("doc_id is null and class_id is null").select(F.col("print").alias("_print")).distinct()
+    unnamed = docs.filter(key.isNull()).withColumn("_print_of", F.unhex(F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")))))
+    unnamed = unnamed.join(alone, F.col("_print_of") == F.col("_print"), "left_semi").dropDuplicates(["_print_of"]).drop("_print_of")
+    return kept.unionByName(unnamed)

@@ -243,6 +243,19 @@ def training_rows(docs: DataFrame, held_out: Column, per_language: int, most_lan
     return [(r["text"], r["lang"]) for r in chosen.orderBy("lang", "n").select("text", "lang").collect()]
 
 
+def learned_field(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 250, most_languages: int = 64, bits: int = 16
+) -> Field | None:
+    """The field fitted on the documents that are not held out; None if there is nothing to learn from."""
+    rows = common.columns(docs, doc_id=doc_id, text=text, lang=lang)
+    learned = training_rows(rows, F.coalesce(held_out(F.col("doc_id")), F.lit(True)), per_language, most_languages)
+    return fit([t for t, _ in learned], [x for _, x in learned], bits) if learned else None
+
+
+def held_out(doc_id: Column) -> Column:
+    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+
+
 def identify(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -260,10 +273,8 @@ def identify(
     without a letter, and for all if there is nothing to learn from.  Rows with equal ids are labelled each for
     itself; extra columns are ignored; an empty table gives no rows.
     """
-    rows = common.columns(docs, doc_id=doc_id, text=text, lang=lang)
-    out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
-    learned = training_rows(rows, F.coalesce(out, F.lit(True)), per_language, most_languages)
-    field = fit([t for t, _ in learned], [x for _, x in learned], bits) if learned else None
+    rows = common.columns(docs, doc_id=doc_id, text=text)
+    field = learned_field(docs, doc_id, text, lang, per_language, most_languages, bits)
 
     import pyarrow as pa
 
@@ -279,5 +290,29 @@ def identify(
                 columns = [pa.array([x or unknown for x in names]), pa.array(scores, pa.float64()), pa.array(runs, kind)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "held_out", "lang_pred", "score", "runs"])
 
-    given = rows.select(F.col("doc_id").cast("long"), F.coalesce(out, F.lit(False)).alias("held_out"), "text")
+    given = rows.select(F.col("doc_id").cast("long"), F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "text")
     return given.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, runs array<struct<lang:string,words:int>>")
+
+
+def keep_identified(docs: DataFrame, least: float = 0.4, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", **bounds: int) -> DataFrame:
+    """The rows of ``docs`` with all their columns whose text has letters and one language with a share of at least ``least``.
+
+    Without anything to learn from no text is rejected but those without a letter.
+    """
+    field = learned_field(docs, doc_id, text, lang, **bounds)
+    place = docs.columns.index(text)
+
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 4096):
+                batch = whole.slice(start, 4096)
+                texts = batch.column(place).to_pylist()
+                if field:
+                    good = [score >= least for _, score, _ in label(field, texts)]
+                else:
+                    good = [any(map(str.isalpha, t or "")) for t in texts]
+                yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

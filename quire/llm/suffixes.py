@@ -259,7 +259,19 @@ def merged(spans: Sequence[tuple[int, int]], size: int) -> list[tuple[int, int]]
     return out
 
 
-def _cut():
+def whole_characters(runs: Sequence[tuple[int, int]], data: bytes) -> list[tuple[int, int]]:
+    """Runs without the characters that they cover in part."""
+    out = []
+    for start, end in runs:
+        while start < end and data[start] & 0xC0 == 0x80:
+            start += 1
+        while start < end < len(data) and data[end] & 0xC0 == 0x80:
+            end -= 1
+        out.append((start, end))
+    return [(a, b) for a, b in out if a < b]
+
+
+def _cut(as_text: bool):
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,15 +280,18 @@ def _cut():
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 data, at, kept, removed = text.encode("utf-8", "replace"), 0, [], 0
                 runs = merged([(s["from"], s["to"]) for s in spans or ()], len(data))
+                if as_text:
+                    runs = whole_characters(runs, data)
                 for start, end in runs:
                     kept.append(data[at:start])
                     removed += end - start
                     at = end
-                for out, x in zip(rows, (len(data), removed, len(runs), b"".join([*kept, data[at:]])), strict=True):
+                left = b"".join([*kept, data[at:]])
+                for out, x in zip(rows, (len(data), removed, len(runs), left.decode() if as_text else left), strict=True):
                     out.append(x)
             arrays = [batch.column(k) for k, n in enumerate(batch.schema.names) if n not in ("text", "spans")]
             names = [n for n in batch.schema.names if n not in ("text", "spans")]
-            arrays += [pa.array(r, t) for r, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
+            arrays += [pa.array(r, t) for r, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary()), strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, [*names, "n_bytes", "n_removed", "n_spans", "kept"])
 
     return run
@@ -289,12 +304,13 @@ def remove_repeats(
     length: int = 200,
     crowd: int = 200_000,
     slice_bytes: int = 2 << 20,
+    as_text: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs``: the ``carried`` columns, n_bytes, n_removed, n_spans, kept.
 
     Every byte of a string of ``length`` bytes that also starts anywhere else is removed, in the same text
     or another row's; equal rows remove each other whole.  A null text counts as empty; texts shorter than
-    ``length`` bytes stay.  ``kept`` holds the bytes left, concatenated, which may cut through a character.
+    ``length`` bytes stay.  ``kept`` holds the bytes left, concatenated, which may cut through a character; with ``as_text`` characters covered in part stay, and it is a string.
     More than ``crowd`` different contexts of one leading string are dealt out by
     offset and a longer leading string.  Texts are told apart by a 64-bit hash.  Columns that are not
     carried are ignored; carried ones may have any name but those above.  An empty table gives no rows.
@@ -331,5 +347,5 @@ def remove_repeats(
     spans = compared.unionByName(settled).unionByName(copies).groupBy("key").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
     joined = base.join(spans, "key", "left").drop("key")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields if f.name.startswith("_c"))
-    out = joined.mapInArrow(_cut(), f"{kinds}, n_bytes long, n_removed long, n_spans long, kept binary")
+    out = joined.mapInArrow(_cut(as_text), f"{kinds}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
     return out.withColumnsRenamed({f"_c{i}": c for i, c in enumerate(carried)})
