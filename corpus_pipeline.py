@@ -27,14 +27,12 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Long passages that stand in several places are cut out of the texts."""
-    names = [c for c in docs.columns if c != "text"]
-    out = suffixes.remove_repeats(docs, carried=names, as_text=True)
-    return _counted(out.withColumnRenamed("kept", "text"), docs.columns)
+    return _counted(suffixes.cut_texts(docs))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data are replaced by the names of their kinds."""
-    return _counted(pii.redact(docs), docs.columns)
+    return _counted(pii.redact(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +40,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-def _counted(docs: DataFrame, names: list[str]) -> DataFrame:
-    if "n_chars" in names:
-        docs = docs.withColumn("n_chars", F.length("text").cast("long"))
-    return docs.select(*names)
+def _counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
 
 
 def _stage(number: int, work: Stage) -> Stage:

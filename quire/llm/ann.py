@@ -94,7 +94,7 @@ def nearest(
     query's id.  score is the Euclidean distance of the original vectors in double precision, ties
     go to the smaller id.  Rows with a null id, and vectors that are null, zero, hold a null or
     non-finite component, or have another length than most, take no part.  Rows that
-    repeat an id are candidates each for itself.  Extra columns are ignored; an empty table gives no rows.
+    repeat an id are candidates each for itself and one query (the smallest vector).  Extra columns are ignored; an empty table gives no rows.
 
     The centroids are fitted on the ``sample`` rows with the smallest hashes of their ids;
     there are sqrt(rows) lists, up to ``most_lists``, of which a query probes the share ``probe``, and more while
@@ -141,7 +141,8 @@ def nearest(
                     [part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(order[row, at].astype(np.int32))], ["id", "v", "list"]
                 )
 
-    asked = written(listed.filter(F.col("id") % every == 0).mapInArrow(choose, "id long, v array<double>, list int"))
+    one_each = listed.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
+    asked = written(one_each.mapInArrow(choose, "id long, v array<double>, list int"))
     asks = {r["list"]: r["n"] for r in asked.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = [(i, math.ceil(n / cell_vectors), math.ceil(asks[i] / cell_queries)) for i, n in held.items() if i in asks]
     grid = F.broadcast(spark.createDataFrame(plan, "list int, blocks int, chunks int"))  # one row per list, at most most_lists

@@ -244,6 +244,10 @@ def find(docs: DataFrame, text: str = "text", carried: Sequence[str] = ("doc_id"
     rows; where no candidate is confirmed, nothing is added.  Carried columns may have any name but ``base`` and
     ``spans``; an empty table gives no rows.
     """
+    return _found(docs, text, carried, precision).withColumnsRenamed({f"_c{i}": c for i, c in enumerate(carried)})
+
+
+def _found(docs: DataFrame, text: str, carried: Sequence[str], precision: float) -> DataFrame:
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     kept = docs.select(*(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carried)), t.alias("t"))
     found = written(kept.select(*(c for c in kept.columns if c != "t"), base_spans(F.col("t")).alias("base"), candidates(F.col("t")).alias("cands"), (F.xxhash64("t") % 2 == 0).cast("int").alias("half")))
@@ -256,7 +260,7 @@ def find(docs: DataFrame, text: str = "text", carried: Sequence[str] = ("doc_id"
     added = F.transform(added, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
     added = F.when(F.size("cands") > 0, added).otherwise(_none(_SPAN))
     out = found.withColumn("spans", F.sort_array(F.array_distinct(F.concat("base", added))))
-    return out.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(carried)), "base", "spans")
+    return out.select(*(f"_c{i}" for i in range(len(carried))), "base", "spans")
 
 
 def shown(spans: Column) -> Column:
@@ -277,8 +281,10 @@ def redacted(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
-def redact(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """``docs`` with its spans replaced in the text; null texts stay null, all columns stay as they are."""
+def redact(docs: DataFrame, text: str = "text", precision: float = 0.9) -> DataFrame:
+    """``docs`` with its spans replaced in the text; null texts stay null, all columns and rows stay."""
     names = docs.columns
-    found = find(docs, text, carried=names, **options)
-    return found.withColumn(text, redacted(F.col(f"`{text}`"), F.col("spans"))).select(*(F.col(f"`{n}`") for n in names))
+    found = _found(docs, text, names, precision)
+    place = f"_c{names.index(text)}"
+    found = found.withColumn(place, redacted(F.col(place), F.col("spans")))
+    return found.select(*(F.col(f"_c{i}").alias(n) for i, n in enumerate(names)))

@@ -297,24 +297,31 @@ def _cut(as_text: bool):
     return run
 
 
-def remove_repeats(
-    docs: DataFrame,
-    text: str = "text",
-    carried: Sequence[str] = ("doc_id",),
-    length: int = 200,
-    crowd: int = 200_000,
-    slice_bytes: int = 2 << 20,
-    as_text: bool = False,
-) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", carried: Sequence[str] = ("doc_id",), **options) -> DataFrame:
     """One row per row of ``docs``: the ``carried`` columns, n_bytes, n_removed, n_spans, kept.
 
     Every byte of a string of ``length`` bytes that also starts anywhere else is removed, in the same text
     or another row's; equal rows remove each other whole.  A null text counts as empty; texts shorter than
-    ``length`` bytes stay.  ``kept`` holds the bytes left, concatenated, which may cut through a character; with ``as_text`` characters covered in part stay, and it is a string.
-    More than ``crowd`` different contexts of one leading string are dealt out by
+    ``length`` bytes stay.  ``kept`` holds the bytes left, concatenated, which may cut through a character.
+    More than ``crowd`` (an option) different contexts of one leading string are dealt out by
     offset and a longer leading string.  Texts are told apart by a 64-bit hash.  Columns that are not
     carried are ignored; carried ones may have any name but those above.  An empty table gives no rows.
     """
+    return _removed(docs, text, carried, **options).withColumnsRenamed({f"_c{i}": c for i, c in enumerate(carried)})
+
+
+def cut_texts(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+    """``docs`` with the repeats cut out of the text, but for characters that they cover in part.
+
+    All columns and rows stay; a null text becomes empty."""
+    out = _removed(docs, text, [c for c in docs.columns if c != text], as_text=True, **options)
+    place = iter(f"_c{i}" for i in range(len(docs.columns)))
+    return out.select(*(F.col("kept" if c == text else next(place)).alias(c) for c in docs.columns))
+
+
+def _removed(
+    docs: DataFrame, text: str, carried: Sequence[str], length: int = 200, crowd: int = 200_000, slice_bytes: int = 2 << 20, as_text: bool = False
+) -> DataFrame:
     value = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     base = docs.select(*(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carried)), value.alias("text"), F.xxhash64(value).alias("key"))
     found = written(base.select("key", "text").mapInArrow(_anchor_rows(length, slice_bytes), "lead long, context long, key long, position long, state int"))
@@ -347,5 +354,4 @@ def remove_repeats(
     spans = compared.unionByName(settled).unionByName(copies).groupBy("key").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
     joined = base.join(spans, "key", "left").drop("key")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields if f.name.startswith("_c"))
-    out = joined.mapInArrow(_cut(as_text), f"{kinds}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
-    return out.withColumnsRenamed({f"_c{i}": c for i, c in enumerate(carried)})
+    return joined.mapInArrow(_cut(as_text), f"{kinds}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
