@@ -8,10 +8,10 @@ registers, which keep their first point.  Two documents agree in a register with
 probability of exactly sum(min) / sum(max) of their counts, the weighted Jaccard
 similarity.  Points are drawn in the order of time and only until all registers are filled.
 
-Bands of registers give buckets.  Bucket members are compared with one member (star rounds),
-linked ones form components, and what is left in a bucket between different components
-is compared after a few rounds pair by pair; every comparison is the exact multiset
-overlap of the whole texts.
+Bands of registers give buckets.  All members of a bucket are compared with one of them, and linked ones
+form components.  What is left in a bucket between different components is compared pair by
+pair, in crowded buckets by blocks whose overlaps are one matrix product.  Every
+comparison is the exact multiset overlap of the whole texts.
 """
 
 from __future__ import annotations
@@ -173,6 +173,66 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: float,
     return dealt.select("center", "node", "text").mapInArrow(_compare(width, threshold), "a long, b long, linked boolean")
 
 
+def linked_pairs(texts: list[str], group: np.ndarray, width: int, threshold: float, columns: int = 4096) -> list[tuple[int, int]]:
+    """Pairs of texts of different groups with a similarity of ``threshold`` or more, as far as they join groups.
+
+    All overlaps at once: a copy of a shingle is a column of a 0-1 matrix, whose product with itself
+    counts shared copies; columns that only one text has are left out, the others taken in parts."""
+    owner, hashes, counts = counted(*shingles(texts, width))
+    size = np.bincount(owner, weights=counts, minlength=len(texts))
+    copy = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    owner = np.repeat(owner, counts)
+    _, column, many = np.unique(common.mixed(np.repeat(hashes, counts) + common.mixed(copy.astype(np.uint64), 3)), return_inverse=True, return_counts=True)
+    shared = many[column] > 1
+    column = (np.cumsum(many > 1) - 1)[column[shared]]
+    owner = owner[shared]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((len(texts), len(texts)), np.float32)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        a, b = np.searchsorted(column, [low, low + columns])
+        part = np.zeros((len(texts), columns), np.float32)
+        part[owner[a:b], column[a:b] - low] = 1
+        both += part @ part.T
+    either = size[:, None] + size[None, :] - both
+    hit = (both > 0) & (both >= threshold * either - 1e-6) & (group[:, None] < group[None, :])
+    out, parent = [], {}
+
+    def top(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for i, j in zip(*np.nonzero(hit), strict=True):
+        p, q = top(int(group[i])), top(int(group[j]))
+        if p != q:
+            parent[q] = p
+            out.append((int(i), int(j)))
+    return out
+
+
+def _compared_blocks(at: DataFrame, texts: DataFrame, width: int, threshold: float, block: int) -> DataFrame:
+    """(a, b) links between the components in each bucket.
+
+    A bucket's members are dealt into blocks, and each pair of blocks is compared in one task, so
+    that a bucket of any size takes bounded memory and no pair becomes a row unless it is a link."""
+    import pyarrow as pa
+
+    sizes = at.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    own = at.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "key", "node", "component", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")
+    )
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, group = table.column("node").to_numpy(), table.column("component").to_numpy()
+        pairs = linked_pairs(table.column("text").to_pylist(), group, width, threshold) if len(set(group.tolist())) > 1 else []
+        a, b = ([int(node[p[k]]) for p in pairs] for k in range(2))
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return rows.join(texts, "node").groupBy("key", "x", "y").applyInArrow(compare, "a long, b long")
+
+
 def near_duplicates(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -181,8 +241,9 @@ def near_duplicates(
     threshold: float = 0.8,
     bands: int = 32,
     rows: int = 5,
-    star_rounds: int = 4,
     members: int = 512,
+    crowd: int = 32,
+    block: int = 512,
 ) -> DataFrame:
     """One row per document: doc_id, copy_of (smallest id with the same text), class_id (smallest id of its class),
     print (MD5 of the text).
@@ -205,29 +266,26 @@ def near_duplicates(
     wanted = written(inside.select("node").distinct())
     texts = written(source.join(wanted, "node").dropDuplicates(["node"]))
 
-    at, done, labels = inside.withColumn("component", F.col("node")), None, None
-    for turn in range(star_rounds + 1):
-        if labels is not None:  # only buckets that hold pairs not compared yet: three members or more, not all together
-            at = inside.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            sizes = at.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n"))
-            at = written(at.join(sizes.filter("x < y and n > 2").select("key"), "key"))
-            if at.isEmpty():
-                break
-        if turn < star_rounds:
-            head = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "component"))
-            heads = at.groupBy("key").agg(head.alias("head")).select("key", F.col("head.node").alias("b"), F.col("head.component").alias("other"))
-            pairs = at.join(heads, "key").filter(F.col("component") != F.col("other")).select(F.col("node").alias("a"), "b").distinct()
-        else:  # the rest, pair by pair
-            x, y = at.select("key", F.col("node").alias("a"), F.col("component").alias("p")), at.select("key", F.col("node").alias("b"), F.col("component").alias("q"))
-            pairs = x.join(y, "key").filter("p < q").select("a", "b").distinct()
-        if done is not None:
-            swapped = done.select(F.col("b").alias("a"), F.col("a").alias("b"))
-            pairs = written(pairs.join(done.select("a", "b").unionByName(swapped), ["a", "b"], "left_anti"))
-            if pairs.isEmpty():
-                continue
-        checked = written(_verified(pairs, texts, width, threshold, members))
-        done = checked if done is None else done.unionByName(checked)
-        labels = components(done.filter("linked"))
+    # Every member with one member of its bucket, the same one in all buckets where it can be.
+    center = F.min(F.struct(F.xxhash64("node").alias("h"), "node"))
+    heads = inside.groupBy("key").agg(center.alias("c")).select("key", F.col("c.node").alias("b"))
+    pairs = inside.join(heads, "key").select(F.col("node").alias("a"), "b").filter("a != b").distinct()
+    done = written(_verified(pairs, texts, width, threshold, members))
+    links = done.filter("linked").select("a", "b")
+    labels = components(links)
+    # What is left: buckets of three or more that are not together yet.  Small ones pair by pair, once each; crowds by blocks.
+    at = inside.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = at.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count(F.lit(1)).alias("n"))
+    at = written(at.join(sizes.filter("p < q and n > 2").select("key", "n"), "key"))
+    if not at.isEmpty():
+        few = at.filter(F.col("n") <= crowd)
+        x, y = (few.select("key", F.col("node").alias(n), F.col("component").alias(c)) for n, c in (("a", "p"), ("b", "q")))
+        known = done.select("a", "b").unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        rest = written(x.join(y, "key").filter("p < q").select("a", "b").distinct().join(known, ["a", "b"], "left_anti"))
+        more = _verified(rest, texts, width, threshold, members).filter("linked").select("a", "b")
+        crowds = _compared_blocks(at.filter(F.col("n") > crowd).select("key", "node", "component"), texts, width, threshold, block)
+        links = written(links.unionByName(more).unionByName(crowds))
+        labels = components(links)
     out = marked.select(F.col("node").alias("doc_id"), "print").join(same, "print").join(labels, F.col("copy_of") == labels["node"], "left")
     return out.select("doc_id", "copy_of", F.coalesce("component", "copy_of").alias("class_id"), "print")
 

@@ -393,9 +393,9 @@ def test_near_duplicates(spark):
     for _ in range(12):
         base = make(rng.choice([8, 60, 200]))
         texts.append(base)
-        for _ in range(8):
+        for _ in range(10):
             copy = list(base)
-            for _ in range(rng.randint(0, max(1, len(base) // 40))):
+            for _ in range(rng.randint(0, max(1, len(base) // 20))):
                 copy[rng.randrange(len(copy))] = "changed"
             texts.append(copy)
     whole = [" ".join(t) for t in texts] + ["", "", "one two", "one two", "same words " * 40, "same words " * 60]
@@ -413,8 +413,8 @@ def test_near_duplicates(spark):
                 a, b = sorted((top(i), top(j)))
                 parent[b] = a
     df = spark.createDataFrame(list(enumerate(whole)), "doc_id long, text string").repartition(6)
-    for rounds in (0, 3):  # all pairs at once, and stars first
-        found = {r["doc_id"]: r["class_id"] for r in bagminhash.near_duplicates(df, star_rounds=rounds, members=5).collect()}
+    for crowd in (2, 1000):  # crowded buckets by blocks, and pair by pair
+        found = {r["doc_id"]: r["class_id"] for r in bagminhash.near_duplicates(df, members=5, crowd=crowd, block=3).collect()}
         assert found == {i: top(i) for i in range(len(whole))}
 
 
