@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import exprs as X
 from quire.operators.catalog import resolve
-from quire.operators.skew import durable, lookup_join, salted_join
+from quire.operators.skew import written
 
 KEY = ["user_id", "book_id"]
 COLUMNS = (
@@ -54,7 +54,7 @@ def consolidate(cart: DataFrame) -> DataFrame:
 def cart_view(cart: DataFrame, users: DataFrame | None = None) -> DataFrame:
     """What each user sees, newest first; ``users`` (user_id) limits the owners."""
     if users is not None:
-        cart = salted_join(cart, users.select("user_id").distinct(), ["user_id"], "left_semi", "id")
+        cart = cart.join(users.select("user_id"), "user_id", "left_semi")
     return (
         consolidate(cart)
         .withColumnsRenamed({"title": "book_title", "unit_price": "price"})
@@ -70,7 +70,7 @@ def duplicates(cart: DataFrame) -> DataFrame:
 
 def items_by_ids(cart: DataFrame, requests: DataFrame) -> DataFrame:
     """Cart rows named by requests (user_id, cart_item_ids) of their owner."""
-    wanted = requests.select("user_id", F.explode(X.distinct_ids("cart_item_ids")).alias("id")).distinct()
+    wanted = requests.select("user_id", F.explode(X.distinct_ids("cart_item_ids")).alias("id"))
     return cart.join(wanted, ["id", "user_id"], "left_semi")
 
 
@@ -92,7 +92,7 @@ def add_faults() -> Column:
 def resolve_adds(commands: DataFrame, books: DataFrame) -> DataFrame:
     """Add commands with ``status``, the number ``qty`` and the resolved ``item``."""
     checked = commands.withColumns({"faults": add_faults(), "qty": X.quantity_or_null("quantity")})
-    return resolve(checked, books, "cmd_id").withColumn(
+    return resolve(checked, books).withColumn(
         "status",
         F.when(F.size("faults") > 0, INVALID).when(F.col("item").isNull(), NOT_FOUND).otherwise(OK),
     )
@@ -114,12 +114,12 @@ def _first_add(cond: Column | None = None) -> Column:
 
 def _stored(cart: DataFrame, keys: DataFrame) -> DataFrame:
     """Per key among ``keys``: the row that is kept and the total; a negative quantity
-    fails the job.  Few keys are broadcast, so the cart is neither shuffled nor sorted."""
+    fails the job."""
     quantity = F.when(
         F.col("quantity").isNull() | (F.col("quantity") < 0),
         F.raise_error(F.lit("invalid existing cart quantity")).cast("int"),
     ).otherwise(F.col("quantity"))
-    rows = lookup_join(cart, keys.select(*KEY), KEY, "left_semi", "id")
+    rows = cart.join(keys.select(*KEY), KEY, "left_semi")
     return rows.groupBy(*KEY).agg(
         F.max_by("id", _newest()).alias("_keep"), F.sum(quantity).alias("_have")
     )
@@ -132,10 +132,10 @@ def _apply(cart: DataFrame, touched: DataFrame) -> DataFrame:
     the struct _new used where no stored row is kept.
     """
     live = F.col("_exists")
-    touched = durable(touched)  # read twice below, and small beside the cart
+    touched = written(touched)  # read twice below, and small beside the cart
     changes = touched.select(*KEY, F.lit(True).alias("_touched"), "_keep", "_exists", "_qty", "_updated")
     merged = (
-        lookup_join(cart, changes, KEY, "left", "id")
+        cart.join(changes, KEY, "left")
         .filter(F.col("_touched").isNull() | (live & F.col("_keep").eqNullSafe(F.col("id"))))
         .withColumns(
             {
@@ -160,7 +160,7 @@ def add_to_cart(cart: DataFrame, books: DataFrame, commands: DataFrame) -> CartC
     """Add commands: merge into the newest row of the key, whose other data stay, or
     insert a row with the catalog's data.  Keys without a command stay as they are."""
     resolved = resolve_adds(commands, books)
-    adds = durable(
+    adds = written(
         resolved.filter(F.col("status") == OK)
         .groupBy("user_id", F.col("item.book_id").alias("book_id"))
         .agg(F.sum("qty").alias("_add"), _first_add().alias("_new"), F.max("ts").alias("_updated"))
@@ -232,7 +232,7 @@ def fold_commands(cart: DataFrame, books: DataFrame, commands: DataFrame) -> Dat
         .filter(F.col("status") == OK)
         .select("cmd_id", "user_id", F.col("item.book_id").alias("book_id"), "ts", "qty", "item")
     )
-    adds = durable(adds)  # read twice below
+    adds = written(adds)  # read twice below
     others = (
         commands.filter(F.col("op").isin("set", "remove"))
         .select("cmd_id", "user_id", X.text_or_null("book_id").alias("book_id"), "op", "ts",
@@ -246,7 +246,8 @@ def fold_commands(cart: DataFrame, books: DataFrame, commands: DataFrame) -> Dat
     )
     marks = marks.select(*KEY, "_removed", F.struct("_s.ts", "_s.cmd_id").alias("_set"), F.col("_s.qty").alias("_set_qty"))
     marks = marks.withColumn("_set", F.when(F.col("_set_qty").isNotNull(), F.col("_set")))
-    marked = salted_join(adds, marks.select(*KEY, "_removed", "_set"), KEY, "left", "cmd_id")
+    marks = written(marks)
+    marked = adds.join(marks.select(*KEY, "_removed", "_set"), KEY, "left")
     after_remove = F.col("_removed").isNull() | (at > F.col("_removed"))
     after_set = after_remove & F.col("_set").isNotNull() & (at > F.col("_set"))
     added = marked.groupBy(*KEY).agg(
@@ -255,7 +256,7 @@ def fold_commands(cart: DataFrame, books: DataFrame, commands: DataFrame) -> Dat
         F.max(F.when(after_remove, F.col("ts"))).alias("_last_add"),
         _first_add(after_remove).alias("_new"),
     )
-    folded = durable(added.join(marks, KEY, "full_outer"))
+    folded = written(added.join(marks, KEY, "full_outer"))
     keys = folded.join(_stored(cart, folded), KEY, "left")
     kept = F.col("_keep").isNotNull() & F.col("_removed").isNull()
     founded = F.col("_new").isNotNull()

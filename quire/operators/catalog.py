@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import exprs as X
-from quire.operators.skew import nest, salted_join
+from quire.operators.skew import SECTION, nest, written
 from quire.sources.tables import add_missing, conform
 
 # The column sets a catalog read falls back through, in order.
@@ -78,8 +78,9 @@ def volumes(books: DataFrame) -> DataFrame:
     )
 
 
-def catalog(books: DataFrame, numeric_order: bool = False, max_items: int | None = None) -> DataFrame:
-    """Nested documents: title attributes with the array ``volumes``.
+def catalog(books: DataFrame, numeric_order: bool = False, section_length: int = SECTION) -> DataFrame:
+    """Nested documents: title attributes with the array ``volumes``, a row for each
+    ``section_length`` volumes of a title.
 
     Sort the result by ``title, section`` for the catalog's order.
     """
@@ -89,8 +90,8 @@ def catalog(books: DataFrame, numeric_order: bool = False, max_items: int | None
         return F.struct(x["volume_number"].alias("volumeNumber"), *[x[c].alias(c) for c in BACKFILLED])
 
     order = volume_order(numeric_order)
-    nested = nest(volumes(books), ["title"], order, fields, item, "volumes", "book_id", max_items)
-    return titles(books).join(nested, "title").select("title", *ATTRIBUTES, "volumes", "section")
+    nested = nest(volumes(books), ["title"], order, fields, item, "volumes", section_length)
+    return nested.join(written(titles(books)), "title").select("title", *ATTRIBUTES, "volumes", "section")
 
 
 def candidates(books: DataFrame) -> DataFrame:
@@ -103,13 +104,13 @@ def candidates(books: DataFrame) -> DataFrame:
     )
 
 
-def resolve(commands: DataFrame, books: DataFrame, spread: str) -> DataFrame:
+def resolve(commands: DataFrame, books: DataFrame) -> DataFrame:
     """Commands (book_id, book_title, volume) with the book they mean in the struct
     ``item`` (book_id, title, volume, cover, price), NULL when there is none."""
     asked = commands.withColumn("_asked", X.requested_book("book_id", "book_title", "volume")).withColumns(
         {"_title": F.lower("_asked.title"), "_volume": X.canonical_volume("_asked.volume")}
     )
-    joined = salted_join(asked, candidates(books), ["_title", "_volume"], "left", spread)
+    joined = asked.join(written(candidates(books)), ["_title", "_volume"], "left")
     item = F.struct(
         X.text_or_null("found.book_id").alias("book_id"),
         F.col("found.title").alias("title"),
@@ -140,24 +141,31 @@ def books_missing_fields(books: DataFrame) -> DataFrame:
 
 def backfill_books(books: DataFrame, fixes: DataFrame) -> DataFrame:
     """Where anything is missing and (title, volume) is listed, take all three
-    columns from the list.  A key listed twice fails the job."""
+    columns from the list.  A key listed twice with different values is left alone: see
+    ``conflicting_fixes``."""
     listed = (
         fixes.filter(F.col("title").isNotNull() & F.col("volume").isNotNull())
         .groupBy("title", "volume")
-        .agg(F.first(F.struct(*BACKFILLED)).alias("_fix"), F.count(F.lit(1)).alias("_n"))
-        .withColumn(
-            "_fix",
-            F.when(F.col("_n") > 1, F.raise_error(F.lit("two fixes for one title and volume")))
-            .otherwise(F.col("_fix")),
-        )
-        .drop("_n")
+        .agg(F.min(F.struct(*BACKFILLED)).alias("_fix"), F.max(F.struct(*BACKFILLED)).alias("_other"))
+        .filter(F.col("_fix") == F.col("_other"))
+        .drop("_other")
     )
-    joined = salted_join(books, listed, ["title", "volume"], "left", "book_id")
+    joined = books.join(written(listed), ["title", "volume"], "left")
     use = lacks_fields() & F.col("_fix").isNotNull()
     filled = {c: F.when(use, F.col(f"_fix.{c}")).otherwise(F.col(c)) for c in BACKFILLED}
     return joined.withColumns(filled).select(*books.columns)
 
 
+def conflicting_fixes(fixes: DataFrame) -> DataFrame:
+    """Keys listed with different values, with the number of these; no book takes any of them."""
+    return (
+        fixes.filter(F.col("title").isNotNull() & F.col("volume").isNotNull())
+        .groupBy("title", "volume")
+        .agg(F.count_distinct(F.struct(*BACKFILLED)).alias("fixes"))
+        .filter("fixes > 1")
+    )
+
+
 def backfill_item_covers(items: DataFrame, books: DataFrame) -> DataFrame:
     """Order lines with an empty cover take the book's, if that is not blank."""
     covers = books.filter(~X.is_blank("cover")).select("book_id", F.col("cover").alias("_cover"))

@@ -9,18 +9,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import NamedTuple
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import exprs as X
 from quire.operators.cart import INVALID, NOT_FOUND, OK
-from quire.operators.skew import durable, salted_join
+from quire.operators.skew import written
 
-# Contested (request, row) pairs that are settled user by user in one pass; beyond
-# this many, rounds over the whole set shrink them first.
-SEQUENTIAL_PAIRS = 500_000
-USER_GROUPS = 32
+# Rounds over the whole set before what is left is served in turn.
+ROUNDS = 2
 
 
 class Checkout(NamedTuple):
@@ -80,63 +78,65 @@ def _one_round(open_pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     needs = open_pairs.groupBy("request_id").agg(F.count(F.lit(1)).alias("_needs"))
     winners = leads.join(needs, "request_id").filter("_leads = _needs").select("request_id")
     taken = first.join(winners, "request_id", "left_semi").select("id")
-    out = salted_join(open_pairs, taken, ["id"], "left_semi", "request_id").select("request_id").distinct()
+    out = open_pairs.join(written(taken), "id", "left_semi").select("request_id").distinct()
     return winners, open_pairs.join(out, "request_id", "left_anti")
 
 
+def _in_turn(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (user_id, ts, request_id, id) come sorted; a request that finds all its rows free takes them.
+
+    Only the ids taken from the user at hand are held."""
+    user = turn = None
+    taken: set[str] = set()
+    asked: list[str] = []
+    won: list[str] = []
+
+    def settle() -> None:
+        if turn is not None and taken.isdisjoint(asked):
+            taken.update(asked)
+            won.append(turn)
+
+    for part in parts:
+        for owner, request, row in zip(*(part.column(n).to_pylist() for n in ("user_id", "request_id", "id")), strict=True):
+            if (owner, request) != (user, turn):
+                settle()
+                if owner != user:
+                    taken.clear()
+                user, turn, asked = owner, request, []
+            asked.append(row)
+        yield pa.RecordBatch.from_arrays([pa.array(won, pa.string())], ["request_id"])
+        won.clear()
+    settle()
+    yield pa.RecordBatch.from_arrays([pa.array(won, pa.string())], ["request_id"])
+
+
 def _serve_in_turn(pairs: DataFrame) -> DataFrame:
-    """Winners when each user's requests are served one after another.
+    """Winners when each user's requests are served one after another."""
+    rows = pairs.select("user_id", "ts", "request_id", "id").repartition("user_id")
+    return rows.sortWithinPartitions("user_id", "ts", "request_id", "id").mapInArrow(_in_turn, "request_id string")
 
-    Users never share a row, so a group of users can be served in one go.
-    """
 
-    def in_turn(rows: pd.DataFrame) -> pd.DataFrame:  # nested, so that workers get it by value
-        asked: dict[tuple, set[str]] = {}
-        for ts, request_id, row in zip(rows["ts"], rows["request_id"], rows["id"]):
-            asked.setdefault((ts, request_id), set()).add(row)
-        taken: set[str] = set()
-        won = []
-        for turn in sorted(asked):
-            if taken.isdisjoint(asked[turn]):
-                taken |= asked[turn]
-                won.append(turn[1])
-        return pd.DataFrame({"request_id": pd.Series(won, dtype="object")})
-
-    group = F.pmod(F.xxhash64("user_id"), F.lit(USER_GROUPS)).alias("_group")
-    rows = pairs.select("request_id", "ts", "id", group)
-    return rows.groupBy("_group").applyInPandas(in_turn, "request_id string")
-
-
-def _rounds(pairs: DataFrame, limit: int) -> Iterator[DataFrame]:
-    while True:
-        pairs = durable(pairs)
-        n = pairs.count()
-        if n == 0:
-            return
-        if n <= limit:
-            yield _serve_in_turn(pairs)
-            return
-        winners, pairs = _one_round(pairs)
-        yield winners
-
-
-def decide(cart: DataFrame, requests: DataFrame, sequential_pairs: int | None = None) -> DataFrame:
-    """Each request with its final status."""
-    limit = SEQUENTIAL_PAIRS if sequential_pairs is None else sequential_pairs
-    checked = durable(_checked_pairs(cart, requests))
+def decide(cart: DataFrame, requests: DataFrame) -> DataFrame:
+    """Each request with its final status.
+
+    Requests that share rows are settled in a fixed number of rounds over the whole set, each of
+    which also settles any number of requests for the same row; chains of requests that are
+    still open then are served user by user in order.
+    """
+    checked = written(_checked_pairs(cart, requests))
     found = _found(checked)
     complete = found.filter("_found = _wanted").select("request_id")
     pairs = checked.join(complete, "request_id", "left_semi").drop("_own")
     shared = pairs.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("id")
-    contested = salted_join(pairs, shared, ["id"], "left_semi", "request_id").select("request_id").distinct()
-    open_pairs = pairs.join(contested, "request_id", "left_semi")
+    contested = pairs.join(written(shared), "id", "left_semi").select("request_id").distinct()
+    left = pairs.join(contested, "request_id", "left_semi")
     valid = _statuses(requests, found.drop("_wanted"))
     won = None
-    for winners in _rounds(open_pairs, limit):
+    for _ in range(ROUNDS):
+        winners, left = _one_round(written(left))
         won = winners if won is None else won.unionByName(winners)
-    if won is None:
-        return valid
-    lost = durable(contested.join(won, "request_id", "left_anti")).withColumn("_lost", F.lit(True))
+    won = won.unionByName(_serve_in_turn(left))
+    lost = written(contested.join(won, "request_id", "left_anti")).withColumn("_lost", F.lit(True))
     return (
         valid.join(lost, "request_id", "left")
         .withColumn("status", F.when(F.col("_lost"), NOT_FOUND).otherwise(F.col("status")))
@@ -144,9 +144,9 @@ def decide(cart: DataFrame, requests: DataFrame, sequential_pairs: int | None =
     )
 
 
-def checkout(cart: DataFrame, requests: DataFrame, sequential_pairs: int | None = None) -> Checkout:
+def checkout(cart: DataFrame, requests: DataFrame) -> Checkout:
     """Serve all requests.  Every cart row goes to at most one order, or stays."""
-    decided = durable(decide(cart, requests, sequential_pairs))
+    decided = written(decide(cart, requests))
     bought = _pairs(decided.filter(F.col("status") == OK)).select("request_id", "ts", "id", "user_id")
     order_id = X.derived_id("request_id")
     lines = (
@@ -184,5 +184,6 @@ def checkout(cart: DataFrame, requests: DataFrame, sequential_pairs: int | None
 
 
 def numbered_lines(lines: DataFrame) -> DataFrame:
-    """Lines in the order they are written: oldest cart row first within an order."""
-    return lines.orderBy("order_id", F.col("cart_created_at").asc_nulls_last(), "cart_item_id")
+    """Lines with ``line_no``, the order in which they are written: oldest cart row first within an order."""
+    oldest = Window.partitionBy("order_id").orderBy(F.col("cart_created_at").asc_nulls_last(), "cart_item_id")
+    return lines.withColumn("line_no", F.row_number().over(oldest))

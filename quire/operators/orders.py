@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import exprs as X
 from quire.operators.cart import INVALID, NOT_FOUND, OK
-from quire.operators.skew import durable, hot_keys, lookup_join, nest, salted_join
+from quire.operators.skew import SECTION, nest, written
 
 RECENT_ORDERS = 3  # fixed value
 ITEM_FIELDS = (
@@ -45,7 +45,7 @@ def items_with_cover(items: DataFrame, books: DataFrame, more: Sequence[str] = (
 def _of_users(orders: DataFrame, users: DataFrame | None) -> DataFrame:
     if users is None:
         return orders
-    return salted_join(orders, users.select("user_id").distinct(), ["user_id"], "left_semi", "id")
+    return orders.join(users.select("user_id"), "user_id", "left_semi")
 
 
 def _newest_first() -> list[Column]:
@@ -71,14 +71,15 @@ def order_history(
     items: DataFrame,
     books: DataFrame,
     users: DataFrame | None = None,
-    max_items: int | None = None,
+    section_length: int = SECTION,
 ) -> DataFrame:
-    """Order documents with nested lines, newest first per user."""
+    """Order documents with nested lines, newest first per user: rows of one user stand together in a
+    part, in this order.  An order has a row for each ``section_length`` lines."""
     chosen = _of_users(orders, users)
     shown = items
     if users is not None:
         ids = chosen.select(F.col("id").alias("order_id"))
-        shown = lookup_join(items, ids, ["order_id"], "left_semi", "id")
+        shown = items.join(ids, "order_id", "left_semi")
     lines = items_with_cover(shown, books)
     fields = ("book_id", "title", "unit_price", "quantity", "line_total", "cover")
 
@@ -92,7 +93,7 @@ def order_history(
             x["unit_price"].alias("price"),
         )
 
-    nested = nest(lines, ["order_id"], [F.col("id")], fields, item, "items", "id", max_items, counted=items)
+    nested = nest(lines, ["order_id"], [F.col("id")], fields, item, "items", section_length)
     item_type = nested.schema["items"].dataType
     return (
         chosen.join(nested.withColumnRenamed("order_id", "id"), "id", "left")
@@ -103,7 +104,8 @@ def order_history(
                 "section": F.coalesce("section", F.lit(0)),
             }
         )
-        .orderBy("user_id", *_newest_first(), "section")
+        .repartition("user_id")
+        .sortWithinPartitions("user_id", *_newest_first(), "section")
     )
 
 
@@ -188,10 +190,9 @@ def _own_lines(commands: DataFrame, items: DataFrame, orders: DataFrame, keys: l
     return commands.join(lines, keys).join(owners, ["order_id", "user_id"])
 
 
-def _retotal(orders: DataFrame, items: DataFrame, touched: DataFrame, stored: DataFrame) -> DataFrame:
-    """Recalculate the totals of the touched orders (order_id) only; ``stored`` are the
-    lines as they were, which are cheaper to look over than the changed ones."""
-    lines = lookup_join(items, touched, ["order_id"], "left_semi", "id", lambda: hot_keys(stored, ["order_id"]))
+def _retotal(orders: DataFrame, items: DataFrame, touched: DataFrame) -> DataFrame:
+    """Recalculate the totals of the touched orders (order_id) only."""
+    lines = items.join(touched, "order_id", "left_semi")
     sums = touched.join(order_lines_total(lines), "order_id", "left").select(
         F.col("order_id").alias("id"),
         F.coalesce("lines_total", F.lit(0)).cast(X.WIDE_MONEY).alias("_total"),
@@ -209,7 +210,7 @@ def update_quantities(orders: DataFrame, items: DataFrame, commands: DataFrame)
     item_id, qty = X.text_or_null("order_item_id"), X.quantity_or_null("quantity")
     parsed = commands.select("cmd_id", "user_id", item_id.alias("order_item_id"), qty.alias("qty"), "ts")
     bad = F.col("order_item_id").isNull() | F.col("qty").isNull()
-    hits = durable(_own_lines(parsed.filter(~bad), items, orders, ["order_item_id"]))
+    hits = written(_own_lines(parsed.filter(~bad), items, orders, ["order_item_id"]))
     last = hits.groupBy(F.col("order_item_id").alias("id")).agg(
         F.max_by("qty", F.struct("ts", "cmd_id")).alias("_qty")
     )
@@ -233,7 +234,7 @@ def update_quantities(orders: DataFrame, items: DataFrame, commands: DataFrame)
         .select("cmd_id", "user_id", "status", F.when(F.col("status") == OK, 1).otherwise(0).alias("affected_rows"))
     )
     touched = hits.select("order_id").distinct()
-    return LineChange(_retotal(orders, changed, touched, items), changed, results)
+    return LineChange(_retotal(orders, changed, touched), changed, results)
 
 
 def delete_items(orders: DataFrame, items: DataFrame, commands: DataFrame) -> LineChange:
@@ -248,16 +249,14 @@ def delete_items(orders: DataFrame, items: DataFrame, commands: DataFrame) -> Li
     )
     bad = F.col("order_item_id").isNull() | F.col("order_id").isNull()
     named = _own_lines(parsed.filter(~bad), items, orders, ["order_item_id", "order_id"])
-    first = durable(named.groupBy("order_item_id", "order_id").agg(F.min(F.struct("ts", "cmd_id")).alias("_at")))
+    first = written(named.groupBy("order_item_id", "order_id").agg(F.min(F.struct("ts", "cmd_id")).alias("_at")))
     kept = items.join(first.select(F.col("order_item_id").alias("id")), "id", "left_anti").select(*items.columns)
     touched = first.groupBy("order_id").agg(F.max("_at").alias("_last"))
-    left = lookup_join(
-        kept, touched.select("order_id"), ["order_id"], "left_semi", "id", lambda: hot_keys(items, ["order_id"])
-    )
-    remaining = durable(left.select("order_id").distinct())
+    left = kept.join(touched.select("order_id"), "order_id", "left_semi")
+    remaining = written(left.select("order_id").distinct())
     emptied = touched.join(remaining, "order_id", "left_anti")
     kept_orders = orders.join(emptied.select(F.col("order_id").alias("id")), "id", "left_anti")
-    new_orders = _retotal(kept_orders.select(*orders.columns), kept, remaining, items)
+    new_orders = _retotal(kept_orders.select(*orders.columns), kept, remaining)
     hit = first.select(F.col("_at.cmd_id").alias("cmd_id"), F.lit(True).alias("_hit"))
     ended = emptied.select(F.col("_last.cmd_id").alias("cmd_id"), F.lit(True).alias("_ended"))
     results = (

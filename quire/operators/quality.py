@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from quire import schemas
 from quire.functions import exprs as X
 from quire.operators.cart import add_faults, command_faults
-from quire.operators.skew import hot_keys, salted_join
 from quire.operators.users import registration_faults, update_faults
 
 
@@ -96,18 +95,15 @@ def fk_orphans(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 def cascade_delete_users(tables: Mapping[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
     """All tables without the given users (id) and whatever belongs to them."""
-    ids = gone.select("id").distinct()
+    ids = gone.select("id")
     owners = ids.withColumnRenamed("id", "user_id")
     orders = tables["orders"]
-    hot = hot_keys(orders, ["user_id"])
-    lost_orders = salted_join(orders, owners, ["user_id"], "left_semi", "id", hot=hot).select(
-        F.col("id").alias("order_id")
-    )
+    lost_orders = orders.join(owners, "user_id", "left_semi").select(F.col("id").alias("order_id"))
     return {
         **tables,
         "users": tables["users"].join(ids, "id", "left_anti"),
-        "cart_items": salted_join(tables["cart_items"], owners, ["user_id"], "left_anti", "id"),
-        "orders": salted_join(orders, owners, ["user_id"], "left_anti", "id", hot=hot),
+        "cart_items": tables["cart_items"].join(owners, "user_id", "left_anti").select(*tables["cart_items"].columns),
+        "orders": orders.join(owners, "user_id", "left_anti").select(*orders.columns),
         "order_items": tables["order_items"].join(lost_orders, "order_id", "left_anti"),
     }
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.operators.skew import durable
+from quire.operators.skew import running, same_keys, written
 
 # Window length, requests allowed per window, percentiles and the targets
 # a run is held against (metric, statistic, comparison, bound).
@@ -21,10 +21,6 @@ TARGETS = (
     ("http_reqs", "rate", ">=", 20.0),
     ("checks", "rate", ">", 0.95),
 )
-# Distinct values of a group up to which one task may hold them all.
-DIRECT_VALUES = 1_000_000
-# Groups up to which their brackets are broadcast.
-BROADCAST_GROUPS = 100_000
 _ACCURACY = 10_000
 
 
@@ -32,117 +28,58 @@ def _ratio(part: Column, whole: Column) -> Column:
     return part.cast("double") / whole.cast("double")
 
 
-def percentiles(
-    df: DataFrame,
-    by: Sequence[str],
-    value: str,
-    wanted: Mapping[str, float] | None = None,
-    direct_values: int | None = None,
-) -> DataFrame:
-    """Exact interpolated percentiles per group, one column each.
-
-    Groups with few distinct values use the built-in aggregate.  Otherwise a bracket
-    around each percentile is narrowed with approximate percentiles until it holds few
-    distinct values, so that no task ever holds a group.
-    """
-    wanted = PERCENTILES if wanted is None else wanted
-    limit = DIRECT_VALUES if direct_values is None else direct_values
-    by = list(by)
-    rows = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    sizes = rows.groupBy(*by).agg(F.approx_count_distinct("_v").alias("d"))
-    largest = sizes.agg(F.max("d").alias("d")).first()["d"]
-    if largest is None or largest <= limit:
-        return rows.groupBy(*by).agg(*[F.percentile("_v", p).alias(n) for n, p in wanted.items()])
-    out = None
-    for name, p in wanted.items():
-        found = _narrowed(rows, by, p, limit).withColumnRenamed("_p", name)
-        out = found if out is None else _same_group(out, found, by)
-    return out
-
-
-def _same_group(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
-    """Join one-row-per-group tables; a NULL group key matches itself."""
-    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in by})
-    on = F.lit(True)
-    for k in by:
-        on = on & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-    return left.join(renamed, on).drop(*[f"_r_{k}" for k in by])
-
-
-def _narrowed(rows: DataFrame, by: list[str], p: float, limit: int) -> DataFrame:
-    """One percentile of every group by shrinking brackets [_lo, _hi]."""
-    position = (F.col("_n") - 1) * F.lit(p)
-    state = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
-    )
-    state = state.select(
-        *by, "_lo", "_hi", F.floor(position).alias("_k"), (position - F.floor(position)).alias("_f")
-    )
-    while True:
-        state = durable(state)
-        few = state.count() <= BROADCAST_GROUPS
-        both = _same_group(rows, F.broadcast(state) if few else state, by)
-        inside = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
-        largest = (
-            both.filter(inside).groupBy(*by).agg(F.approx_count_distinct("_v").alias("d")).agg(F.max("d")).first()[0]
-        )
-        below = _same_group(
-            state, both.groupBy(*by).agg(F.count_if(F.col("_v") < F.col("_lo")).alias("_below"),
-                                         F.count_if(inside).alias("_in")), by
-        )
-        if largest <= limit:
-            break
-        shares = both.filter(inside).groupBy(*by).agg(
-            F.percentile_approx("_v", [i / 1000 for i in range(1001)], _ACCURACY).alias("_cuts")
-        )
-        share = (F.col("_k") - F.col("_below")) / F.col("_in") * 1000
-        at = F.floor(share).cast("int")
-        state = _same_group(below, shares, by).select(
-            *by,
-            F.get("_cuts", F.greatest(at - 1, F.lit(0))).alias("_lo"),
-            F.get("_cuts", F.least(at + 3, F.lit(1000))).alias("_hi"),
-            "_k",
-            "_f",
-        )
-    values = both.filter(inside).groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    running = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = _same_group(values.withColumn("_upto", F.sum("_c").over(running)), below, by)
-    last = F.col("_below") + F.col("_upto")
-    low = F.min(F.when(last > F.col("_k"), F.col("_v")))
-    high = F.min(F.when(last > F.col("_k") + 1, F.col("_v")))
-    picked = ranked.groupBy(*by).agg(low.alias("_a"), high.alias("_b"), F.first("_f").alias("_f"))
-    b = F.coalesce("_b", "_a")
-    return picked.select(*by, (F.col("_a") + (b - F.col("_a")) * F.col("_f")).alias("_p"))
-
-
 def trend(
     requests: DataFrame,
     by: Sequence[str] = ("endpoint",),
     value: str = "duration_ms",
     exact: bool = True,
-    direct_values: int | None = None,
+    wanted: Mapping[str, float] = PERCENTILES,
 ) -> DataFrame:
-    """avg, min, med, max, p90 and p95 per group; ``exact=False`` takes approximate
-    percentiles in the same single pass."""
+    """n, avg, min, max and the wanted percentiles per group; ``exact=False`` takes approximate
+    percentiles in the same single pass.
+
+    For the exact ones rows are counted per group and value, and running counts over the values
+    tell which of them stand at the wanted places, for all percentiles at once.
+    """
     by = list(by)
-    simple = [
-        F.count(value).alias("n"),
-        F.avg(value).alias("avg"),
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
-    ]
-    if exact:
-        return _same_group(
-            requests.groupBy(*by).agg(*simple), percentiles(requests, by, value, None, direct_values), by
+    if not exact:
+        rough = F.percentile_approx(value, list(wanted.values()), _ACCURACY).alias("_p")
+        simple = [F.count(value).alias("n"), F.avg(value).alias("avg"), F.min(value).alias("min"), F.max(value).alias("max")]
+        out = requests.groupBy(*by).agg(*simple, rough)
+        return out.withColumns({n: F.col("_p")[i] for i, n in enumerate(wanted)}).drop("_p")
+    values = requests.select(*by, F.col(value).cast("double").alias("_v"))
+    counted = running(values.groupBy(*by, "_v").agg(F.count("_v").alias("_c")), by, ["_v"], F.col("_c"))
+    totals = written(
+        counted.groupBy(*by).agg(
+            F.sum("_c").alias("n"),
+            (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("avg"),
+            F.min("_v").alias("min"),
+            F.max("_v").alias("max"),
         )
-    names = list(PERCENTILES)
-    rough = F.percentile_approx(value, [PERCENTILES[n] for n in names], _ACCURACY).alias("_p")
-    out = requests.groupBy(*by).agg(*simple, rough)
-    return out.withColumns({n: F.col("_p")[i] for i, n in enumerate(names)}).drop("_p")
+        if by
+        else counted.agg(
+            F.coalesce(F.sum("_c"), F.lit(0)).alias("n"),
+            (F.sum(F.col("_v") * F.col("_c")) / F.nullif(F.sum("_c"), F.lit(0))).alias("avg"),
+            F.min("_v").alias("min"),
+            F.max("_v").alias("max"),
+        )
+    )
+    place = same_keys(counted, totals.select(*by, "n"), by)
+    picks, shown = [], {}
+    for name, p in wanted.items():
+        at = (F.col("n") - 1) * F.lit(p)
+        for side, k in (("low", F.floor(at)), ("high", F.ceil(at))):
+            here = (F.col("before") <= k) & (k < F.col("before") + F.col("_c"))
+            picks.append(F.max(F.when(here, F.col("_v"))).alias(f"_{side}_{name}"))
+        part = (F.col("n") - 1) * F.lit(p) - F.floor((F.col("n") - 1) * F.lit(p))
+        shown[name] = F.col(f"_low_{name}") + (F.col(f"_high_{name}") - F.col(f"_low_{name}")) * part
+    found = same_keys(totals, place.groupBy(*by).agg(*picks), by)
+    return found.select(*by, "n", "avg", "min", "max", *[c.alias(n) for n, c in shown.items()])
 
 
 def is_failed() -> Column:
-    return F.col("status") >= 400
+    """As the log says; a refused or timed-out request has failed whatever its status."""
+    return F.col("failed")
 
 
 def trend_of_successful(requests: DataFrame, by: Sequence[str] = ("endpoint",), **options) -> DataFrame:
@@ -174,31 +111,32 @@ def checks(rows: DataFrame) -> DataFrame:
     )
 
 
-def run_statistics(requests: DataFrame, direct_values: int | None = None) -> DataFrame:
-    """The statistics the targets speak of, as (metric, statistic, actual) rows."""
-    whole = requests.withColumn("_all", F.lit(1))
-    latency = trend(whole, ["_all"], direct_values=direct_values)
+def run_statistics(requests: DataFrame, checked: DataFrame | None = None) -> DataFrame:
+    """The statistics the targets speak of, as (metric, statistic, actual) rows.
+
+    ``checked`` holds the checks (check_ok) where the log keeps them apart from the requests.
+    """
+    latency = trend(requests, [])
     span = F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))
-    rest = whole.groupBy("_all").agg(
-        span.cast("double").alias("_us"),
-        F.count(F.lit(1)).alias("_requests"),
-        F.count_if(is_failed()).alias("_failed"),
-        F.count_if("check_ok").alias("_passed"),
-        F.count("check_ok").alias("_checked"),
+    rest = requests.agg(
+        span.cast("double").alias("_us"), F.count(F.lit(1)).alias("_requests"), F.count_if(is_failed()).alias("_failed")
+    )
+    passed = (requests if checked is None else checked).agg(
+        F.count_if("check_ok").alias("_passed"), F.count("check_ok").alias("_checked")
     )
-    one = latency.join(rest, "_all")
+    one = same_keys(same_keys(latency, rest, []), passed, [])
     values = (
         ("http_req_duration", "avg", F.col("avg")),
         ("http_req_duration", "p95", F.col("p95")),
         ("http_req_failed", "rate", _ratio(F.col("_failed"), F.col("_requests"))),
-        ("http_reqs", "rate", F.col("_requests").cast("double") * 1000000.0 / F.col("_us")),
+        ("http_reqs", "rate", F.col("_requests").cast("double") * 1000000.0 / F.nullif(F.col("_us"), F.lit(0.0))),
         ("checks", "rate", _ratio(F.col("_passed"), F.col("_checked"))),
     )
     rows = [F.struct(F.lit(m).alias("metric"), F.lit(s).alias("statistic"), v.alias("actual")) for m, s, v in values]
     return one.select(F.inline(F.array(*rows)))
 
 
-def verdicts(requests: DataFrame, targets=TARGETS, direct_values: int | None = None) -> DataFrame:
+def verdicts(requests: DataFrame, targets=TARGETS, checked: DataFrame | None = None) -> DataFrame:
     """Each target with the actual value and whether it is met."""
     spark = requests.sparkSession
     rules = spark.createDataFrame(list(targets), "metric string, statistic string, comparison string, bound double")
@@ -209,7 +147,7 @@ def verdicts(requests: DataFrame, targets=TARGETS, direct_values: int | None = N
         .when(F.col("comparison") == ">=", actual >= bound)
         .otherwise(actual <= bound)
     )
-    found = run_statistics(requests, direct_values)
+    found = run_statistics(requests, checked)
     return found.join(F.broadcast(rules), ["metric", "statistic"]).withColumn("met", met)
 
 
@@ -249,24 +187,30 @@ def quota_excess(
     allowances: Mapping[str, int] = ALLOWANCES,
     default: int | None = None,
     window: str = WINDOW,
-    request_id: str = "request_id",
+    ties: Sequence[str] = (),
 ) -> DataFrame:
-    """The requests beyond the allowance of their client, endpoint and window.
+    """The requests beyond the allowance of their client, endpoint and window, in order of
+    time and then of ``ties`` (rows equal in these may stand for each other).
 
-    The allowed ones are found first: a rank filter with a fixed top keeps at most the
-    allowance per group in every task before the shuffle.  The rest is an anti join on
-    the unique request id, so a busy client burdens no single task.
+    Requests are counted per second first.  The running counts over the seconds of a window, of
+    which it has few, tell which seconds are allowed whole, which are beyond, and in which one the
+    allowance ends; only that second's requests are ranked.
     """
-    top = max([*allowances.values(), default or 0])
-    limited = requests.withColumn("_allowed", _allowance(allowances, default)).filter(F.col("_allowed").isNotNull())
-    group = Window.partitionBy("_w", "client_key", "endpoint").orderBy("ts", request_id)
-    within = (
-        limited.select(F.window("ts", window)["start"].alias("_w"), "client_key", "endpoint", "ts", request_id, "_allowed")
-        .withColumn("_rank", F.row_number().over(group))
-        .filter((F.col("_rank") <= top) & (F.col("_rank") <= F.col("_allowed")))
-        .select(request_id)
+    group = ["_w", "client_key", "endpoint"]
+    limited = requests.withColumns(
+        {"_allowed": _allowance(allowances, default), "_w": F.window("ts", window)["start"], "_s": F.date_trunc("second", "ts")}
+    ).filter(F.col("_allowed").isNotNull())
+    earlier = Window.partitionBy(*group).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    seconds = limited.groupBy(*group, "_s", "_allowed").agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))
     )
-    return limited.join(within, request_id, "left_anti").drop("_allowed")
+    over = written(seconds.filter(F.col("_before") + F.col("_n") > F.col("_allowed")).select(*group, "_s", "_before"))
+    late = same_keys(limited, over, [*group, "_s"])
+    beyond = late.filter(F.col("_before") >= F.col("_allowed"))
+    at = Window.partitionBy(*group, "_s").orderBy("ts", *ties)
+    ends = late.filter(F.col("_before") < F.col("_allowed")).withColumn("_rank", F.row_number().over(at))
+    cut = ends.filter(F.col("_before") + F.col("_rank") > F.col("_allowed"))
+    return beyond.select(*requests.columns).unionByName(cut.select(*requests.columns))
 
 
 def per_minute(requests: DataFrame, length: str = "1 minute") -> DataFrame:

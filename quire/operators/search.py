@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import exprs as X
 from quire.operators.catalog import titles, volume_order, volumes
-from quire.operators.skew import salted_join
+from quire.operators.skew import written
 
 # Price bounds, page length, featured keyword and count used when none are given.
 MIN_PRICE, MAX_PRICE = Decimal("1"), Decimal("30")
@@ -83,7 +83,7 @@ def search_titles(
 
 def cards(books: DataFrame, chosen_titles: DataFrame) -> DataFrame:
     """One product card per volume of the chosen titles."""
-    return salted_join(volumes(books), chosen_titles, ["title"], "inner", "book_id").select(
+    return volumes(books).join(written(chosen_titles), "title").select(
         "title",
         "author",
         F.col("price").cast(X.MONEY).alias("price"),
@@ -152,8 +152,8 @@ def book_details(books: DataFrame, lookups: DataFrame) -> DataFrame:
         .select("title", "volume_number", "v.*")
     )
     asked = lookups.select("lookup_id", "title", X.number_or_null("volume").alias("volume_number"))
-    found = salted_join(asked, first, ["title", "volume_number"], "inner", "lookup_id")
-    full = salted_join(found, titles(books), ["title"], "inner", "lookup_id")
+    found = asked.join(written(first), ["title", "volume_number"])
+    full = found.join(written(titles(books)), "title")
     values = (
         F.col("title"),
         F.col("author"),

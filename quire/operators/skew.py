@@ -1,117 +1,57 @@
 """Joins and nestings that stay even when one key holds a large share of the rows.
 
-Three cases need nothing from here.  Aggregations are pre-aggregated per task before
-the shuffle; rank filters with a fixed top likewise.  A join of two sides that are both
-shuffled for it is split at run time by adaptive execution, so the other modules write
-such joins plainly.  What adaptive execution cannot split is a join whose other side was
-just aggregated on the join key, as that side has no shuffle of its own: this is what
-``salted_join`` is for.  ``nest`` covers arrays built per key.
+Aggregations are pre-aggregated per task before the shuffle; rank filters with a fixed top
+likewise.  A join of two sides that are both shuffled for it is split at run time by
+adaptive execution.  It cannot split a join whose other side was just aggregated on the join
+key, as that side has no shuffle of its own; so such a side, which has one row per key, is
+written to the shared folder first (``written``) and joined plainly.  ``running`` numbers and
+sums within keys, ``nest`` builds arrays per key.
 """
 
 from __future__ import annotations
 
-import math
-import tempfile
-import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A key counts as hot from 1/HOT_KEYS of the rows on, so there are at most HOT_KEYS of them.
-HOT_KEYS = 256
-_TRACKED = 16 * HOT_KEYS
-# Below this many rows one task takes any key.
-SMALL_INPUT = 1_000_000
-# Rows of ids and numbers up to which a counted table is broadcast.
-BROADCAST_ROWS = 200_000
-# Longest array built for one key.
-MAX_ITEMS = 100_000
+from quire.sources.scratch import written
 
+__all__ = ["SECTION", "nest", "running", "same_keys", "written"]
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new place under the folder the session names for checkpoints."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base is None:
-        base = tempfile.mkdtemp(prefix="quire-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/quire-{uuid.uuid4().hex}"
+# Items of one key that one document holds.
+SECTION = 10_000
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The same rows from a table written to the shared folder.
+def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys where NULL equals NULL; no keys join two one-row tables."""
+    if not keys:
+        return left.withColumn("_one", F.lit(1)).join(right.withColumn("_one", F.lit(1)), "_one", how).drop("_one")
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
 
-    Used where a narrow intermediate result is read several times: it is computed once,
-    survives lost executors, and its size is known to the optimizer.
-    """
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str], small_input: int | None = None) -> list[int]:
-    """Hashes of the keys with more than 1/HOT_KEYS of the rows; one scan of the key columns.
 
-    The list (at most HOT_KEYS numbers) goes into the plan as literals, so that both
-    sides of a join use the same one whatever is recomputed later.
-    """
-    row = (
-        df.select(F.xxhash64(*keys).alias("h"))
-        .agg(F.expr(f"approx_top_k(h, {HOT_KEYS}, {_TRACKED})").alias("top"), F.count(F.lit(1)).alias("n"))
-        .first()
-    )
-    limit = SMALL_INPUT if small_input is None else small_input
-    if row["n"] <= limit:
-        return []
-    return [entry["item"] for entry in row["top"] if entry["count"] * HOT_KEYS >= row["n"]]
-
-
-def salted_join(
-    big: DataFrame,
-    other: DataFrame,
-    keys: Sequence[str],
-    how: str,
-    spread: str,
-    small_input: int | None = None,
-    hot: list[int] | None = None,
-) -> DataFrame:
-    """Equi-join keeping ``big`` on the left (inner, left, left_semi or left_anti).
+def running(rows: DataFrame, keys: Sequence[str], order: Sequence[str], amount: Column) -> DataFrame:
+    """``rows`` with ``before``: the sum of ``amount`` over the rows of the key that come earlier.
 
-    Rows of ``big`` with a hot key are spread by ``spread``, a column that differs between
-    rows, over a few times as many parts as there are shuffle partitions; the few rows
-    of ``other`` with these keys are repeated once per part.  ``hot`` gives the hot keys
-    where they are known from a cheaper table.
+    Rows are range-partitioned by key and order, summed within their part, and the sums of
+    the parts before are added: the result does not depend on how rows are dealt, and a key
+    of any size is shared by many tasks.  ``order`` should be unique within a key.
     """
-    keys = list(keys)
-    if hot is None:
-        hot = hot_keys(big, keys, small_input)
-    if not hot:
-        return big.join(other, keys, how)
-    parts = 4 * int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # even out hash collisions
-    is_hot = F.xxhash64(*keys).isin(hot)
-    left = big.withColumn(
-        "_part", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(parts)).cast("int")).otherwise(F.lit(0))
-    )
-    right = other.withColumn(
-        "_part",
-        F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))),
+    keys, order = list(keys), list(order)
+    dealt = rows.withColumn("_amount", amount).repartitionByRange(*keys, *order)
+    parts = written(dealt.withColumn("_part", F.spark_partition_id()))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        parts.groupBy(*keys, "_part")
+        .agg(F.sum("_amount").alias("_sum"))
+        .select(*keys, "_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
     )
-    return left.join(right, keys + ["_part"], how).drop("_part")
-
-
-def lookup_join(
-    big: DataFrame,
-    found: DataFrame,
-    keys: Sequence[str],
-    how: str,
-    spread: str,
-    hot: Callable[[], list[int]] | None = None,
-) -> DataFrame:
-    """``salted_join``, but ``found`` is counted first and broadcast if it is small, so
-    that ``big`` needs no shuffle.  ``found`` should be cheap to count and narrow."""
-    if found.count() <= BROADCAST_ROWS:
-        return big.join(F.broadcast(found), list(keys), how)
-    return salted_join(big, found, keys, how, spread, hot=None if hot is None else hot())
+    within = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = parts.withColumn("_within", F.coalesce(F.sum("_amount").over(within), F.lit(0)))
+    joined = same_keys(summed, starts, [*keys, "_part"])
+    return joined.withColumn("before", F.col("_start") + F.col("_within")).drop("_amount", "_part", "_start", "_within")
 
 
 def nest(
@@ -121,39 +61,19 @@ def nest(
     fields: Sequence[str],
     make: Callable[[Column], Column],
     name: str,
-    spread: str,
-    max_items: int | None = None,
-    counted: DataFrame | None = None,
+    section_length: int = SECTION,
 ) -> DataFrame:
-    """One row per key with the sorted array ``name`` of its rows.
+    """One row per key and section with the sorted array ``name`` of its rows.
+
+    Section k of a key holds its items from ``k * section_length`` on, in order, so short keys have the
+    single section 0.  ``order`` should end in a unique column.
 
     Only the ``order`` columns (o0, o1, ...) and ``fields`` are shuffled; ``make`` builds
     an item from them once they are sorted.
-
-    A key with more than ``max_items`` rows comes as several rows, numbered upwards
-    by ``section``, which together hold all its items in order; any other key has
-    the single section 0.  ``order`` should end in a unique column.  ``counted`` is a
-    table with the same keys as often, where that is cheaper to count.
     """
     keys = list(keys)
-    limit = MAX_ITEMS if max_items is None else max_items
-    ordered = [c.alias(f"o{i}") for i, c in enumerate(order)]
-
-    def collect(rows: DataFrame, by: list[str]) -> DataFrame:
-        packed = F.sort_array(F.collect_list(F.struct(*ordered, *fields))).alias(name)
-        return rows.groupBy(*by).agg(packed).withColumn(name, F.transform(name, make))
-
-    counts = (df if counted is None else counted).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    over = counts.filter(F.col("_n") > limit)
-    summary = over.agg(F.sum("_n").alias("n")).first()
-    if summary["n"] is None:
-        return collect(df, keys).withColumn("section", F.lit(0))
-    large_keys = over.select(*keys)
-    plain = collect(salted_join(df, large_keys, keys, "left_anti", spread), keys)
-    pieces = math.ceil(summary["n"] / limit) + 1
-    large = (
-        salted_join(df, large_keys, keys, "left_semi", spread)
-        .repartitionByRange(pieces, *[F.col(k) for k in keys], *order)
-        .withColumn("section", F.spark_partition_id())
-    )
-    return plain.withColumn("section", F.lit(0)).unionByName(collect(large, keys + ["section"]))
+    by = [f"o{i}" for i in range(len(order))]
+    narrow = df.select(*keys, *[c.alias(o) for c, o in zip(order, by, strict=True)], *fields)
+    placed = running(narrow, keys, by, F.lit(1)).withColumn("section", F.floor(F.col("before") / section_length).cast("int"))
+    packed = F.sort_array(F.collect_list(F.struct(*by, *fields))).alias(name)
+    return placed.groupBy(*keys, "section").agg(packed).withColumn(name, F.transform(name, make))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import exprs as X
 from quire.operators.cart import CONFLICT, INVALID, NOT_FOUND, OK, command_faults
-from quire.operators.skew import durable, salted_join
+from quire.operators.skew import written
 
 COLUMNS = ("id", "name", "email", "created_at", "updated_at")
 MIN_NAME_LENGTH = 3  # fixed value
@@ -105,7 +105,7 @@ def update_profiles(users: DataFrame, commands: DataFrame) -> UserChange:
     )
     clash = email_conflicts(users, parsed.filter(~F.col("_bad"))).select("cmd_id").distinct()
     ids = users.select(F.col("id").alias("user_id"), F.lit(True).alias("_user"))
-    checked = durable(
+    checked = written(
         parsed.join(_flag(clash, "_taken"), "cmd_id", "left")
         .join(ids, "user_id", "left")
         .select("cmd_id", "user_id", "ts", "_bad", "_name", "_email", "_taken", "_user")
@@ -116,8 +116,8 @@ def update_profiles(users: DataFrame, commands: DataFrame) -> UserChange:
         .groupBy("_email")
         .agg(F.min_by("user_id", F.struct("ts", "cmd_id")).alias("_first"))
     )
-    late = salted_join(known, first, ["_email"], "inner", "cmd_id").filter(F.col("_first") != F.col("user_id"))
-    late = durable(late.select("cmd_id"))
+    late = known.join(written(first), "_email").filter(F.col("_first") != F.col("user_id"))
+    late = written(late.select("cmd_id"))
     ok = known.join(late, "cmd_id", "left_anti")
     at = F.struct("ts", "cmd_id")
     last = ok.groupBy(F.col("user_id").alias("id")).agg(

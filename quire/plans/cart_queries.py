@@ -354,7 +354,8 @@ def checkout_orders(spark: SparkSession, base: str) -> DataFrame:
     _checkout_sql(f"""
     SELECT {q_md5_id("request_id || '|' || id")} AS id, {q_md5_id('request_id')} AS order_id, book_id, title, cover,
       unit_price, quantity, cast(unit_price * quantity as decimal(28,2)) AS line_total,
-      cast(created_at as varchar) AS cart_created_at, id AS cart_item_id
+      cast(created_at as varchar) AS cart_created_at, id AS cart_item_id,
+      cast(row_number() OVER (PARTITION BY request_id ORDER BY created_at NULLS LAST, id) as int) AS line_no
     FROM k_bought"""),
 )
 def checkout_lines(spark: SparkSession, base: str) -> DataFrame:

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators import requests as R
-from quire.operators.skew import shared_folder
 from quire.plans import views as V
 from quire.plans.cart_queries import FOLD_SQL
 from quire.plans.registry import as_text, query, r6
 from quire.plans.views import with_views
+from quire.sources.scratch import shared_folder
 from quire.sources.tables import publish, read_published
 from quire.streaming import jobs as J
 
@@ -24,6 +24,12 @@ ALLOWANCES = {"click": 1, "error": 1, "view": 2, "signup": 0}
 _ALLOWANCE_SQL = "CASE endpoint WHEN 'click' THEN 1 WHEN 'error' THEN 1 WHEN 'view' THEN 2 WHEN 'signup' THEN 0 END"
 
 
+# Values at places of the sorted list, as approximate percentiles of few values give them.
+_PLACES_SQL = ", ".join(
+    f"round(list_sort(list(duration_ms))[cast(greatest(1, ceil({p} * count(*))) as int)], 6) AS {n}" for n, p in R.PERCENTILES.items()
+)
+
+
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: r6(c) for c in columns})
 
@@ -33,7 +39,24 @@ def request_latency(spark: SparkSession, base: str) -> DataFrame:
     return _rounded(R.trend(V.requests(spark, base)), "avg", "med", "p90", "p95")
 
 
-@query("request_latency_ok", with_views("v_requests", _TREND_SQL.format("WHERE status < 400")))
+@query(
+    "request_latency_rough",
+    with_views("v_requests", f"""
+    SELECT endpoint, count(duration_ms) AS n, min(duration_ms) AS min, max(duration_ms) AS max FROM v_requests GROUP BY endpoint"""),
+)
+def request_latency_rough(spark: SparkSession, base: str) -> DataFrame:
+    """Approximate percentiles are held to a hundredth of the exact ones' rank; what is left must be equal."""
+    log = V.requests(spark, base)
+    rough = R.trend(log, exact=False)
+    names = list(R.PERCENTILES)
+    ranks = log.join(F.broadcast(rough), "endpoint").groupBy("endpoint", "n", "min", "max").agg(
+        *[(F.count_if(F.col("duration_ms") <= F.col(p)) / F.count(F.lit(1))).alias(f"r_{p}") for p in names]
+    )
+    near = [F.abs(F.col(f"r_{p}") - F.lit(R.PERCENTILES[p])) <= 0.01 + 1 / F.col("n") for p in names]
+    return ranks.filter(near[0] & near[1] & near[2]).select("endpoint", "n", "min", "max")
+
+
+@query("request_latency_ok", with_views("v_requests", _TREND_SQL.format("WHERE NOT failed")))
 def request_latency_ok(spark: SparkSession, base: str) -> DataFrame:
     return _rounded(R.trend_of_successful(V.requests(spark, base)), "avg", "med", "p90", "p95")
 
@@ -41,8 +64,8 @@ def request_latency_ok(spark: SparkSession, base: str) -> DataFrame:
 @query(
     "request_error_rate",
     with_views("v_requests", """
-    SELECT endpoint, count(*) FILTER (status >= 400) AS passes, count(*) FILTER (status < 400) AS fails,
-      round(cast(count(*) FILTER (status >= 400) as double) / cast(count(*) as double), 6) AS value
+    SELECT endpoint, count(*) FILTER (failed) AS passes, count(*) FILTER (NOT failed) AS fails,
+      round(cast(count(*) FILTER (failed) as double) / cast(count(*) as double), 6) AS value
     FROM v_requests GROUP BY endpoint"""),
 )
 def request_error_rate(spark: SparkSession, base: str) -> DataFrame:
@@ -57,7 +80,7 @@ _SPAN = "cast(epoch_us(max(ts)) - epoch_us(min(ts)) as double)"
     with_views("v_requests", f"""
     SELECT counter, n AS count, round(cast(n as double) * 1e6 / us, 6) AS rate FROM (
       SELECT unnest(['requests', 'failed_requests', 'successful_signups']) AS counter,
-        unnest([count(*), count(*) FILTER (status >= 400), count(*) FILTER (endpoint = 'signup' AND status = 200)]) AS n,
+        unnest([count(*), count(*) FILTER (failed), count(*) FILTER (endpoint = 'signup' AND status = 200)]) AS n,
         {_SPAN} AS us
       FROM v_requests)"""),
 )
@@ -84,7 +107,7 @@ def request_checks(spark: SparkSession, base: str) -> DataFrame:
     "request_thresholds",
     with_views("v_requests", f"""
     t_all AS (SELECT avg(duration_ms) AS a, quantile_cont(duration_ms, 0.95) AS p,
-      cast(count(*) FILTER (status >= 400) as double) / count(*) AS f, cast(count(*) as double) * 1e6 / {_SPAN} AS r,
+      cast(count(*) FILTER (failed) as double) / count(*) AS f, cast(count(*) as double) * 1e6 / {_SPAN} AS r,
       cast(count(*) FILTER (check_ok) as double) / count(*) AS c FROM v_requests)
     SELECT 'http_req_duration' AS metric, 'avg' AS statistic, '<' AS comparison, 2000e0 AS bound, round(a, 6) AS actual, a < 2000 AS met FROM t_all
     UNION ALL SELECT 'http_req_duration', 'p95', '<', 3000e0, round(p, 6), p < 3000 FROM t_all
@@ -104,11 +127,10 @@ q_windows AS (SELECT time_bucket(INTERVAL '15 minutes', ts) AS w, client_key, en
 
 @query(
     "quota_by_window",
-    with_views("v_requests", f"""{_WINDOWS.strip()}
-    SELECT cast(w as varchar) AS window_start, client_key, endpoint, requests, cast({_ALLOWANCE_SQL} as int) AS allowance,
-      cast(coalesce(greatest(requests - ({_ALLOWANCE_SQL}), 0), 0) as bigint) AS excess FROM q_windows""".replace(
-        "coalesce(greatest(requests - (", "coalesce(CASE WHEN endpoint <> 'purchase' THEN greatest(requests - ("
-    ).replace("), 0), 0) as bigint)", "), 0) END, 0) as bigint)")),
+    with_views("v_requests", f"""{_WINDOWS.strip()},
+    q_allowed AS (SELECT *, cast({_ALLOWANCE_SQL} as int) AS allowance FROM q_windows)
+    SELECT cast(w as varchar) AS window_start, client_key, endpoint, requests, allowance,
+      cast(CASE WHEN requests > allowance THEN requests - allowance ELSE 0 END as bigint) AS excess FROM q_allowed"""),
 )
 def quota_by_window(spark: SparkSession, base: str) -> DataFrame:
     return as_text(R.quota_by_window(V.requests(spark, base), ALLOWANCES), "window_start")
@@ -123,7 +145,7 @@ def quota_by_window(spark: SparkSession, base: str) -> DataFrame:
     WHERE rn > ({_ALLOWANCE_SQL})"""),
 )
 def quota_excess_requests(spark: SparkSession, base: str) -> DataFrame:
-    over = R.quota_excess(V.requests(spark, base), ALLOWANCES)
+    over = R.quota_excess(V.requests(spark, base), ALLOWANCES, ties=["request_id"])
     return as_text(over.select("request_id", "client_key", "endpoint", "ts"), "ts")
 
 
@@ -152,28 +174,28 @@ def stream_quota(spark: SparkSession, base: str) -> DataFrame:
     "stream_latency",
     with_views("v_requests", """
     SELECT cast(time_bucket(INTERVAL '1 minute', ts) as varchar) AS minute_start, count(*) AS requests,
-      count(*) FILTER (status >= 400) AS failed,
-      round(cast(count(*) FILTER (status >= 400) as double) / count(*), 6) AS error_rate, round(avg(duration_ms), 6) AS avg
+      count(*) FILTER (failed) AS failed,
+      round(cast(count(*) FILTER (failed) as double) / count(*), 6) AS error_rate, round(avg(duration_ms), 6) AS avg, """ + _PLACES_SQL + """
     FROM v_requests GROUP BY 1"""),
 )
 def stream_latency(spark: SparkSession, base: str) -> DataFrame:
     requests = _event_stream(spark, base).selectExpr(*[f"{e} as `{a}`" for e, a in V.REQUESTS])
     place = shared_folder(spark)
     J.run_available(J.latency_stream(requests), f"{place}/state", J.latest_to(f"{place}/out"), "complete")
-    out = J.read_latest(spark, f"{place}/out").select("minute_start", "requests", "failed", "error_rate", "avg")
-    return as_text(_rounded(out, "error_rate", "avg"), "minute_start")
+    out = J.read_latest(spark, f"{place}/out")
+    return as_text(_rounded(out, "error_rate", "avg", *R.PERCENTILES), "minute_start")
 
 
 @query(
     "latency_per_minute",
     with_views("v_requests", """
     SELECT cast(time_bucket(INTERVAL '1 minute', ts) as varchar) AS minute_start, count(*) AS requests,
-      count(*) FILTER (status >= 400) AS failed, round(avg(duration_ms), 6) AS avg
+      count(*) FILTER (failed) AS failed, round(avg(duration_ms), 6) AS avg, """ + _PLACES_SQL + """
     FROM v_requests GROUP BY 1"""),
 )
 def latency_per_minute(spark: SparkSession, base: str) -> DataFrame:
-    out = R.per_minute(V.requests(spark, base)).select("minute_start", "requests", "failed", "avg")
-    return as_text(_rounded(out, "avg"), "minute_start")
+    out = R.per_minute(V.requests(spark, base)).drop("error_rate")
+    return as_text(_rounded(out, "avg", *R.PERCENTILES), "minute_start")
 
 
 @query("stream_cart", FOLD_SQL)

@@ -146,17 +146,20 @@ EVENTS = [
     ("value", "value"),
 ]
 
-# Requests: an error event is a server error, a very small value a missing page.
+# Requests: an error event is a server error or, with a small value, a refused connection; otherwise a
+# very small value is a missing page.
+_STATUS = (
+    "cast(case when event_type = 'error' and user_id % 3 > 0 and value < 10 then 0 "
+    "when event_type = 'error' and user_id % 3 > 0 then 500 when value < 1 then 404 else 200 end as int)"
+)
 REQUESTS = [
     (_EVENT_ID, "request_id"),
     ("cast(ts as timestamp)", "ts"),
     ("cast(user_id as string)", "client_key"),
     ("event_type", "endpoint"),
     ("value", "duration_ms"),
-    (
-        "cast(case when event_type = 'error' and user_id % 3 > 0 then 500 when value < 1 then 404 else 200 end as int)",
-        "status",
-    ),
+    (_STATUS, "status"),
+    (f"{_STATUS} = 0 or {_STATUS} >= 400", "failed"),
     ("event_type", "check_group"),
     ("case when user_id % 2 = 0 then 'status 200' else 'has body' end", "check_name"),
     ("value < 20 and event_type <> 'error'", "check_ok"),

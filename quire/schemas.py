@@ -47,7 +47,7 @@ ORDER_ITEM_COMMANDS = _schema(
 )
 USER_COMMANDS = _schema("cmd_id string, op string, user_id string, name string, email string, ts timestamp")
 REQUESTS = _schema(
-    "ts timestamp, client_key string, endpoint string, duration_ms double, status int, "
+    "ts timestamp, client_key string, endpoint string, duration_ms double, status int, failed boolean, "
     "check_group string, check_name string, check_ok boolean"
 )
 

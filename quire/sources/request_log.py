@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire import schemas
+from quire.sources.tables import add_missing
 
 # The layout of raw measurement points and of a saved summary.
 _POINT = (
@@ -57,10 +58,19 @@ def read_points_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def points_to_requests(points: DataFrame, metric: str = "http_req_duration") -> DataFrame:
-    """Points of one trend metric as request rows for the request statistics."""
-    return points.filter(F.col("metric") == metric).select(
-        "ts", "endpoint", F.col("value").alias("duration_ms"), "status", (~F.col("expected")).alias("failed")
+    """Points of one trend metric as rows of the ``requests`` schema; checks come apart, see ``points_to_checks``."""
+    rows = points.filter(F.col("metric") == metric).withColumns(
+        {
+            "duration_ms": F.col("value"),
+            "failed": F.coalesce(~F.col("expected"), (F.col("status") == 0) | (F.col("status") >= 400), F.lit(False)),
+        }
     )
+    return add_missing(rows.drop("check_group", "check_name"), {f.name: f.dataType for f in schemas.REQUESTS.fields}).select(*schemas.REQUESTS.names)
+
+
+def points_to_checks(points: DataFrame) -> DataFrame:
+    """Points of the metric ``checks``, one per check made, as rows (ts, check_group, check_name, check_ok)."""
+    return points.filter(F.col("metric") == "checks").select("ts", "check_group", "check_name", (F.col("value") > 0).alias("check_ok"))
 
 
 def read_summary(spark: SparkSession, path: str) -> DataFrame:

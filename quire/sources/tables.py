@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire import schemas
+from quire.sources.scratch import written
 
-_MARKER_SCHEMA = "version long, name string, path string"
+_MARKER_SCHEMA = "version long, attempt long, name string, path string"
 
 
 def apply_defaults(df: DataFrame, table: str) -> DataFrame:
@@ -37,8 +40,14 @@ def read_table(spark: SparkSession, base: str, name: str, fmt: str = "parquet",
     reader = spark.read.options(**options)
     if fmt in ("csv", "json") and name in schemas.TABLES:
         reader = reader.schema(schemas.TABLES[name])
-    df = reader.format(fmt).load(f"{base.rstrip('/')}/{name}")
-    return df.drop(*schemas.DROPPED_ON_LOAD)
+    return _declared(reader.format(fmt).load(f"{base.rstrip('/')}/{name}"), name)
+
+
+def _declared(df: DataFrame, name: str) -> DataFrame:
+    """Declared columns in their declared types, others as they are, hash columns gone."""
+    df = df.drop(*schemas.DROPPED_ON_LOAD)
+    kinds = {f.name: f.dataType for f in schemas.TABLES[name].fields} if name in schemas.TABLES else {}
+    return df.withColumns({c: F.col(c).cast(t) for c, t in kinds.items() if c in df.columns and df.schema[c].dataType != t})
 
 
 def read_jdbc(
@@ -60,27 +69,29 @@ def read_jdbc(
             .option("upperBound", upper)
             .option("numPartitions", partitions)
         )
-    return reader.load().drop(*schemas.DROPPED_ON_LOAD)
+    return _declared(reader.load(), table)
 
 
 def append_rows(new_rows: DataFrame, path: str) -> DataFrame:
-    """Append to a parquet table and return the rows added."""
-    new_rows.write.mode("append").parquet(path)
-    return new_rows
+    """Append to a parquet table and return the rows added; they are computed once, so both are the same."""
+    added = written(new_rows)
+    added.write.mode("append").parquet(path)
+    return added
 
 
 def publish(tables: dict[str, DataFrame], base: str, version: int) -> None:
     """Write all tables to new places, then make them current with one small write.
 
-    A failure before the last step leaves the earlier version current.
+    A failure before the last step leaves the earlier version current, and so does a failing
+    repetition of a version: each attempt has places of its own, and the last one to finish counts.
     """
     base = base.rstrip("/")
     spark = next(iter(tables.values())).sparkSession
-    rows = []
+    rows, attempt = [], time.time_ns()
     for name, df in tables.items():
-        path = f"{base}/data/{name}/version={version}"
-        df.write.mode("overwrite").parquet(path)
-        rows.append((version, name, path))
+        path = f"{base}/data/{name}/version={version}/attempt={attempt}"
+        df.write.parquet(path)
+        rows.append((version, attempt, name, path))
     spark.createDataFrame(rows, _MARKER_SCHEMA).coalesce(1).write.mode("append").json(f"{base}/current")
 
 
@@ -89,7 +100,7 @@ def read_published(spark: SparkSession, base: str, name: str, before: int | None
     marks = spark.read.schema(_MARKER_SCHEMA).json(f"{base.rstrip('/')}/current")
     if before is not None:
         marks = marks.filter(F.col("version") < before)
-    row = marks.filter(F.col("name") == name).agg(F.max_by("path", "version").alias("path")).first()
+    row = marks.filter(F.col("name") == name).agg(F.max_by("path", F.struct("version", "attempt")).alias("path")).first()
     if row["path"] is None:
         raise ValueError(f"no published version of {name}")
     return spark.read.parquet(row["path"])

@@ -30,9 +30,9 @@ def books(spark, *rows):
     return table(spark, schemas.BOOKS, rows)
 
 
-def cart_row(id, user="u1", book_id="OP001", quantity=1, minute=0, price="30.00", **more):
+def cart_row(id, user="u1", book_id="SH001", quantity=1, minute=0, price="30.00", **more):
     return {
-        "id": id, "user_id": user, "book_id": book_id, "title": "One Piece", "volume": "1", "cover": "c.jpg",
+        "id": id, "user_id": user, "book_id": book_id, "title": "Salt Harbor", "volume": "1", "cover": "c.jpg",
         "unit_price": Decimal(price), "quantity": quantity, "created_at": at(minute), "updated_at": at(minute), **more,
     }
 
@@ -45,7 +45,7 @@ def command(cmd_id, op="add", user="u1", minute=100, **more):
     return {"cmd_id": cmd_id, "user_id": user, "op": op, "ts": at(minute), **more}
 
 
-def add(cmd_id, title="One Piece", volume="1", quantity="1", **more):
+def add(cmd_id, title="Salt Harbor", volume="1", quantity="1", **more):
     return command(cmd_id, book_title=title, volume=volume, quantity=quantity, **more)
 
 

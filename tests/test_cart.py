@@ -11,10 +11,10 @@ from quire.operators import cart as C
 def shelf(spark):
     return books(
         spark,
-        book("OP001", "One Piece", "Vol 1", "30.00", cover="op1.jpg"),
-        book("OP001B", "one piece", "Vol 1", "99.00"),
-        book(None, "Classroom of the Elite", "Vol 1"),
-        book("COTE002", "Classroom of the Elite", "Vol 2", "14.00", cover=None),
+        book("SH001", "Salt Harbor", "Vol 1", "30.00", cover="op1.jpg"),
+        book("SH001B", "salt harbor", "Vol 1", "99.00"),
+        book(None, "Lanterns of the Valley", "Vol 1"),
+        book("COTE002", "Lanterns of the Valley", "Vol 2", "14.00", cover=None),
     )
 
 
@@ -23,7 +23,7 @@ def test_view_consolidates_and_keeps_owners_apart(spark):
         spark,
         cart_row("c1", quantity=2, minute=1, price="10.00", title="old"),
         cart_row("c2", quantity=3, minute=5, title="new"),
-        cart_row("c3", book_id="OP002", minute=9),
+        cart_row("c3", book_id="SH002", minute=9),
         cart_row("c4", user="u2", quantity=7),
     )
     asked = spark.createDataFrame([("u1",), ("u1",)], "user_id string")
@@ -46,21 +46,21 @@ def test_add_takes_catalog_values(spark):
         commands(
             spark,
             add("a1", quantity="2"),
-            add("a2", title="Classroom of the Elite", volume="Vol 1"),
-            add("a3", title="Classroom of the Elite", volume="Vol 2"),
+            add("a2", title="Lanterns of the Valley", volume="Vol 1"),
+            add("a3", title="Lanterns of the Valley", volume="Vol 2"),
             add("a4", title="Nothing"),
             add("a5", quantity="0"),
             add("a6", title=" "),
             add("a7", user="u2", title="x", volume="1", book_id="ONE piece::9"),
-            add("a8", user="u2", title="ONE PIECE", volume=None, book_id="One Piece::1"),
+            add("a8", user="u2", title="SALT HARBOR", volume=None, book_id="Salt Harbor::1"),
         ),
     )
     assert by(change.results, "cmd_id", "status") == {
         "a1": "ok", "a2": "not_found", "a3": "ok", "a4": "not_found", "a5": "invalid", "a6": "invalid", "a7": "ok", "a8": "invalid",
     }
     got = {(r["user_id"], r["book_id"]): r for r in change.cart.collect()}
-    assert set(got) == {("u1", "OP001"), ("u1", "COTE002"), ("u2", "OP001")}
-    piece = got["u1", "OP001"]
+    assert set(got) == {("u1", "SH001"), ("u1", "COTE002"), ("u2", "SH001")}
+    piece = got["u1", "SH001"]
     assert (piece["unit_price"], piece["cover"], piece["volume"], piece["quantity"]) == (Decimal("30.00"), "op1.jpg", "1", 2)
     assert got["u1", "COTE002"]["cover"] == "" and piece["id"] is not None
 

@@ -51,8 +51,7 @@ def serial(owned, asked):
     return won, taken
 
 
-@pytest.mark.parametrize("limit", [None, 0, 25])
-def test_equals_serial_service(spark, limit):
+def test_equals_serial_service(spark):
     rng = random.Random(3)
     owned = {f"c{n:03d}": f"u{rng.randrange(4)}" for n in range(120)}
     rows = [cart_row(i, u, f"B{i}", minute=n) for n, (i, u) in enumerate(owned.items())]
@@ -63,7 +62,7 @@ def test_equals_serial_service(spark, limit):
         ids = {rng.choice(own) for _ in range(rng.randrange(1, 4))} | ({"zz"} if rng.random() < 0.1 else set())
         asked.append((at(rng.randrange(30)), f"r{n:03d}", user, sorted(ids)))
     frame = requests(spark, *[{"request_id": r, "user_id": u, "cart_item_ids": i, "ts": t} for t, r, u, i in asked])
-    done = K.checkout(cart(spark, *rows), frame, sequential_pairs=limit)
+    done = K.checkout(cart(spark, *rows), frame)
     won, taken = serial(owned, asked)
     assert {r["request_id"] for r in done.results.filter("status = 'ok'").collect()} == won
     sold = [r["cart_item_id"] for r in done.lines.collect()]
@@ -74,4 +73,4 @@ def test_equals_serial_service(spark, limit):
 def test_lines_oldest_first(spark):
     df = cart(spark, cart_row("c1", minute=9), cart_row("c2", book_id="B", minute=1))
     done = K.checkout(df, requests(spark, request("r1", "c1", "c2")))
-    assert [r["cart_item_id"] for r in K.numbered_lines(done.lines).collect()] == ["c2", "c1"]
+    assert [(r["line_no"], r["cart_item_id"]) for r in K.numbered_lines(done.lines).orderBy("line_no").collect()] == [(1, "c2"), (2, "c1")]

@@ -63,20 +63,20 @@ def test_lists(spark):
 
 
 def test_book_volume(spark):
-    assert one(spark, X.book_volume, "One Piece::2") == "2"
+    assert one(spark, X.book_volume, "Salt Harbor::2") == "2"
     assert one(spark, X.book_volume, "a::b::c") == "b"
-    for text in ("OP001", "One Piece::", "", None):
+    for text in ("SH001", "Salt Harbor::", "", None):
         assert one(spark, X.book_volume, text) is None
 
 
 @pytest.mark.parametrize(
     "book_id, title, volume, want",
     [
-        (None, " One Piece ", " 1 ", ("One Piece", "1")),
-        ("Naruto::2", "One Piece", None, ("Naruto", "2")),
-        ("Naruto::2", "One Piece", "5", ("Naruto", "5")),
-        ("::2", "One Piece", None, (None, "2")),
-        ("OP001", "One Piece", "1", ("One Piece", "1")),
+        (None, " Salt Harbor ", " 1 ", ("Salt Harbor", "1")),
+        ("Marrow::2", "Salt Harbor", None, ("Marrow", "2")),
+        ("Marrow::2", "Salt Harbor", "5", ("Marrow", "5")),
+        ("::2", "Salt Harbor", None, (None, "2")),
+        ("SH001", "Salt Harbor", "1", ("Salt Harbor", "1")),
     ],
 )
 def test_requested_book(spark, book_id, title, volume, want):
@@ -93,7 +93,7 @@ def test_distinct_ids(spark):
 @pytest.mark.parametrize(
     "cover, book_id, want",
     [
-        ("images/sl_vol_2.jpg", "SL009", "Vol 2"), (None, "OP003", "Vol 3"), ("x.jpg", "AB000", "Vol 1"), (None, None, "Vol 1"),
+        ("images/sl_vol_2.jpg", "TO009", "Vol 2"), (None, "SH003", "Vol 3"), ("x.jpg", "AB000", "Vol 1"), (None, None, "Vol 1"),
         ("x.jpg", "AB010", "Vol 10"), ("a_vol_012.jpg", "X1", "Vol 012"),
     ],
 )

@@ -10,9 +10,9 @@ def order(id, user="u1", total="30.00", minute=0, status="completed"):
     return {"id": id, "user_id": user, "total_amount": Decimal(total), "status": status, "created_at": at(minute)}
 
 
-def item(id, order_id, quantity=1, price="30.00", book_id="One Piece::1", cover="c.jpg"):
+def item(id, order_id, quantity=1, price="30.00", book_id="Salt Harbor::1", cover="c.jpg"):
     return {
-        "id": id, "order_id": order_id, "book_id": book_id, "title": "One Piece", "cover": cover, "unit_price": Decimal(price),
+        "id": id, "order_id": order_id, "book_id": book_id, "title": "Salt Harbor", "cover": cover, "unit_price": Decimal(price),
         "quantity": quantity, "line_total": Decimal(price) * quantity,
     }
 
@@ -35,13 +35,13 @@ def command(cmd_id, item_id, order_id=None, quantity=None, user="u1", minute=0,
 
 def test_history_documents(spark):
     heads = orders(spark, order("o1", total="30.00", minute=1), order("o2", total="60.00", minute=2), order("o3", user="u2"), order("o4", minute=0))
-    lines = items(spark, item("i2", "o2", 2, book_id="One Piece::2"), item("i1", "o1"), item("i0", "o1", book_id="OP001", cover=""), item("i9", "o3"))
+    lines = items(spark, item("i2", "o2", 2, book_id="Salt Harbor::2"), item("i1", "o1"), item("i0", "o1", book_id="SH001", cover=""), item("i9", "o3"))
     users = spark.createDataFrame([("u1",)], "user_id string")
-    got = O.order_history(heads, lines, books(spark, book("OP001", "One Piece", cover="book.jpg")), users).collect()
+    got = O.order_history(heads, lines, books(spark, book("SH001", "Salt Harbor", cover="book.jpg")), users).collect()
     assert [r["id"] for r in got] == ["o2", "o1", "o4"]
     assert got[0]["purchase_date"] == got[0]["created_at"] == at(2)
     only = got[0]["items"][0]
-    assert (only["volume"], only["book_title"], only["price"], only["quantity"]) == ("2", "One Piece", Decimal("30.00"), 2)
+    assert (only["volume"], only["book_title"], only["price"], only["quantity"]) == ("2", "Salt Harbor", Decimal("30.00"), 2)
     assert [(i["id"], i["volume"], i["cover"]) for i in got[1]["items"]] == [("i0", None, "book.jpg"), ("i1", "1", "c.jpg")]
     assert got[2]["items"] == [] and got[2]["section"] == 0
     flat = O.history_lines(heads, lines, books(spark), users).collect()
@@ -51,7 +51,7 @@ def test_history_documents(spark):
 
 def test_long_order_comes_in_sections(spark):
     lines = items(spark, *[item(f"i{n:03d}", "big") for n in range(30)], item("s", "small"))
-    got = O.order_history(orders(spark, order("big"), order("small")), lines, books(spark), max_items=7).collect()
+    got = O.order_history(orders(spark, order("big"), order("small")), lines, books(spark), section_length=7).collect()
     big = sorted((r for r in got if r["id"] == "big"), key=lambda r: r["section"])
     assert len(big) > 1 and [i["id"] for r in big for i in r["items"]] == [f"i{n:03d}" for n in range(30)]
     assert len([r for r in got if r["id"] == "small"]) == 1

@@ -37,9 +37,9 @@ def test_latest_orders_are_cut_before_the_shuffle(spark):
     assert "WindowGroupLimit" in text and "Partial" in text
 
 
-def test_allowed_requests_are_cut_before_the_shuffle(spark):
-    text = plan(R.quota_excess(V.requests(spark, BASE), {"click": 1}))
-    assert "WindowGroupLimit" in text and "Partial" in text
+def test_requests_are_ranked_within_a_second_only(spark):
+    ranks = [x for x in plan(R.quota_excess(V.requests(spark, BASE), {"click": 5000})).splitlines() if "row_number()" in x and "windowspecdefinition" in x]
+    assert ranks and all("_s#" in x.partition("windowspecdefinition")[2] for x in ranks)
 
 
 def test_consolidation_aggregates_before_the_shuffle(spark):

@@ -3,26 +3,27 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from helpers import at, by
 
+from quire import schemas
 from quire.operators import requests as R
 from quire.sources import request_log as L
 
 
 def log(spark, rows):
     schema = (
-        "request_id string, ts timestamp, client_key string, endpoint string, duration_ms double, status int, "
+        "request_id string, ts timestamp, client_key string, endpoint string, duration_ms double, status int, failed boolean, "
         "check_group string, check_name string, check_ok boolean"
     )
     return spark.createDataFrame(rows, schema)
 
 
 def row(n, minute=0.0, client="c", endpoint="cart", ms=1.0, status=200, ok=True):
-    return (f"r{n:04d}", at(minute), client, endpoint, float(ms), status, "g", "status 200", ok)
+    return (f"r{n:04d}", at(minute), client, endpoint, float(ms), status, status == 0 or status >= 400, "g", "status 200", ok)
 
 
-@pytest.mark.parametrize("limit", [None, 20])
-def test_exact_percentiles(spark, limit):
+def test_exact_percentiles(spark):
     rng = random.Random(5)
     values = {
         "wide": [rng.lognormvariate(6, 2) for _ in range(3000)],
@@ -32,7 +33,7 @@ def test_exact_percentiles(spark, limit):
     }
     rows = [(k, v) for k, vs in values.items() for v in vs] + [("one", None)]
     df = spark.createDataFrame(rows, "k string, v double")
-    got = {r["k"]: r for r in R.percentiles(df, ["k"], "v", direct_values=limit).collect()}
+    got = {r["k"]: r for r in R.trend(df, ["k"], "v").collect()}
     assert set(got) == set(values)
     for k, vs in values.items():
         for name, p in R.PERCENTILES.items():
@@ -66,7 +67,11 @@ def test_quota(spark):
     counts = {(r["window_start"], r["endpoint"]): (r["requests"], r["allowance"], r["excess"]) for r in R.quota_by_window(df).collect()}
     assert counts[at(0), "orders"] == (60, 50, 10) and counts[at(15), "orders"] == (1, 50, 0)
     assert counts[at(0), "free"] == (1, None, 0)
-    assert sorted(r["request_id"] for r in R.quota_excess(df).collect()) == [f"r{n:04d}" for n in range(50, 60)]
+    over = R.quota_excess(df, ties=["request_id"])
+    assert sorted(r["request_id"] for r in over.collect()) == [f"r{n:04d}" for n in range(50, 60)] and over.columns == df.columns
+    assert R.quota_excess(df.drop("request_id")).count() == 10
+    burst = log(spark, [row(n, minute=0, endpoint="orders") for n in range(3000)])
+    assert R.quota_excess(burst, {"orders": 2500}, ties=["request_id"]).agg(F.min("request_id"), F.count("*")).first()[:] == ("r2500", 500)
     assert R.quota_excess(df, {}, default=1).count() == 59
     assert R.quota_excess(df, {"orders": 0}).count() == 61
 
@@ -92,10 +97,35 @@ def test_raw_points(spark, tmp_path):
     assert L.points_to_requests(L.read_points_csv(spark, str(csv))).first() == got
 
 
+def test_statistics_from_raw_points(spark, tmp_path):
+    def point(metric, second, value, **tags):
+        return {"type": "Point", "metric": metric, "data": {"time": f"2026-01-01T00:00:{second:02d}Z", "value": value, "tags": tags}}
+
+    rows = [("200", "true", 10.0), ("0", "false", 0.0), ("500", "false", 40.0)]
+    points = [point("http_req_duration", n, v, name="GET /x", status=s, expected_response=e) for n, (s, e, v) in enumerate(rows)]
+    points += [point("checks", n, ok, check="status 200", group="::G") for n, ok in enumerate([1, 0, 1, 1])]
+    (tmp_path / "p.json").write_text("\n".join(json.dumps(p) for p in points))
+    lines = ["metric_name,timestamp,metric_value,check,error,expected_response,group,name,status"]
+    lines += [f"http_req_duration,{1767225600 + n},{v},,,{e},,GET /x,{s}" for n, (s, e, v) in enumerate(rows)]
+    lines += [f"checks,{1767225600 + n},{ok},status 200,,,::G,," for n, ok in enumerate([1, 0, 1, 1])]
+    (tmp_path / "p.csv").write_text("\n".join(lines) + "\n")
+    for found in (L.read_points(spark, str(tmp_path / "p.json")), L.read_points_csv(spark, str(tmp_path / "p.csv"))):
+        requests, checked = L.points_to_requests(found), L.points_to_checks(found)
+        assert requests.columns == schemas.REQUESTS.names
+        assert R.rate(requests, R.is_failed()).first()[:] == (2, 1, pytest.approx(2 / 3))
+        assert [r["n"] for r in R.trend_of_successful(requests).collect()] == [1]
+        assert R.checks(checked).first()[:] == ("::G", "status 200", 3, 1)
+        got = {(r["metric"], r["statistic"]): (r["actual"], r["met"]) for r in R.verdicts(requests, checked=checked).collect()}
+        assert got["checks", "rate"] == (0.75, False) and got["http_req_failed", "rate"] == (pytest.approx(2 / 3), False)
+        assert got["http_reqs", "rate"] == (1.5, False) and got["http_req_duration", "p95"] == (pytest.approx(37.0), True)
+        assert R.counters(requests, {"failed": R.is_failed()}).first()["count"] == 2
+        assert R.quota_excess(requests.fillna("c", ["client_key"]), {"GET /x": 1}).count() == 2
+
+
 def test_requests_and_summary(spark, tmp_path):
     (tmp_path / "r.json").write_text('{"ts":"2026-01-01T00:00:00Z","client_key":"c","endpoint":"cart","duration_ms":3.5,"status":200}\n')
     (tmp_path / "r.csv").write_text(
-        "ts,client_key,endpoint,duration_ms,status,check_group,check_name,check_ok\n2026-01-01T00:00:00Z,c,cart,3.5,200,,,\n"
+        "ts,client_key,endpoint,duration_ms,status,failed,check_group,check_name,check_ok\n2026-01-01T00:00:00Z,c,cart,3.5,200,,,,\n"
     )
     from_json = L.read_requests(spark, str(tmp_path / "r.json")).collect()
     assert from_json == L.read_requests(spark, str(tmp_path / "r.csv"), "csv").collect() and from_json[0]["ts"] == at(0)

@@ -15,65 +15,48 @@ def sides(spark):
     return big, other.unionByName(spark.createDataFrame([(1, -1)], "k int, v bigint"))
 
 
-def test_hot_keys_are_found(spark, sides):
-    big, _ = sides
-    hot = S.hot_keys(big, ["k"], small_input=0)
-    one = spark.createDataFrame([(1,)], "k int").select(F.xxhash64("k")).first()[0]
-    assert one in hot and len(hot) <= S.HOT_KEYS
-    assert S.hot_keys(big, ["k"]) == []  # a small input needs no care
-
-
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_equals_join(sides, how):
+def test_written_side_lets_a_hot_key_be_split(spark, sides):
     big, other = sides
-    plain = big.join(other, "k", how)
-    salted = S.salted_join(big, other, ["k"], how, "row", small_input=0)
-    assert salted.columns == plain.columns
-    assert plain.count() == salted.count() and plain.exceptAll(salted).count() == 0
-
-
-def test_salted_join_spreads_the_hot_key(spark, sides):
-    big, other = sides
-    keyed = other.groupBy("k").agg(F.max("v").alias("v"))
-    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    keyed = S.written(other.groupBy("k").agg(F.max("v").alias("v")))
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
     for key, value in settings.items():
         spark.conf.set(key, value)
     try:
-        sizes = lambda df: sorted(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
-        assert max(sizes(big.join(keyed, "k"))) > 10000
-        assert max(sizes(S.salted_join(big, keyed, ["k"], "inner", "row", small_input=0))) < 7000
+        for how in ("inner", "left", "left_semi", "left_anti"):
+            joined = big.repartition(8).join(keyed, "k", how)
+            joined.count()
+            assert joined.exceptAll(big.join(other.groupBy("k").agg(F.max("v").alias("v")), "k", how)).count() == 0
+            joined.collect()
+            assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString(), how
     finally:
         for key in settings:
             spark.conf.unset(key)
 
 
-def test_lookup_join_beyond_the_limit(sides, monkeypatch):
-    big, other = sides
-    plain = big.join(other, "k", "left_semi").count()
-    assert S.lookup_join(big, other, ["k"], "left_semi", "row").count() == plain
-    monkeypatch.setattr(S, "BROADCAST_ROWS", 10)
-    monkeypatch.setattr(S, "SMALL_INPUT", 0)
-    assert S.lookup_join(big, other, ["k"], "left_semi", "row").count() == plain
-    assert S.lookup_join(big, other, ["k"], "left_semi", "row", lambda: S.hot_keys(big, ["k"])).count() == plain
-
-
 def test_nest_keeps_everything(sides):
     big, _ = sides
     rows = big.dropna()
-    whole = S.nest(rows, ["k"], [F.col("row")], [], lambda x: F.struct(x["o0"].alias("row")), "rows", "row")
-    parts = S.nest(rows, ["k"], [F.col("row")], [], lambda x: F.struct(x["o0"].alias("row")), "rows", "row", max_items=500)
+    make = lambda x: F.struct(x["o0"].alias("row"))
+    whole = S.nest(rows, ["k"], [F.col("row")], [], make, "rows", 20_000)
+    parts = S.nest(rows, ["k"], [F.col("row")], [], make, "rows", 500)
     assert whole.count() == rows.select("k").distinct().count() and {r[0] for r in whole.select("section").distinct().collect()} == {0}
-    assert parts.agg(F.max(F.size("rows"))).first()[0] < 3000
+    assert parts.agg(F.max(F.size("rows"))).first()[0] == 500
     hot = parts.filter("k = 1").orderBy("section").collect()
-    assert len(hot) > 5
+    assert [r["section"] for r in hot] == list(range(len(hot))) and all(len(r["rows"]) == 500 for r in hot[:-1])
     got = [x["row"] for r in hot for x in r["rows"]]
     assert got == sorted(got) == [x["row"] for x in whole.filter("k = 1").first()["rows"]]
     assert parts.filter("k <> 1").agg(F.max("section"), F.sum(F.size("rows"))).first()[1] == rows.filter("k <> 1").count()
 
 
-def test_durable_keeps_rows_and_types(spark, sides):
+def test_written_keeps_rows_and_types(spark, sides):
     big, _ = sides
-    again = S.durable(big)
+    again = S.written(big)
     assert again.dtypes == big.dtypes and again.exceptAll(big).count() == 0 and again.count() == big.count()
-    empty = S.durable(big.limit(0))
+    empty = S.written(big.limit(0))
     assert empty.count() == 0 and empty.columns == big.columns

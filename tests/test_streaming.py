@@ -13,10 +13,10 @@ def write(spark, folder, n, rows, schema):
 
 
 def log_rows(lo, hi):
-    return [(at(m), f"c{m % 3}", "cart", float(m), 500 if m % 7 == 0 else 200) for m in range(lo, hi)]
+    return [(at(m), f"c{m % 3}", "cart", float(m), 500 if m % 7 == 0 else 200, m % 7 == 0) for m in range(lo, hi)]
 
 
-SCHEMA = "ts timestamp, client_key string, endpoint string, duration_ms double, status int"
+SCHEMA = "ts timestamp, client_key string, endpoint string, duration_ms double, status int, failed boolean"
 
 
 def test_streams_equal_batch(spark, tmp_path):
@@ -47,10 +47,10 @@ def test_late_rows_are_dropped_and_windows_close(spark, tmp_path):
         return {r["window_start"]: r["n"] for r in spark.read.parquet(out).groupBy("window_start").agg(F.sum("requests").alias("n")).collect()}
 
     run()
-    write(spark, source, 1, [(at(100), "c0", "cart", 1.0, 200)], SCHEMA)  # closes the earlier windows
+    write(spark, source, 1, [(at(100), "c0", "cart", 1.0, 200, False)], SCHEMA)  # closes the earlier windows
     run()
     assert closed() == {at(0): 15, at(15): 15}
-    write(spark, source, 2, [(at(1), "c0", "cart", 1.0, 200), (at(200), "c0", "cart", 1.0, 200)], SCHEMA)
+    write(spark, source, 2, [(at(1), "c0", "cart", 1.0, 200, False), (at(200), "c0", "cart", 1.0, 200, False)], SCHEMA)
     run()
     assert closed()[at(0)] == 15 and closed()[at(90)] == 1
 

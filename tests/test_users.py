@@ -126,7 +126,7 @@ def test_table_rules(spark):
     assert [r for _, r in broken(Q.lengths(shelf, "books"))] == ["title > 255", "book_id > 120"]
     assert [tuple(r) for r in Q.not_unique(shelf, "books").collect()] == [("books", "book_id", "B1", 2)]
     rows = cart(spark, cart_row("c1"), cart_row("c2"), cart_row("c3", user="u2"))
-    assert [r["key_value"] for r in Q.not_unique(rows, "cart_items").collect()] == ["u1|OP001"]
+    assert [r["key_value"] for r in Q.not_unique(rows, "cart_items").collect()] == ["u1|SH001"]
 
 
 def test_references_and_cascade(spark):
