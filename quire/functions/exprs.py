@@ -19,6 +19,7 @@ _SPACE = (
     "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
+_BASES = {"x": (16, "[0-9a-fA-F]"), "o": (8, "[0-7]"), "b": (2, "[01]")}
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 ID_DELIMITER = "::"
 VOLUME_PREFIX = "Vol "
@@ -60,11 +61,17 @@ def _via(c: Column, *steps: Callable[[Column], Column]) -> Column:
 
 
 def _parsed(text: Column) -> Column:
-    return F.when(text.rlike(_NUMBER), text.try_cast("double"))
+    digits = F.substring(text, 3, 4096)
+    value = F.when(text.rlike(_NUMBER), text.try_cast("double"))
+    for letter, (base, pattern) in _BASES.items():  # at most 15 digits, beyond which no integer column goes
+        plain = F.ltrim(digits, F.lit("0"))
+        number = F.when(F.length(plain) <= (62 if base == 2 else 15), F.conv(F.concat(F.lit("0"), plain), base, 10).try_cast("double"))
+        value = F.when(text.rlike(f"^0[{letter}{letter.upper()}]{pattern}+$"), F.coalesce(number, F.lit(1e18))).otherwise(value)
+    return value
 
 
 def number_or_null(c: Column | str) -> Column:
-    """Finite number written in plain or exponent notation, else NULL."""
+    """Finite number written in plain, exponent, hex, octal or binary notation, else NULL."""
     infinite = float("inf")
     return _via(
         js_trim(_col(c).cast("string")), _parsed, lambda v: F.when((v < infinite) & (v > -infinite), v)

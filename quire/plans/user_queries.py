@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -160,13 +163,24 @@ _BENT = {
     "order_items": {
         "unit_price": "case when quantity = 7 then cast(-unit_price as decimal(10,2)) else unit_price end",
         "quantity": "case when quantity = 9 then 0 when quantity = 11 then -1 else quantity end",
+        "title": "case when quantity = 13 then repeat('long title ', 30) when quantity = 15 then null else title end",
+        "order_id": "case when quantity = 17 then 'gone-' || order_id else order_id end",
+    },
+    "cart_items": {
+        "quantity": "case when quantity = 9 then 0 else quantity end",
+        "unit_price": "case when quantity = 7 then cast(-unit_price as decimal(10,2)) else unit_price end",
+        "volume": "case when quantity = 11 then null when quantity = 13 then repeat('volume ', 9) else volume end",
+        "user_id": "case when user_id like '%17' then 'gone-' || user_id else user_id end",
     },
     "orders": {
         "status": "case when user_id like '%7' then 'paid' else status end",
         "total_amount": "case when user_id like '%5' then cast(-total_amount as decimal(10,2)) else total_amount end",
         "user_id": "case when user_id like '%13' then 'gone-' || user_id else user_id end",
     },
-    "users": {"email": "case when id like '%3' then 'shared@example.com' else email end"},
+    "users": {
+        "email": "case when id like '%3' then 'shared@example.com' when id like '%6' then null else email end",
+        "name": "case when id like '%8' then repeat('long name ', 20) else name end",
+    },
 }
 _VIEW = {"books": "v_books", "order_items": "v_items", "orders": "v_orders", "users": "v_users", "cart_items": "v_cart"}
 _READ = {"books": V.books, "order_items": V.items, "orders": V.orders, "users": V.users, "cart_items": V.cart}
@@ -192,30 +206,40 @@ def _rules_sql(table: str, rules: dict[str, str]) -> str:
     )
 
 
+_ALL_VIEWS = " ".join(_VIEW.values())
+
+
+def _every(spark: SparkSession, base: str, rule: Callable[[DataFrame, str], DataFrame], tables: Iterable[str]) -> DataFrame:
+    """What breaks a kind of rule in any of the tables."""
+    return functools.reduce(DataFrame.unionByName, [rule(_bent(spark, base, t), t) for t in tables])
+
+
+def _every_sql(rules: dict[str, dict[str, str]]) -> str:
+    return " UNION ALL ".join(_rules_sql(table, of) for table, of in rules.items())
+
+
 @query(
     "dq_not_null",
     with_views(
-        "v_books v_orders",
-        "SELECT * FROM (" + _rules_sql("books", {f"{c} is null": f"{c} IS NULL" for c in schemas.REQUIRED["books"]})
-        + " UNION ALL " + _rules_sql("orders", {f"{c} is null": f"{c} IS NULL" for c in schemas.REQUIRED["orders"]}) + ")",
+        _ALL_VIEWS, _every_sql({t: {f"{c} is null": f"{c} IS NULL" for c in columns} for t, columns in schemas.REQUIRED.items()})
     ),
 )
 def dq_not_null(spark: SparkSession, base: str) -> DataFrame:
-    books = Q.not_null(_bent(spark, base, "books"), "books")
-    return books.unionByName(Q.not_null(_bent(spark, base, "orders"), "orders"))
+    return _every(spark, base, Q.not_null, schemas.REQUIRED)
+
+
+_LINE_CHECKS = {"unit_price < 0": "unit_price < 0", "quantity <= 0": "quantity <= 0"}
 
 
 @query(
     "dq_checks",
     with_views(
-        "v_items v_orders",
-        "SELECT * FROM (" + _rules_sql("order_items", {"unit_price < 0": "unit_price < 0", "quantity <= 0": "quantity <= 0"})
-        + " UNION ALL " + _rules_sql("orders", {"total_amount < 0": "total_amount < 0"}) + ")",
+        "v_items v_orders v_cart",
+        _every_sql({"order_items": _LINE_CHECKS, "cart_items": _LINE_CHECKS, "orders": {"total_amount < 0": "total_amount < 0"}}),
     ),
 )
 def dq_checks(spark: SparkSession, base: str) -> DataFrame:
-    items = Q.value_checks(_bent(spark, base, "order_items"), "order_items")
-    return items.unionByName(Q.value_checks(_bent(spark, base, "orders"), "orders"))
+    return _every(spark, base, Q.value_checks, ("order_items", "cart_items", "orders"))
 
 
 @query(
@@ -253,28 +277,25 @@ def dq_unique(spark: SparkSession, base: str) -> DataFrame:
 @query(
     "dq_lengths",
     with_views(
-        "v_books v_users",
-        "SELECT * FROM (" + _rules_sql("books", {f"{c} > {n}": f"length({c}) > {n}" for c, n in schemas.MAX_LENGTHS["books"].items()})
-        + " UNION ALL " + _rules_sql("users", {f"{c} > {n}": f"length({c}) > {n}" for c, n in schemas.MAX_LENGTHS["users"].items()}) + ")",
+        _ALL_VIEWS, _every_sql({t: {f"{c} > {n}": f"length({c}) > {n}" for c, n in limits.items()} for t, limits in schemas.MAX_LENGTHS.items()})
     ),
 )
 def dq_lengths(spark: SparkSession, base: str) -> DataFrame:
-    books = Q.lengths(_bent(spark, base, "books"), "books")
-    return books.unionByName(Q.lengths(_bent(spark, base, "users"), "users"))
+    return _every(spark, base, Q.lengths, schemas.MAX_LENGTHS)
 
 
 def _tables(spark: SparkSession, base: str) -> dict[str, DataFrame]:
-    return {t: _bent(spark, base, t) if t == "orders" else _READ[t](spark, base) for t in _READ}
+    return {t: _READ[t](spark, base) if t == "users" else _bent(spark, base, t) for t in _READ}
 
 
 @query(
     "fk_orphans",
     with_views("v_users v_cart v_orders v_items", f"""
-    SELECT 'cart_items' AS table_name, id AS row_key, 'user_id -> users' AS rule FROM v_cart c
+    SELECT 'cart_items' AS table_name, id AS row_key, 'user_id -> users' AS rule FROM {_bent_sql('cart_items')} c
       WHERE NOT EXISTS (SELECT 1 FROM v_users u WHERE u.id = c.user_id)
     UNION ALL SELECT 'orders', id, 'user_id -> users' FROM {_bent_sql('orders')} o
       WHERE NOT EXISTS (SELECT 1 FROM v_users u WHERE u.id = o.user_id)
-    UNION ALL SELECT 'order_items', id, 'order_id -> orders' FROM v_items i
+    UNION ALL SELECT 'order_items', id, 'order_id -> orders' FROM {_bent_sql('order_items')} i
       WHERE NOT EXISTS (SELECT 1 FROM v_orders o WHERE o.id = i.order_id)"""),
 )
 def fk_orphans(spark: SparkSession, base: str) -> DataFrame:

@@ -20,6 +20,7 @@ def _schema(text: str) -> T.StructType:
     return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
+# Columns and types of the tables.
 BOOKS = _schema(
     "book_id string, title string, author string, genre string, description string, "
     "price money, volume string, cover string, type string, publisher string, "
