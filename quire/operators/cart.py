@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import exprs as X
 from quire.operators.catalog import resolve
-from quire.operators.skew import written
+from quire.operators.skew import running, written
 
 KEY = ["user_id", "book_id"]
 COLUMNS = (
@@ -35,14 +35,14 @@ def _newest() -> Column:
 def consolidate(cart: DataFrame) -> DataFrame:
     """One row per (user, book): newest row's data, summed quantity, latest times.
 
-    The quantity cast raises on overflow.
+    A sum beyond the integer range comes as NULL.
     """
     latest = F.max_by(F.struct("id", *SNAPSHOT), _newest())
     return (
         cart.groupBy(*KEY)
         .agg(
             latest.alias("_l"),
-            F.sum("quantity").cast("int").alias("quantity"),
+            F.sum("quantity").try_cast("int").alias("quantity"),
             F.max("created_at").alias("created_at"),
             F.max("updated_at").alias("updated_at"),
         )
@@ -113,18 +113,19 @@ def _first_add(cond: Column | None = None) -> Column:
 
 
 def _stored(cart: DataFrame, keys: DataFrame) -> DataFrame:
-    """Per key among ``keys``: the row that is kept and the total; a negative quantity
-    fails the job."""
-    quantity = F.when(
-        F.col("quantity").isNull() | (F.col("quantity") < 0),
-        F.raise_error(F.lit("invalid existing cart quantity")).cast("int"),
-    ).otherwise(F.col("quantity"))
+    """Per key among ``keys``: the row that is kept and the total, which is NULL if a
+    stored quantity is missing or negative."""
+    sound = F.bool_and(F.coalesce(F.col("quantity") >= 0, F.lit(False)))
     rows = cart.join(keys.select(*KEY), KEY, "left_semi")
     return rows.groupBy(*KEY).agg(
-        F.max_by("id", _newest()).alias("_keep"), F.sum(quantity).alias("_have")
+        F.max_by("id", _newest()).alias("_keep"), F.when(sound, F.sum("quantity")).alias("_have")
     )
 
 
+def _fits(total: Column) -> Column:
+    return F.coalesce((total >= 0) & (total <= 2147483647), F.lit(False))
+
+
 def _apply(cart: DataFrame, touched: DataFrame) -> DataFrame:
     """Replace the rows of the touched keys.
 
@@ -158,18 +159,23 @@ def _apply(cart: DataFrame, touched: DataFrame) -> DataFrame:
 
 def add_to_cart(cart: DataFrame, books: DataFrame, commands: DataFrame) -> CartChange:
     """Add commands: merge into the newest row of the key, whose other data stay, or
-    insert a row with the catalog's data.  Keys without a command stay as they are."""
+    insert a row with the catalog's data.  Keys without a command stay as they are.
+
+    Where the sum would leave the integer range, or a stored quantity is not sound, the key stays as
+    it is and its adds are invalid; other keys do not notice."""
     resolved = resolve_adds(commands, books)
     adds = written(
         resolved.filter(F.col("status") == OK)
         .groupBy("user_id", F.col("item.book_id").alias("book_id"))
         .agg(F.sum("qty").alias("_add"), _first_add().alias("_new"), F.max("ts").alias("_updated"))
     )
-    touched = adds.join(_stored(cart, adds), KEY, "left").withColumns(
-        {"_exists": F.lit(True), "_qty": F.col("_add") + F.coalesce("_have", F.lit(0))}
-    )
-    results = resolved.select("cmd_id", "user_id", "status", F.col("item.book_id").alias("book_id"))
-    return CartChange(_apply(cart, touched), results)
+    total = F.col("_add") + F.when(F.col("_keep").isNull(), F.lit(0)).otherwise(F.col("_have"))
+    merged = written(adds.join(_stored(cart, adds), KEY, "left").withColumns({"_exists": F.lit(True), "_qty": total}))
+    bad = merged.filter(~_fits(F.col("_qty"))).select(*KEY, F.lit(True).alias("_bad"))
+    told = resolved.select("cmd_id", "user_id", "status", F.col("item.book_id").alias("book_id"))
+    status = F.when((F.col("status") == OK) & F.col("_bad"), INVALID).otherwise(F.col("status"))
+    results = told.join(bad, KEY, "left").select("cmd_id", "user_id", status.alias("status"), "book_id")
+    return CartChange(_apply(cart, merged.filter(_fits(F.col("_qty")))), results)
 
 
 def _owned(commands: DataFrame, cart: DataFrame) -> DataFrame:
@@ -276,7 +282,32 @@ def fold_commands(cart: DataFrame, books: DataFrame, commands: DataFrame) -> Dat
             "_keep": F.when(kept, F.col("_keep")),
         }
     ).withColumn("_qty", F.when(F.col("_exists"), F.col("_qty")))
-    return _apply(cart, touched)
+    return _apply(cart, touched.filter(~F.col("_exists") | _fits(F.col("_qty"))))
+
+
+def fold_results(cart: DataFrame, books: DataFrame, commands: DataFrame) -> DataFrame:
+    """One row per command of a mixed batch: cmd_id, user_id, op, status.
+
+    Adds are judged as in ``add_to_cart``.  A set or remove finds its row if the last add or remove of
+    the key before it was an add or, where there was none, if the cart holds the key.
+    """
+    adds = resolve_adds(commands.filter(F.col("op") == "add"), books).withColumn("book_id", F.col("item.book_id"))
+    others = commands.filter(F.col("op").isin("set", "remove")).withColumns(
+        {
+            "book_id": X.text_or_null("book_id"),
+            "status": F.when((F.col("op") == "set") & X.quantity_or_null("quantity").isNull(), INVALID).otherwise(OK),
+        }
+    )
+    names = ["cmd_id", "user_id", "book_id", "op", "ts", "status"]
+    every = adds.select(*names).unionByName(others.select(*names))
+    founding = (F.col("status") == OK) & F.col("op").isin("add", "remove")
+    at = F.when(founding, F.struct("ts", "cmd_id", "op"))
+    followed = running(every, KEY, ["ts", "cmd_id"], at, latest=True)
+    held = cart.join(written(every.select(*KEY).distinct()), KEY, "left_semi").select(*KEY).distinct().withColumn("_held", F.lit(True))
+    seen = followed.join(written(held), KEY, "left")
+    there = F.when(F.col("before").isNull(), F.coalesce("_held", F.lit(False))).otherwise(F.col("before.op") == "add")
+    status = F.when((F.col("op") != "add") & (F.col("status") == OK) & ~there, NOT_FOUND).otherwise(F.col("status"))
+    return seen.select("cmd_id", "user_id", "op", status.alias("status"))
 
 
 def line_subtotals(rows: DataFrame, price: str = "unit_price") -> DataFrame:

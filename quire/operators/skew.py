@@ -32,8 +32,9 @@ def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def running(rows: DataFrame, keys: Sequence[str], order: Sequence[str], amount: Column) -> DataFrame:
-    """``rows`` with ``before``: the sum of ``amount`` over the rows of the key that come earlier.
+def running(rows: DataFrame, keys: Sequence[str], order: Sequence[str], amount: Column, latest: bool = False) -> DataFrame:
+    """``rows`` with ``before``: the sum of ``amount`` over the rows of the key that come earlier, or
+    with ``latest`` the largest (NULL if there is none).
 
     Rows are range-partitioned by key and order, summed within their part, and the sums of
     the parts before are added: the result does not depend on how rows are dealt, and a key
@@ -43,15 +44,14 @@ def running(rows: DataFrame, keys: Sequence[str], order: Sequence[str], amount:
     dealt = rows.withColumn("_amount", amount).repartitionByRange(*keys, *order)
     parts = written(dealt.withColumn("_part", F.spark_partition_id()))
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        parts.groupBy(*keys, "_part")
-        .agg(F.sum("_amount").alias("_sum"))
-        .select(*keys, "_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
-    )
+    fold = F.max if latest else F.sum
+    whole = (lambda c: c) if latest else (lambda c: F.coalesce(c, F.lit(0)))
+    starts = parts.groupBy(*keys, "_part").agg(fold("_amount").alias("_sum"))
+    starts = starts.select(*keys, "_part", whole(fold("_sum").over(earlier)).alias("_start"))
     within = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    summed = parts.withColumn("_within", F.coalesce(F.sum("_amount").over(within), F.lit(0)))
-    joined = same_keys(summed, starts, [*keys, "_part"])
-    return joined.withColumn("before", F.col("_start") + F.col("_within")).drop("_amount", "_part", "_start", "_within")
+    joined = same_keys(parts.withColumn("_within", whole(fold("_amount").over(within))), starts, [*keys, "_part"])
+    both = F.greatest("_start", "_within") if latest else F.col("_start") + F.col("_within")
+    return joined.withColumn("before", both).drop("_amount", "_part", "_start", "_within")
 
 
 def nest(

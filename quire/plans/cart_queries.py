@@ -215,6 +215,31 @@ def cart_fold(spark: SparkSession, base: str) -> DataFrame:
     return as_text(done, *_TIMES)
 
 
+_FOLD_STEPS = FOLD_SQL[: FOLD_SQL.index("f_end AS")]
+
+
+@query(
+    "cart_fold_results",
+    f"""{_FOLD_STEPS}
+    f_bad AS (SELECT * FROM v_small_commands WHERE op <> 'remove' AND ({q_quantity('quantity')}) IS NULL)
+    SELECT s.cmd_id, s.user_id, s.op, CASE WHEN s.op <> 'add' AND r.qty IS NULL THEN 'not_found' ELSE 'ok' END AS status
+    FROM f_cmds s JOIN f_run r ON r.user_id = s.user_id AND r.book_id = s.book_id AND r.n = s.n - 1
+    UNION ALL SELECT cmd_id, user_id, op, 'invalid' FROM f_bad""",
+)
+def cart_fold_results(spark: SparkSession, base: str) -> DataFrame:
+    return C.fold_results(V.small_cart(spark, base), V.small_books(spark, base), V.small_commands(spark, base))
+
+
+@query(
+    "cart_add_results",
+    with_views("v_commands v_books v_cart", RESOLVE_SQL.strip() + """
+    SELECT cmd_id, user_id, status, r_book_id AS book_id FROM a_resolved"""),
+)
+def cart_add_results(spark: SparkSession, base: str) -> DataFrame:
+    adds = V.commands(spark, base).filter("op = 'add'")
+    return C.add_to_cart(V.cart(spark, base), V.books(spark, base), adds).results
+
+
 @query(
     "line_subtotals",
     with_views("v_cart", """

@@ -1,7 +1,6 @@
 import random
 from decimal import Decimal
 
-import pytest
 from helpers import add, at, book, books, by, cart, cart_row, command, commands
 
 from quire.functions import exprs as X
@@ -51,7 +50,7 @@ def test_add_takes_catalog_values(spark):
             add("a4", title="Nothing"),
             add("a5", quantity="0"),
             add("a6", title=" "),
-            add("a7", user="u2", title="x", volume="1", book_id="ONE piece::9"),
+            add("a7", user="u2", title="x", volume="1", book_id="SALT harbor::9"),
             add("a8", user="u2", title="SALT HARBOR", volume=None, book_id="Salt Harbor::1"),
         ),
     )
@@ -86,12 +85,6 @@ def test_add_merges_into_newest_of_duplicates(spark):
     assert got["cart-2"]["updated_at"] == at(100)
 
 
-def test_bad_stored_quantity_fails(spark):
-    df = cart(spark, cart_row("c1", quantity=-1))
-    with pytest.raises(Exception, match="invalid existing cart quantity"):
-        C.add_to_cart(df, shelf(spark), commands(spark, add("a1"))).cart.collect()
-
-
 def test_set_and_remove_respect_ownership(spark):
     df = cart(spark, cart_row("cart-1"), cart_row("cart-2", user="u2"))
     sets = commands(
@@ -165,3 +158,31 @@ def test_fold_equals_serial_replay(spark):
     state = {(r["user_id"], r["book_id"]): (r["id"], r["quantity"], r["updated_at"]) for r in got}
     assert len(state) == len(got)
     assert state == replay(stored, steps, ids.get)
+
+
+def test_one_bad_key_stops_nobody_else(spark):
+    shelf = books(spark, book("SH001", "Salt Harbor"), book("TO001", "Tin Orchard"))
+    stored = cart(spark, cart_row("c1", quantity=2147483647), cart_row("c9", user="u9", quantity=-1), cart_row("c3", user="u3", quantity=2))
+    asked = commands(spark, add("a1", quantity="5"), add("a2", user="u9"), add("a3", user="u3"), add("a4", user="u4", quantity="0x2"))
+    done = C.add_to_cart(stored, shelf, asked)
+    assert by(done.results, "cmd_id", "status") == {"a1": C.INVALID, "a2": C.INVALID, "a3": C.OK, "a4": C.OK}
+    left = {r["user_id"]: r["quantity"] for r in done.cart.collect()}
+    assert left == {"u1": 2147483647, "u9": -1, "u3": 3, "u4": 2}
+    assert {r["user_id"]: r["quantity"] for r in C.fold_commands(stored, shelf, asked).collect()} == left
+    twice = cart(spark, cart_row("c1", quantity=2147483647), cart_row("c2", quantity=1, minute=1), cart_row("c3", user="u3", quantity=2))
+    assert {r["user_id"]: r["quantity"] for r in C.cart_view(twice).collect()} == {"u1": None, "u3": 2}
+
+
+def test_results_of_a_mixed_batch(spark):
+    shelf = books(spark, book("SH001", "Salt Harbor"))
+    asked = commands(
+        spark,
+        command("s1", "set", minute=1, book_id="SH001", quantity="3"),
+        add("a1", minute=2),
+        command("s2", "set", minute=3, book_id="SH001", quantity="x"),
+        command("r1", "remove", minute=4, book_id="SH001"),
+        command("r2", "remove", minute=5, book_id="SH001"),
+        command("s3", "set", user="u2", minute=1, book_id="SH001", quantity="2"),
+    )
+    got = by(C.fold_results(cart(spark, cart_row("c1", user="u2")), shelf, asked), "cmd_id", "status")
+    assert got == {"s1": C.NOT_FOUND, "a1": C.OK, "s2": C.INVALID, "r1": C.OK, "r2": C.NOT_FOUND, "s3": C.OK}
