@@ -56,13 +56,16 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     from quire.plans.queries import QUERIES
+    from quire.sources import scratch
 
+    scratch.use_if_unset(spark, "/tmp/checkpoints/quire-bench")
     spark.read.parquet(f"{base}/lineitem.parquet").count()  # start the workers
     times = {}
     for name in os.environ.get("BENCH_QUERIES", " ".join(HEADLINE)).split():
         begin = time.perf_counter()
         QUERIES[name](spark, base).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - begin, 3)
+        scratch.clear(spark)
     spark.stop()
     total = round(sum(times.values()), 3)
     sf = os.path.basename(base.rstrip("/")).removeprefix("sf")

@@ -12,6 +12,16 @@ _FOLDERS: set[str] = set()
 _OPTION = "spark.checkpoint.dir"
 
 
+def use_if_unset(spark: SparkSession, folder: str) -> None:
+    """Name ``folder`` as the place for checkpoints, for a session of one local process that names none.
+
+    On a cluster this does nothing: the folder must be one that all machines share."""
+    context = spark.sparkContext
+    named = spark.conf.get(_OPTION, None) or context.getCheckpointDir()
+    if named is None and context.master.partition("[")[0] == "local":
+        context.setCheckpointDir(folder)
+
+
 def shared_folder(spark: SparkSession, base: str | None = None) -> str:
     """A new place under ``base``, or else under the folder the session names for checkpoints."""
     base = base or spark.conf.get(_OPTION, None) or spark.sparkContext.getCheckpointDir()
