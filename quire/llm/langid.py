@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from quire.llm import common
 
 _LETTERS: list[np.ndarray] = []
+_ROWS = 1024  # texts labelled side by side
 
 
 def _letters() -> np.ndarray:
@@ -238,9 +239,12 @@ def training_rows(docs: DataFrame, held_out: Column, per_language: int, most_lan
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out)
     known = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()]
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    some = rows.filter(F.col("lang").isin(known)).select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), "text")
-    chosen = some.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language)
-    return [(r["text"], r["lang"]) for r in chosen.orderBy("lang", "n").select("text", "lang").collect()]
+    narrow = rows.filter(F.col("lang").isin(known)).select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
+    chosen = narrow.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language).select("lang", "doc_id")
+    # At most per_language * most_languages ids; the texts are looked up by them.
+    some = rows.join(F.broadcast(chosen.distinct()), ["lang", "doc_id"]).select("lang", "doc_id", "text")
+    found = some.orderBy("lang", F.xxhash64("doc_id"), "doc_id", "text").limit(per_language * most_languages)
+    return [(r["text"], r["lang"]) for r in found.collect()]
 
 
 def learned_field(
@@ -282,8 +286,8 @@ def identify(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 4096):
-                batch = whole.slice(start, 4096)
+            for start in range(0, whole.num_rows, _ROWS):
+                batch = whole.slice(start, _ROWS)
                 texts = batch.column(2).to_pylist()
                 found = list(label(field, texts)) if field else [(None, 0.0, [])] * len(texts)
                 names, scores, runs = zip(*found, strict=True)
@@ -306,8 +310,8 @@ def keep_identified(docs: DataFrame, least: float = 0.4, doc_id: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 4096):
-                batch = whole.slice(start, 4096)
+            for start in range(0, whole.num_rows, _ROWS):
+                batch = whole.slice(start, _ROWS)
                 texts = batch.column(place).to_pylist()
                 if field:
                     good = [score >= least for _, score, _ in label(field, texts)]

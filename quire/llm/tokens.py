@@ -3,24 +3,24 @@
 from __future__ import annotations
 
 import base64
-import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 
-# Where a space may not be cut off from what stands before it: between two white spaces or at the end.
-_JOINED = re.compile(r"\s (?:\s|\Z)")
+_NATIVE = array("I").itemsize == 4 and sys.byteorder == "little"
 _LOADED: dict[tuple[str, str], "Encoder"] = {}
 
 
 class Encoder:
     """Ids as ``tokenizers`` gives them for ``json_path`` without added special tokens.
 
-    The merges run on the same vocabulary as ranks, word by word with a bounded memory of
-    words; a text that spells a special token goes through the tokenizer file itself.
+    The merges run on the same vocabulary as ranks, which is about four times as fast; a text that
+    spells a special token goes through the tokenizer file itself.
     """
 
-    def __init__(self, json_path: str, ranks_path: str, remembered: int = 200_000):
+    def __init__(self, json_path: str, ranks_path: str):
         import public_tokenizers
         import tiktoken
         from tokenizers import Tokenizer
@@ -30,26 +30,16 @@ class Encoder:
         self._plain = tiktoken.Encoding(ranks_path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._full = Tokenizer.from_file(json_path)
         self._special = [t.content for t in self._full.get_added_tokens_decoder().values()]
-        self._words: dict[str, list[int]] = {}
-        self._remembered = remembered
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
         if any(s in text for s in self._special):
-            return self._full.encode(text, add_special_tokens=False).ids
-        if text.startswith(" ") or _JOINED.search(text):
-            return self._plain.encode_ordinary(text)
-        words, known, one = text.split(" "), self._words, self._plain.encode_ordinary
-        out: list[int] = list(one(words[0]))
-        for word in words[1:]:
-            ids = known.get(word)
-            if ids is None:
-                ids = one(" " + word)
-                if len(word) < 64:
-                    if len(known) >= self._remembered:
-                        known.clear()
-                    known[word] = ids
-            out += ids
-        return out
+            return _packed(self._full.encode(text, add_special_tokens=False).ids)
+        return _packed(self._plain.encode_ordinary(text))
+
+
+def _packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes() if _NATIVE else np.array(ids, "<u4").tobytes()
 
 
 def encoder(json_path: str, ranks_path: str) -> Encoder:
@@ -74,7 +64,7 @@ def pieces_of(docs, capacity: int, files: tuple[str, str], end_id: int = 0):
     names = ["doc_id", "start", "length", "doc_tokens", "ids"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(*files).encode
+        encode, end = encoder(*files).encode, end_id.to_bytes(4, "little")
         rows: list[list] = [[], [], [], [], []]
         size = 0
 
@@ -83,15 +73,16 @@ def pieces_of(docs, capacity: int, files: tuple[str, str], end_id: int = 0):
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], names)
 
         for batch in batches:
-            for key, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = encode(text.as_py() or "")
-                ids.append(end_id)
-                data, total = np.array(ids, dtype="<u4").tobytes(), len(ids)
-                for start in range(0, total, capacity):
-                    length = min(capacity, total - start)
-                    for out, x in zip(rows, (key.as_py(), start, length, total, data[4 * start : 4 * (start + length)]), strict=True):
-                        out.append(x)
-                size += len(data)
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
+                for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    data = encode(text or "") + end
+                    total = len(data) // 4
+                    for start in range(0, total, capacity):
+                        length = min(capacity, total - start)
+                        for out, x in zip(rows, (key, start, length, total, data[4 * start : 4 * (start + length)]), strict=True):
+                            out.append(x)
+                    size += len(data)
                 if size > 8 << 20:
                     yield flush()
                     rows, size = [[], [], [], [], []], 0
