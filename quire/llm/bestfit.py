@@ -93,7 +93,7 @@ def pack_matrix(
 
     sequence_id; n_tokens; doc_ids and starts (document and its first id in each segment);
     cu_seqlens (0 and the end of each segment); input_ids (``capacity`` little-endian unsigned 32-bit
-    numbers, padded with ``pad_id``); position_ids (from 0 in each segment, 0 in the padding).
+    numbers, padded with ``pad_id``); position_ids (as many, from 0 in each segment, 0 in the padding).
     A null text counts as empty, which is one end token; extra columns are ignored; an
     empty table gives no rows.  A sequence has at most ``capacity`` segments.
     """
@@ -105,7 +105,8 @@ def pack_matrix(
     n = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["length"])
     ids = F.aggregate("s", F.lit(b""), lambda a, x: F.concat(a, x["ids"]))
     pad = F.lit(pad_id.to_bytes(4, "little"))
-    positions = F.flatten(F.transform("s", lambda x: F.sequence(F.lit(0), (x["length"] - 1).cast("int"))))
+    count_up = F.lit(b"".join(k.to_bytes(4, "little") for k in range(capacity)))
+    positions = F.aggregate("s", F.lit(b""), lambda a, x: F.concat(a, F.substring(count_up, F.lit(1), (4 * x["length"]).cast("int"))))
     return (
         whole.unionByName(mixed)
         .withColumn("n_tokens", n)
@@ -116,7 +117,7 @@ def pack_matrix(
             F.col("s.start").alias("starts"),
             F.concat(F.transform("s", lambda x: x["offset"].cast("int")), F.array(F.col("n_tokens").cast("int"))).alias("cu_seqlens"),
             F.rpad(ids, F.lit(4 * capacity), pad).alias("input_ids"),
-            F.concat(positions, F.array_repeat(F.lit(0), (capacity - F.col("n_tokens")).cast("int"))).alias("position_ids"),
+            F.rpad(positions, F.lit(4 * capacity), F.lit(bytes(4))).alias("position_ids"),
         )
     )
 
