@@ -75,19 +75,31 @@ def catalog(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
+@query(
+    "catalog_sections",
+    with_views("v_books", """
+    c_placed AS (SELECT title, book_id, volume, (row_number() OVER (PARTITION BY title ORDER BY volume ASC NULLS LAST, book_id) - 1) // 2 AS section
+      FROM v_books WHERE title IS NOT NULL)
+    SELECT title, cast(section as int) AS section, count(*) AS n FROM c_placed GROUP BY 1, 2"""),
+)
+def catalog_sections(spark: SparkSession, base: str) -> DataFrame:
+    docs = C.catalog(V.books(spark, base), section_length=2)
+    return docs.select("title", "section", F.size("volumes").cast("long").alias("n"))
+
+
 @query(
     "catalog_json",
     _titles_sql("""
     SELECT cast(to_json({'title': t.title, 'author': t.author, 'genre': t.genre, 'type': t.type,
       'publisher': t.publisher, 'keywords': t.keywords, 'price': cast(t.price as varchar), 'description': t.description,
       'volumes': list({'volumeNumber': v.volume_number, 'cover': v.cover, 'page_count': v.page_count,
-                       'release_date': v.release_date} ORDER BY v.volume ASC NULLS LAST, v.book_id)}) as varchar)
+                       'release_date': v.release_date} ORDER BY v.volume ASC NULLS LAST, v.book_id), 'section': 0}) as varchar)
       AS document
     FROM c_titles t JOIN c_volumes v USING (title)
     GROUP BY t.title, t.author, t.genre, t.type, t.publisher, t.keywords, t.price, t.description"""),
 )
 def catalog_json(spark: SparkSession, base: str) -> DataFrame:
-    docs = C.catalog(V.books(spark, base)).drop("section")
+    docs = C.catalog(V.books(spark, base))
     return T.as_json(docs.withColumn("price", F.col("price").cast("string")))
 
 

@@ -36,6 +36,19 @@ def _line_text(x):
     )
 
 
+@query(
+    "order_history_sections",
+    with_views("v_orders v_items", """
+    h_placed AS (SELECT order_id, id, (row_number() OVER (PARTITION BY order_id ORDER BY id) - 1) // 3 AS section FROM v_items),
+    h_sections AS (SELECT order_id, section, string_agg(id, ';' ORDER BY id) AS items FROM h_placed GROUP BY 1, 2)
+    SELECT o.id, o.user_id, cast(coalesce(s.section, 0) as int) AS section, coalesce(s.items, '') AS items
+    FROM v_orders o LEFT JOIN h_sections s ON s.order_id = o.id"""),
+)
+def order_history_sections(spark: SparkSession, base: str) -> DataFrame:
+    docs = O.order_history(V.orders(spark, base), V.items(spark, base), V.books(spark, base), section_length=3)
+    return docs.select("id", "user_id", "section", F.array_join("items.id", ";").alias("items"))
+
+
 @query(
     "order_history",
     with_views("v_orders v_items v_books", f"""{_LINES.strip()}
