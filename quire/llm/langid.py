@@ -54,14 +54,14 @@ def words_of(texts: Sequence[str | None], bits: int) -> Words:
     owner = np.searchsorted(np.cumsum([len(p) for p in parts]), starts, side="right")
     code = np.where(letter, chars, 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     shift = np.uint64(64 - bits)
-    row = lambda x, salt: ((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * salt) >> shift).astype(np.int64)
+    row = lambda x, salt: ((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * salt) >> shift).astype(np.int32)
     two = code[:-1] * np.uint64(3) + (code[1:] ^ (code[1:] >> np.uint64(31)))
     three = two[:-1] * np.uint64(5) + (code[2:] >> np.uint64(7))
     four = three[:-1] * np.uint64(7) + (code[3:] >> np.uint64(11))
     sums = np.zeros(len(chars) + 1, np.uint64)
     np.cumsum(common.mixed(code) * common._powers(common._ODD, len(chars)), out=sums[1:])
     whole = (sums[stops] - sums[starts]) * common._powers(common._INVERSE, len(chars))[starts]
-    single = np.stack([row(four[starts - 1], 1), row(four[np.maximum(stops - 3, 0)], 2), row(common.mixed(whole), 3)], axis=1) if len(starts) else np.zeros((0, 3), np.int64)
+    single = np.stack([row(four[starts - 1], 1), row(four[np.maximum(stops - 3, 0)], 2), row(common.mixed(whole), 3)], axis=1) if len(starts) else np.zeros((0, 3), np.int32)
     # Trigrams from the mark before the word to the one behind it: one for each letter.
     size = stops - starts
     ends = np.cumsum(size)
@@ -69,6 +69,20 @@ def words_of(texts: Sequence[str | None], bits: int) -> Words:
     return Words(owner, size, single, row(three[at], 0), ends)
 
 
+def words_in_parts(texts: Sequence[str | None], bits: int, most: int) -> Iterator[Words]:
+    """``words_of`` for stretches of about ``most`` characters, which bounds the memory it takes."""
+    start = 0
+    while start < len(texts):
+        stop, size = start, 0
+        while stop < len(texts) and (stop == start or size < most):
+            size += len(texts[stop] or "")
+            stop += 1
+        part = words_of(texts[start:stop], bits)
+        part.owner += start
+        yield part
+        start = stop
+
+
 @dataclass
 class Field:
     languages: list[str]
@@ -154,7 +168,9 @@ def fit(texts: Sequence[str], labels: Sequence[str], bits: int = 16, rounds: int
     number = {x: i for i, x in enumerate(languages)}
     k, rows = len(languages), 1 << bits
     gold_of = np.array([number[x] for x in labels], np.int64)
-    w = words_of(texts, bits)
+    parted = list(words_in_parts(texts, bits, 1 << 18))
+    w = Words(*(np.concatenate([getattr(p, name) for p in parted]) for name in ("owner", "size", "single", "grams")), np.zeros(0))
+    w.ends = np.cumsum(w.size)
     rng = np.random.default_rng(seed)
     # Runs of 4 to 40 words of one document, in random order: sequences of code-switched text.
     n = len(w.owner)
@@ -204,19 +220,13 @@ def fit(texts: Sequence[str], labels: Sequence[str], bits: int = 16, rounds: int
     return field
 
 
-def label(field: Field, texts: Sequence[str | None], most: int = 1 << 20) -> Iterator[tuple[str | None, float, list[dict]]]:
+def label(field: Field, texts: Sequence[str | None], most: int = 1 << 18) -> Iterator[tuple[str | None, float, list[dict]]]:
     """For each text its language (None without a letter), the score and the runs of words by language."""
-    owners, sizes, scores, start = [], [], [], 0
-    while start < len(texts):
-        stop, size = start, 0
-        while stop < len(texts) and (stop == start or size < most):
-            size += len(texts[stop] or "")
-            stop += 1
-        w = words_of(texts[start:stop], field.bits)
-        owners.append(w.owner + start), sizes.append(w.size), scores.append(field.scores(w))
-        start = stop
     if not texts:
         return
+    owners, sizes, scores = [], [], []
+    for w in words_in_parts(texts, field.bits, most):
+        owners.append(w.owner), sizes.append(w.size), scores.append(field.scores(w))
     owner, size, score = np.concatenate(owners), np.concatenate(sizes), np.concatenate(scores).astype(np.float64)
     lengths = np.bincount(owner, minlength=len(texts))
     post, _ = forward_backward(field, score, lengths)
@@ -248,7 +258,7 @@ def training_rows(docs: DataFrame, held_out: Column, per_language: int, most_lan
 
 
 def learned_field(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 250, most_languages: int = 64, bits: int = 16
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 200, most_languages: int = 64, bits: int = 16
 ) -> Field | None:
     """The field fitted on the documents that are not held out; None if there is nothing to learn from."""
     rows = common.columns(docs, doc_id=doc_id, text=text, lang=lang)
@@ -266,7 +276,7 @@ def identify(
     text: str = "text",
     lang: str = "lang",
     unknown: str = "und",
-    per_language: int = 250,
+    per_language: int = 200,
     most_languages: int = 64,
     bits: int = 16,
 ) -> DataFrame:

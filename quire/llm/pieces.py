@@ -38,7 +38,7 @@ class Pieces:
     """The vocabulary of a model file: weights fall with a piece's place as 1 / (place + 3)."""
 
     path: str
-    remembered: int = 200_000
+    remembered: int = 100_000
     known: dict[str, bytes] = field(default_factory=dict)  # unit: its ids as 32-bit numbers
 
     def __post_init__(self):
@@ -64,14 +64,14 @@ class Pieces:
             raise ValueError("a piece holds a space mark after another character")
         # Open addressing by hash, for whole arrays of substrings.
         keys = self._hashes(list(self.table))
-        self.slots = np.zeros(1 << 20, np.uint64)
-        self.entry = np.full(1 << 20, -1, np.int32)
+        self.slots = np.zeros(1 << 18, np.uint64)
+        self.entry = np.full(1 << 18, -1, np.int32)
         self.weight = np.append(weights, -np.inf)
         self.ids = np.array(plain, np.int64)
         for n, key in enumerate(keys):
-            at = int(key >> np.uint64(44))
+            at = int(key >> np.uint64(46))
             while self.entry[at] >= 0:
-                at = (at + 1) & 0xFFFFF
+                at = (at + 1) & 0x3FFFF
             self.slots[at], self.entry[at] = key, n
 
     @staticmethod
@@ -88,14 +88,14 @@ class Pieces:
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """Entries of hashed substrings, -1 if there is no such piece."""
-        at = (keys >> np.uint64(44)).astype(np.int64)
+        at = (keys >> np.uint64(46)).astype(np.int64)
         out, open_ = np.full(len(keys), -1, np.int32), np.arange(len(keys))
         while len(open_):
             entry, same = self.entry[at[open_]], self.slots[at[open_]] == keys[open_]
             hit = (entry >= 0) & same
             out[open_[hit]] = entry[hit]
             open_ = open_[(entry >= 0) & ~same]
-            at[open_] = (at[open_] + 1) & 0xFFFFF
+            at[open_] = (at[open_] + 1) & 0x3FFFF
         return out
 
     def cost(self, char: str) -> float:
@@ -370,8 +370,8 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
                 yield pa.RecordBatch.from_arrays([batch.column(0), _lists(pieces(path).encode(batch.column(1).to_pylist()))], ["doc_id", "ids"])
 
     return rows.filter(~giant).mapInArrow(run, "doc_id long, ids array<int>").unionByName(_giants(rows.filter(giant), path, chunk))
