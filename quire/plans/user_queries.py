@@ -264,8 +264,8 @@ def dq_status(spark: SparkSession, base: str) -> DataFrame:
     "dq_unique",
     with_views("v_books v_users v_cart", f"""
     SELECT 'users' AS table_name, 'email' AS rule, email AS key_value, count(*) AS rows FROM {_bent_sql('users')}
-      GROUP BY email HAVING count(*) > 1
-    UNION ALL SELECT 'cart_items', 'user_id,book_id', user_id || '|' || book_id, count(*) FROM v_cart
+      WHERE email IS NOT NULL GROUP BY email HAVING count(*) > 1
+    UNION ALL SELECT 'cart_items', 'user_id,book_id', user_id || '|' || book_id, count(*) FROM {_bent_sql('cart_items')}
       GROUP BY user_id, book_id HAVING count(*) > 1
     UNION ALL SELECT 'books', 'book_id', book_id, count(*) FROM v_books GROUP BY book_id HAVING count(*) > 1"""),
 )
