@@ -112,8 +112,8 @@ def _band_rows(width: int, bands: int, rows: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
+            for start in range(0, whole.num_rows, 128):
+                batch = whole.slice(start, 128)
                 owner, hashes, counts = counted(*shingles(batch.column(1).to_pylist(), width))
                 found = signatures(owner, hashes, counts, batch.num_rows, bands * rows).reshape(-1, bands, rows)
                 key = np.zeros(found.shape[:2], np.uint64)

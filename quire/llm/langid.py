@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from quire.llm import common
 
 _LETTERS: list[np.ndarray] = []
-_ROWS = 1024  # texts labelled side by side
+_ROWS = 512  # texts labelled side by side
 
 
 def _letters() -> np.ndarray:
