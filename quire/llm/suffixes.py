@@ -10,12 +10,14 @@ not all suffixes are needed, only those that start at anchors, about one in fift
    occurs twice are settled: every window through them is repeated.
 3. One anchor per distinct context goes on with its bytes, if its leading string stands in several contexts.
    Sampled splitters range-partition these suffixes by their leading bytes, so that
-   suffixes which agree in them never lie on two sides of a boundary; a crowd with the same
-   leading bytes is dealt out again by more of them.  Each bucket sorts its suffixes, and the reversed
+   suffixes which agree in them never lie on two sides of a boundary.  Each bucket sorts its suffixes, and the reversed
    bytes before them, by multikey quicksort over 8-byte words.  Two windows are equal if
    their suffixes agree far enough to the right and far enough to the left, which the common prefix
    lengths of neighbours in the two orders tell for all offsets; bytes are compared, not hashes.
-4. The covered stretches of a text are merged and cut out.
+4. A crowd of anchors with one leading string would meet in one bucket whole, so its windows go one by one
+   instead, each as two hashes of all its bytes; what occurs twice in a batch is settled
+   there, and one of each different window goes on to the buckets.
+5. The covered stretches of a text are merged and cut out.
 """
 
 from __future__ import annotations
@@ -117,8 +119,10 @@ def _anchor_rows(length: int, size: int):
                 key, position, lead, context = key[order], position[order], lead[order], context[order]
                 first = np.append(_new(lead, context), True)
                 state = np.where(~first[:-1], 1, np.where(~first[1:], 2, 0)).astype(np.int32)
-                columns = (lead.view(np.int64), context.view(np.int64), key, position, state)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["lead", "context", "key", "position", "state"])
+                group = np.cumsum(_new(lead)) - 1
+                many = np.bincount(group, first[:-1])[group] > 1  # contexts of the leading string, here
+                columns = (lead.view(np.int64), context.view(np.int64), key, position, state, many)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["lead", "context", "key", "position", "state", "many"])
 
     return run
 
@@ -193,32 +197,80 @@ def repeated_windows(lefts: Sequence[bytes], rights: Sequence[bytes], low: int,
     return first, last
 
 
-def _contexts(length: int):
-    """Rows with the bytes around an anchor, several for a crowd that is dealt out by offset."""
+_OTHER = np.random.default_rng(4).permutation(256).astype(np.uint8)  # bytes under other names, for a second hash
+
+
+def window_hashes(parts: Sequence[bytes], places: Sequence[int], length: int):
+    """Windows through the anchors at ``places`` of ``parts``, by the offset at which they start before them.
+
+    (anchor, offset, 16 bytes of hash) of one of each different window, and for each anchor the smallest and
+    largest offset whose window occurs twice in these parts; (length + 1, -1) if there is none."""
+    sizes = np.array([len(p) for p in parts])
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    data = np.frombuffer(b"".join(parts), dtype=np.uint8)
+    offsets = np.arange(length - length // 2 + 1)
+    start = (begins + np.array(places))[:, None] - offsets
+    fits = (start >= begins[:, None]) & (start + length <= ends[:, None])
+    anchor, offset = np.nonzero(fits)
+    start = start[fits]
+    a, b = (common.substring_hashes(common.prefix_sums(x), start, start + length) for x in (data, _OTHER[data]))
+    order = np.lexsort((b, a, offset))
+    anchor, offset, a, b = anchor[order], offset[order], a[order], b[order]
+    new = np.append(_new(offset, a, b), True)
+    twice = ~new[:-1] | ~new[1:]
+    first, last = np.full(len(parts), length + 1), np.full(len(parts), -1)
+    np.minimum.at(first, anchor[twice], offset[twice])
+    np.maximum.at(last, anchor[twice], offset[twice])
+    one = new[:-1]
+    return anchor[one], offset[one], np.stack((a[one], b[one]), axis=1), first, last
+
+
+def _contexts(length: int, most: int = 4000):
+    """Rows with the bytes around an anchor; for one of a crowd a row (no ``before``) with the hash of each of
+    its windows instead, and one (no ``after`` either) with the offsets that are settled here."""
     import pyarrow as pa
 
     reach = length - length // 2
 
+    def hashed(crowd: list[tuple[int, int, bytes, int]]) -> pa.RecordBatch:
+        key, at = (np.array([x[i] for x in crowd], np.int64) for i in (0, 1))
+        anchor, offset, hashes, first, last = window_hashes([x[2] for x in crowd], [x[3] for x in crowd], length)
+        done = np.flatnonzero(last >= 0)
+        which, none = np.concatenate((anchor, done)), pa.nulls(len(done), pa.binary())
+        values = [hashes[i].tobytes() for i in range(len(hashes))]
+        salted = common.mixed(key[done].view(np.uint64) + at[done].astype(np.uint64), 5).tobytes()  # any place will do
+        low, high = np.concatenate((offset, first[done])), np.concatenate((offset, last[done]))
+        leading = pa.array(values + [salted[8 * i : 8 * i + 8] for i in range(len(done))], pa.binary())
+        after = pa.concat_arrays([pa.array(values, pa.binary()), none])
+        arrays = [pa.array(key[which]), pa.array(at[which]), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))]
+        return pa.RecordBatch.from_arrays([*arrays, leading, pa.nulls(len(which), pa.binary()), after], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "position", "low", "high", "leading", "before", "after"]
+        crowd: list[tuple[int, int, bytes, int]] = []
         for batch in batches:
             rows: list[list] = [[] for _ in names]
             for key, text, found in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 data = text.encode("utf-8", "replace")
                 for x in found:
-                    at, shares = x["position"], x["shares"]
-                    before, after = data[max(0, at - reach) : at][::-1], data[at : at + length]
-                    for s in range(shares):
-                        low, high = s * (reach + 1) // shares, (s + 1) * (reach + 1) // shares - 1
-                        leading = before[:low][::-1] + after[: length - high]
-                        if len(leading) == length - high + low:
-                            for out, value in zip(rows, (key, at, low, high, leading, before, after), strict=True):
-                                out.append(value)
+                    at, from_ = x["position"], max(0, x["position"] - reach)
+                    if x["crowd"]:
+                        crowd.append((key, at, data[from_ : at + length], at - from_))
+                        if len(crowd) >= most:
+                            yield hashed(crowd)
+                            crowd = []
+                        continue
+                    before, after = data[from_:at][::-1], data[at : at + length]
+                    for out, value in zip(rows, (key, at, 0, reach, after[: length - reach], before, after), strict=True):
+                        out.append(value)
                 if len(rows[0]) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, kinds, strict=True)], names)
                     rows = [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, kinds, strict=True)], names)
+        if crowd:
+            yield hashed(crowd)
 
+    names = ["key", "position", "low", "high", "leading", "before", "after"]
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
     return run
 
@@ -226,18 +278,33 @@ def _contexts(length: int):
 def _bucket(length: int):
     import pyarrow as pa
 
+    def spans(key, first, last) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(first), pa.array(last + length)], ["key", "from", "to"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "from", "to"]
         rows = pa.Table.from_batches(list(batches), schema) if (batches := list(batches)) else None
         if rows is None or not rows.num_rows:
             return
-        low, high = rows.column("low").to_numpy(), rows.column("high").to_numpy()
-        for a, b in sorted(set(zip(low.tolist(), high.tolist(), strict=True))):
-            some = rows.filter(pa.array((low == a) & (high == b)))
-            first, last = repeated_windows(some.column("before").to_pylist(), some.column("after").to_pylist(), a, b, length)
+        whole = rows.column("before").is_valid()
+        some = rows.filter(whole)
+        if some.num_rows:
+            first, last = repeated_windows(some.column("before").to_pylist(), some.column("after").to_pylist(), 0, length - length // 2, length)
             hit = last >= 0
             key, at = some.column("key").to_numpy()[hit], some.column("position").to_numpy()[hit]
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(at - last[hit]), pa.array(at - first[hit] + length)], names)
+            yield spans(key, at - last[hit], at - first[hit])
+        rest = rows.filter(rows.column("before").is_null())
+        done = rest.filter(rest.column("after").is_null())
+        if done.num_rows:
+            key, at, first, last = (done.column(c).to_numpy() for c in ("key", "position", "low", "high"))
+            yield spans(key, at - last, at - first)
+        single = rest.filter(rest.column("after").is_valid())
+        if single.num_rows:
+            hashes = np.frombuffer(b"".join(single.column("after").to_pylist()), np.uint64).reshape(-1, 2)
+            key, at, offset = (single.column(c).to_numpy() for c in ("key", "position", "low"))
+            order = np.lexsort((hashes[:, 1], hashes[:, 0], offset))
+            new = np.append(_new(offset[order], hashes[order, 0], hashes[order, 1]), True)
+            hit = order[~new[:-1] | ~new[1:]]
+            yield spans(key[hit], at[hit] - offset[hit], at[hit] - offset[hit])
 
     schema = pa.schema([("key", pa.int64()), ("position", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("before", pa.binary()), ("after", pa.binary())])
     return run
@@ -303,8 +370,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", carried: Sequence[str] =
     Every byte of a string of ``length`` bytes that also starts anywhere else is removed, in the same text
     or another row's; equal rows remove each other whole.  A null text counts as empty; texts shorter than
     ``length`` bytes stay.  ``kept`` holds the bytes left, concatenated, which may cut through a character.
-    More than ``crowd`` (an option) different contexts of one leading string are dealt out by
-    offset and a longer leading string.  Texts are told apart by a 64-bit hash.  Columns that are not
+    The windows of more than ``crowd`` (an option) different contexts of one leading string are told apart
+    by two 64-bit hashes each.  Texts are told apart by a 64-bit hash.  Columns that are not
     carried are ignored; carried ones may have any name but those above.  An empty table gives no rows.
     """
     return _removed(docs, text, carried, **options).withColumnsRenamed({f"_c{i}": c for i, c in enumerate(carried)})
@@ -324,21 +391,23 @@ def _removed(
 ) -> DataFrame:
     value = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     base = docs.select(*(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carried)), value.alias("text"), F.xxhash64(value).alias("key"))
-    found = written(base.select("key", "text").mapInArrow(_anchor_rows(length, slice_bytes), "lead long, context long, key long, position long, state int"))
+    found = written(base.select("key", "text").mapInArrow(_anchor_rows(length, slice_bytes), "lead long, context long, key long, position long, state int, many boolean"))
 
     by_lead, by_context = Window.partitionBy("lead"), Window.partitionBy("lead", "context")
     unlike = lambda c, w: F.min(c).over(w) < F.max(c).over(w)
     several = lambda w: unlike("key", w) | unlike("position", w) | (F.max("state").over(w) > 0)
-    here = found.filter("state != 1").repartition("lead").withColumns(
+    firsts = found.filter("state != 1")
+    # A leading string of many contexts has several of them in one batch nearly always; the others are counted by nobody.
+    crowds = written(firsts.filter("many").groupBy("lead").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd).select("lead"))
+    here = firsts.join(crowds, "lead", "left_anti").repartition("lead").withColumns(
         {"settled": several(by_context), "turn": F.row_number().over(by_context.orderBy("key", "position"))}
     )
-    here = here.withColumns(
-        {"shared": several(by_lead), "mixed": unlike("context", by_lead), "n": F.sum(F.when(F.col("turn") == 1, 1).otherwise(0)).over(by_lead)}
-    ).filter("shared")
-    here = written(here.select("key", "position", "settled", (F.col("mixed") & (F.col("turn") == 1)).alias("goes"), "n"))
+    here = here.withColumns({"shared": several(by_lead), "mixed": unlike("context", by_lead)}).filter("shared")
+    here = written(here.select("key", "position", "settled", (F.col("mixed") & (F.col("turn") == 1)).alias("goes")))
 
-    shares = F.least(F.ceil(F.col("n") / crowd), F.lit(length - length // 2 + 1)).cast("int")
-    wanted = here.filter("goes").groupBy("key").agg(F.collect_list(F.struct("position", shares.alias("shares"))).alias("found"))
+    goes = here.filter("goes").select("key", "position", F.lit(False).alias("crowd"))
+    goes = goes.unionByName(firsts.join(crowds, "lead", "left_semi").select("key", "position", F.lit(True).alias("crowd")))
+    wanted = goes.groupBy("key").agg(F.collect_set(F.struct("position", "crowd")).alias("found"))
     once = wanted.join(base, "key").dropDuplicates(["key"])
     contexts = once.select("key", "text", "found").mapInArrow(
         _contexts(length), "key long, position long, low int, high int, leading binary, before binary, after binary"

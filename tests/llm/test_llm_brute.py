@@ -252,6 +252,32 @@ def test_repeats(spark, n, crowd, slice_bytes):
         assert len(r["text"].encode()) >= len(want[r["doc_id"]][3]) and set(r["text"]) <= set(text)
 
 
+def test_crowd_is_not_one_bucket(spark, monkeypatch):
+    """Many texts hold one passage in different surroundings: no task sorts all suffixes of its anchors."""
+    rng = random.Random(5)
+    make = lambda k: "".join(rng.choices("abcdefgh ", k=k))
+    passages = [make(30), make(24)]
+    texts = [make(rng.randint(0, 40)) + passages[i % 2] + make(rng.randint(0, 40)) for i in range(300)]
+    plain = suffixes._bucket
+
+    def guarded(length):
+        inner = plain(length)
+
+        def run(batches):
+            batches = list(batches)
+            rows = [x[: length // 2] for b in batches for x, y in zip(b.column("after").to_pylist(), b.column("before").to_pylist()) if y is not None]
+            if rows and max(collections.Counter(rows).values()) > 20:
+                raise ValueError("a crowd in one task")
+            yield from inner(iter(batches))
+
+        return run
+
+    monkeypatch.setattr(suffixes, "_bucket", guarded)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    found = suffixes.remove_repeats(df, length=20, crowd=20).orderBy("doc_id").collect()
+    assert [(r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in found] == plain_repeats(texts, 20)
+
+
 def test_repeats_query(spark, texts):
     keys = sorted(texts)
     want = dict(zip(keys, plain_repeats([texts[k] for k in keys], 200), strict=True))
