@@ -2,7 +2,7 @@
 
 Counts of each document (words, symbols, repeated lines, repeated five-word windows) give
 the plain rules.  Beyond these, the histogram of a document's character classes and that of its common
-words are compared with references, which are the summed histograms of all documents that
+words and all others are compared with references, which are the summed histograms of all documents that
 state the same language and pass the plain rules.  The distance is Jensen and Shannon's (square
 root of the divergence with base 2: 0 alike, 1 disjoint); short documents are not
 judged by it, as their histograms are mostly noise.
@@ -55,7 +55,7 @@ def _covered(places: Column, width: int) -> Column:
 
 def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", width: int = 5) -> DataFrame:
     """doc_id, lang ('' if null), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and the
-    histograms ``chars`` and ``words``.  A null text counts as empty."""
+    histograms ``chars`` and ``words`` (one bin for each common word, then all others).  A null text counts as empty."""
     df = common.columns(docs, doc_id=doc_id, text=text, lang=lang)
     df = df.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("t"))
     t, w = F.col("t"), F.col("w")
@@ -86,7 +86,7 @@ def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.col("repeated").cast("long").alias("n_repeat_words"),
         chars.alias("chars"),
-        F.array(*counts).alias("words"),
+        F.array(*counts, F.col("n") - sum(counts, F.lit(0.0))).alias("words"),
     )
 
 
@@ -107,31 +107,32 @@ def quality(
     least_words: int = 10,
     repeat_percent: int = 20,
     judged_words: int = 50,
-    judged_common: int = 20,
     most_chars: float = 0.3,
-    most_common: float = 0.75,
+    most_common: float = 0.25,
+    short_common: float = 1.75,
 ) -> DataFrame:
     """One row per document: the counts, base_failed, char_distance, word_distance and kept.
 
-    Distances are judged from ``judged_words`` words and ``judged_common`` common words on, and are null
-    where a histogram or its reference is empty; a null distance never rejects.  Documents
+    Distances are judged from ``judged_words`` words on, that of words against ``most_common`` and
+    ``short_common`` / n_words more, as few words lie far by chance.  They are null where a
+    histogram or its reference is empty; a null distance never rejects.  Documents
     without a language share one reference.  Rows with equal ids are judged each for itself;
     extra columns are ignored; an empty table gives no rows.
     """
     found = features(docs, doc_id, text, lang)
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     found = written(found.withColumn("base_failed", failed))
-    places = {"chars": len(CLASSES) + 3, "words": len(COMMON)}
+    places = {"chars": len(CLASSES) + 3, "words": len(COMMON) + 1}
     sums = [F.array(*(F.sum(F.col(k)[i]) for i in range(n))).alias(f"all_{k}") for k, n in places.items()]
     reference = written(found.filter(~F.col("base_failed")).groupBy("lang").agg(*sums))
     compared = found.join(reference, "lang", "left").withColumns(
         {
             "char_distance": distance(F.col("chars"), F.col("all_chars")),
             "word_distance": distance(F.col("words"), F.col("all_words")),
-            "n_common": F.aggregate("words", F.lit(0.0), lambda a, x: a + x),
+            "n_common": F.aggregate(F.slice("words", 1, len(COMMON)), F.lit(0.0), lambda a, x: a + x),
         }
     )
-    far = (F.col("char_distance") > most_chars) | ((F.col("word_distance") > most_common) & (F.col("n_common") >= judged_common))
+    far = (F.col("char_distance") > most_chars) | (F.col("word_distance") > most_common + short_common / F.col("n_words"))
     unlike = (F.col("n_words") >= judged_words) & F.coalesce(far, F.lit(False))
     counts = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     return compared.select(*counts, (~F.col("base_failed") & ~unlike).alias("kept"), "char_distance", "word_distance", "n_common")

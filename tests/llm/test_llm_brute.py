@@ -335,6 +335,19 @@ def test_symbol_soup_is_rejected(spark):
 # ---- neighbours --------------------------------------------------------------------------------
 
 
+def test_text_without_common_words_is_rejected(spark):
+    rng = random.Random(2)
+    made = ["".join(rng.choices("aeiounrtslhd", k=rng.randint(2, 9))) for _ in range(3000)]
+    made = [w for w in made if w not in divergence.COMMON]
+    common = "the of and to in is that it for was".split()
+    prose = lambda n, share: " ".join(rng.choice(common if rng.random() < share else made) for _ in range(n))
+    rows = [(i, prose(300, 0.2), "en") for i in range(40)] + [(i, prose(n, share), "en") for i, n, share in ((97, 60, 0), (98, 400, 0), (99, 400, 0.01))]
+    found = {r["doc_id"]: r for r in divergence.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(found[i]["kept"] for i in range(40)) and all(r["char_distance"] <= 0.3 for r in found.values())
+    assert found[98]["n_common"] == 0 and found[99]["n_common"] < 20
+    assert not any(found[i]["kept"] or found[i]["base_failed"] for i in (97, 98, 99))
+
+
 @pytest.mark.parametrize("cells", [8192, 16])
 def test_nearest_recall(spark, cells):
     df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
