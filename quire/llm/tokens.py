@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 import sys
 from array import array
 from collections.abc import Iterator
@@ -10,6 +11,9 @@ from collections.abc import Iterator
 import numpy as np
 
 _NATIVE = array("I").itemsize == 4 and sys.byteorder == "little"
+# White space that the ranks' pattern can take in one run; from about a million on it overflows a stack.
+_RUN = 100_000
+_SPACES = re.compile(rf"(?<!\s)\s{{{_RUN}}}")
 _LOADED: dict[tuple[str, str], "Encoder"] = {}
 
 
@@ -17,7 +21,7 @@ class Encoder:
     """Ids as ``tokenizers`` gives them for ``json_path`` without added special tokens.
 
     The merges run on the same vocabulary as ranks, which is about four times as fast; a text that
-    spells a special token goes through the tokenizer file itself.
+    spells a special token or holds a very long run of white space goes through the tokenizer file itself.
     """
 
     def __init__(self, json_path: str, ranks_path: str):
@@ -33,7 +37,7 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if any(s in text for s in self._special):
+        if any(s in text for s in self._special) or len(text) >= _RUN and _SPACES.search(text):
             return _packed(self._full.encode(text, add_special_tokens=False).ids)
         return _packed(self._plain.encode_ordinary(text))
 

@@ -59,6 +59,17 @@ def test_special_tokens_and_spaces():
         assert np.frombuffer(own.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("run", [" ", "\n", " \n\t", "\u3000"])
+def test_runs_of_two_million(run):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    text = "a b" + run * (2_000_000 // len(run)) + "c"
+    own = tokens.Encoder(*tokens.vocabulary())
+    assert np.array_equal(np.frombuffer(own.encode(text), "<u4"), plain.encode(text, add_special_tokens=False).ids)
+
+
 def test_fill_is_closest():
     rng = random.Random(1)
     for _ in range(60):
