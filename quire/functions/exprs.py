@@ -61,7 +61,7 @@ def _via(c: Column, *steps: Callable[[Column], Column]) -> Column:
 
 
 def _parsed(text: Column) -> Column:
-    digits = F.substring(text, 3, 4096)
+    digits = F.substring(text, F.lit(3), F.length(text))
     value = F.when(text.rlike(_NUMBER), text.try_cast("double"))
     for letter, (base, pattern) in _BASES.items():  # at most 15 digits, beyond which no integer column goes
         plain = F.ltrim(digits, F.lit("0"))

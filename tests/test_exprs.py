@@ -36,6 +36,10 @@ def test_quantity(spark, text, want):
     assert one(spark, X.quantity_or_null, text) == want
 
 
+def test_quantity_after_many_zeros(spark):
+    assert [one(spark, X.quantity_or_null, b + "0" * 4100 + "5") for b in ("0x", "0o")] == [5, 5]
+
+
 @pytest.mark.parametrize(
     "text, want",
     [
