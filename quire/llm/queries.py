@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import ann, bagminhash, bestfit, divergence, langid, packing, pieces, pii, ring, suffixes
+from quire.llm import ann, bagminhash, bestfit, divergence, langid, packing, pieces, pii, resample, ring, suffixes, zones
 from quire.llm.common import table
 
 
@@ -63,6 +63,15 @@ def op10_sentencepiece(spark: SparkSession, base: str) -> DataFrame:
     return done.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_resampling(spark: SparkSession, base: str) -> DataFrame:
+    drawn = resample.resample(table(spark, base, "documents"), table(spark, base, "benchmark"), percent=10, least_words=20, most=1, buckets=10_000, seed=2024)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_clustering(spark: SparkSession, base: str) -> DataFrame:
+    return zones.cluster(table(spark, base, "embeddings"), k=40, rounds=5, seed=2, width=64, scale=256)
+
+
 QUERIES = {
     q.__name__: q
     for q in (
@@ -76,6 +85,8 @@ QUERIES = {
         op8_binary_output,
         op9_minhash,
         op10_sentencepiece,
+        op11_resampling,
+        op12_clustering,
     )
 }
 ORACLES: dict[str, str] = {}
