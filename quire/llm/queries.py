@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import ann, bagminhash, bestfit, divergence, langid, packing, pieces, pii, resample, ring, suffixes, zones
+from quire.llm import ann, bagminhash, bestfit, divergence, langid, lattice, packing, pieces, pii, resample, ring, suffixes, zones
 from quire.llm.common import table
 
 
@@ -72,6 +72,10 @@ def op12_clustering(spark: SparkSession, base: str) -> DataFrame:
     return zones.cluster(table(spark, base, "embeddings"), k=40, rounds=5, seed=2, width=64, scale=256)
 
 
+def op13_lm_scoring(spark: SparkSession, base: str) -> DataFrame:
+    return lattice.score(table(spark, base, "documents"))
+
+
 QUERIES = {
     q.__name__: q
     for q in (
@@ -87,6 +91,7 @@ QUERIES = {
         op10_sentencepiece,
         op11_resampling,
         op12_clustering,
+        op13_lm_scoring,
     )
 }
 ORACLES: dict[str, str] = {}

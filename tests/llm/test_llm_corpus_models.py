@@ -1,4 +1,4 @@
-"""Resampling and clustering against plain versions."""
+"""Resampling, clustering and scoring against plain versions."""
 
 import hashlib
 import math
@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm import queries, resample, zones
+from quire.llm import lattice, pieces, queries, resample, zones
 
 SF = "/root/testdata/sf0.001"
 ODD_ROWS = [(1, None), (2, ""), (3, " \n"), (4, "One two"), (5, "Été AbC 12"), (5, "Été AbC 12"), (5, "other"), (None, "a b"), (None, "a b"), (6, "x" * 30_000), (7, "the cat " * 9000)]
@@ -145,3 +145,90 @@ def test_huge_components_are_clamped(spark):
     df = spark.createDataFrame([(1, [1e300, 0.0]), (2, [-1e300, 0.0]), (3, [5.0, 5.0])], "vec_id long, embedding array<double>")
     found = {r["vec_id"]: r for r in zones.cluster(df, k=1, rounds=0, width=2).collect()}
     assert len(found) == 3 and all(r["distance"] >= 0 for r in found.values())
+
+
+# ---- scoring -----------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def sums():
+    return lattice.lattice(pieces.model_path())
+
+
+def paths(sums, text, at=0):
+    """Probabilities of all segmentations of text[at:], one by one."""
+    if at == len(text):
+        yield 1.0
+        return
+    for end in range(at + 1, len(text) + 1):
+        piece = text[at:end]
+        here = math.exp(sums.weight[piece]) if piece in sums.weight else 0.0
+        if end == at + 1:
+            here += math.exp(sums.byte * len(piece.encode()))
+        if here:
+            yield from (here * rest for rest in paths(sums, text, end))
+
+
+@pytest.mark.parametrize("word", ["a", "the", "segments", "überall", "3.14", "\U0001f600", "x" * 12])
+def test_sum_over_all_segmentations(sums, word):
+    assert sums.of(word.encode()) == pytest.approx(math.log(sum(paths(sums, "▁" + word))), abs=1e-9)
+
+
+def test_weights_are_a_distribution(sums):
+    assert sum(map(math.exp, sums.weight.values())) + 256 * math.exp(sums.byte) + math.exp(sums.end) == pytest.approx(1)
+    assert sums.of(b"") == sums.end and math.isfinite(sums.of("▁▁a".encode())) and math.isfinite(sums.of(b"x" * 100_000))
+
+
+def plain_scores(rows, sums, learned=0.9):
+    split = lambda text: [*re.findall(r"[^\x20\x09-\x0D]+", lowered(text)), ""]
+    crc = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 10
+    c = Counter(w for i, text in rows if crc(i) for w in split(text))
+    n = sum(c.values())
+    out = []
+    for i, text in rows:
+        words = split(text)
+        base = sum(math.log10((c[w] + 0.1) / (n + 0.1 * (len(c) + 1))) for w in words)
+        total = 0.0
+        for w, times in Counter(words).items():
+            path, own = sums.of(w.encode()), learned * c[w] / n if n else 0.0
+            rest = path + (math.log(1 - learned) if n else 0.0)
+            total += times * (np.logaddexp(rest, math.log(own)) if own else rest) / math.log(10)
+        out.append((i, crc(i) == 0, len(words), sum(c[w] > 0 for w in words), n, base, total))
+    return sorted(out, key=repr)
+
+
+def same_scores(got, want):
+    got = sorted((tuple(r) for r in got.collect()), key=repr)
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    for k in (5, 6):
+        assert sorted(r[k] for r in got) == pytest.approx(sorted(r[k] for r in want), rel=1e-9)
+
+
+def test_scoring_query(spark, sums):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = queries.QUERIES["op13_lm_scoring"](spark, SF)
+    assert [t for _, t in got.dtypes] == ["bigint", "boolean", "bigint", "bigint", "bigint", "double", "double"]
+    same_scores(got, plain_scores(rows, sums))
+
+
+@pytest.mark.parametrize(("head", "widest", "stretch"), [(0, 64, 1 << 22), (3, 2, 10), (20_000, 64, 1)])
+def test_scoring_edges(spark, sums, head, widest, stretch):
+    docs = spark.createDataFrame(ODD_ROWS, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("t", "row", "word", "n", "score", "held_out")})
+    same_scores(lattice.score(docs.repartition(3), head=head, widest=widest, stretch=stretch), plain_scores(ODD_ROWS, sums))
+
+
+def test_scoring_of_nothing_learned(spark, sums):
+    held = [(i, "some words here") for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0]
+    df = spark.createDataFrame(held, "doc_id long, text string")
+    same_scores(lattice.score(df), plain_scores(held, sums))
+    assert lattice.score(df.limit(0)).collect() == []
+
+
+def test_shuffled_letters_score_lower(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").filter("length(text) > 400").limit(40).collect()]
+    rng = random.Random(2)
+    mixed = [(10_000 + i, "".join(rng.sample(t, len(t)))) for i, t in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    both = {r["doc_id"]: r["score"] / r["n_tokens"] for r in lattice.score(df.unionByName(spark.createDataFrame(mixed, df.schema))).collect()}
+    held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 10 == 0 or zlib.crc32(str(10_000 + i).encode()) % 10 == 0]
+    assert held and all(both[i] > both[10_000 + i] for i in held if zlib.crc32(str(10_000 + i).encode()) % 10 == 0)
