@@ -34,7 +34,7 @@ BASE = {
 }
 # Looser generators.
 LOOSE = (
-    ("email", r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++@[\p{L}0-9-]++(?:\.[\p{L}0-9-]++)*\.\p{L}{2,}+"),
+    ("email", r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++@[\p{L}0-9-]++(?:\.[\p{L}0-9-]++)++(?<=\.\p{L}{2,63})"),
     ("ip", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9.])"),
     ("card", r"(?<![0-9])[0-9]{12,19}+(?![0-9])"),
     ("card", r"(?<![0-9])[0-9]{4}(?:[\x20-][0-9]{4}){3}(?![0-9])"),
@@ -44,12 +44,68 @@ LOOSE = (
 FEATURES = ("kind", "generator", "digits", "luhn", "octets", "marks", "plus", "before", "after", "assigned")
 
 
+# ---- linear work on arrays -----------------------------------------------------------------------
+
+_RUN = 256  # elements, or code points, that are handled together
+_STEPS = tuple(1 << k for k in range(30, -1, -1))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def before_each(values: Column, fold: Callable[[Column, Column], Column]) -> Column:
+    """Array of the fold, from 0 on, of the whole numbers that come before each; runs first, then their totals."""
+    start = F.struct(_none("int").alias("seen"), F.lit(0).alias("at"))
+
+    def scan(items: Column, value: Callable[[Column], Column]) -> Column:
+        step = lambda a, x: F.struct(F.concat(a["seen"], F.array(a["at"])).alias("seen"), fold(a["at"], value(x)).alias("at"))
+        return F.aggregate(items, start, step)
+
+    def whole(v: Column) -> Column:
+        last = F.greatest(F.floor((F.size(v) - 1) / _RUN).cast("int"), F.lit(0))
+        runs = F.transform(F.sequence(F.lit(0), last), lambda k: scan(F.slice(v, k * _RUN + 1, F.lit(_RUN)), lambda x: x))
+        add = lambda run, first: F.transform(run["seen"], lambda x: fold(first, x))
+        return let(runs, lambda r: F.flatten(F.zip_with(r, scan(r, lambda x: x["at"])["seen"], add)))
+
+    return let(values, whole)
+
+
+def up_to(ordered: Column, x: Column) -> Column:
+    """How many of the ascending whole numbers are at most x, by halving."""
+    n = F.size(ordered)
+    step = lambda at, s: F.when((at + s <= n) & (F.get(ordered, F.least(at + s, n) - 1) <= x), at + s).otherwise(at)
+    return F.aggregate(F.array(*map(F.lit, _STEPS)), F.lit(0), step)
+
+
+def runs_of(text: Column) -> Column:
+    """The text in runs of code points, for ``cut``."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_RUN}}}"), F.lit(0))
+
+
+def cut(runs: Column, low: Column, high: Column) -> Column:
+    """Code points low to below high, without a walk from the start of the text."""
+    low = F.greatest(low, F.lit(0))
+    first, last = (F.floor(x / _RUN).cast("int") for x in (low, high - 1))
+    part = F.array_join(F.slice(runs, first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+    return F.when(high > low, F.substring(part, low - first * _RUN + 1, high - low)).otherwise("")
+
+
 def spans_of(text: Column, pattern: str) -> Column:
     """Array of (match, start) in code points, leftmost first, without overlaps."""
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(found.alias("m"), F.slice(gaps, F.lit(1), F.size(found)).alias("g"))
-    total = lambda parts: F.aggregate(parts, F.lit(0), lambda a, x: a + F.length(x["m"]) + F.length(x["g"]))
-    return F.transform(pairs, lambda x, i: F.struct(x["m"].alias("match"), (total(F.slice(pairs, F.lit(1), i)) + F.length(x["g"])).alias("start")))
+
+    def told(found: Column) -> Column:
+        gaps = F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), lambda g: F.length(g))
+        pairs = F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("match"), g.alias("gap")))
+
+        def placed(p: Column) -> Column:
+            sums = before_each(F.transform(p, lambda x: F.length(x["match"]) + x["gap"]), lambda a, x: a + x)
+            return F.zip_with(p, sums, lambda x, at: F.struct(x["match"].alias("match"), (at + x["gap"]).alias("start")))
+
+        return let(pairs, placed)
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), told)
 
 
 def digits_of(match: Column) -> Column:
@@ -109,14 +165,19 @@ def _side(c: Column) -> Column:
     return F.when((F.length(c) == 0) | c.rlike(r"\s"), 0).when(c.rlike(r"\p{L}"), 1).when(c.rlike("[0-9]"), 2).otherwise(3)
 
 
-def candidates(text: Column) -> Column:
-    """Array of candidates: start, end and FEATURES, all integers."""
-    fields = ", ".join(f"{n}:int" for n in ("start", "end", *FEATURES))
+def candidates(text: Column, runs: Column, base: Column) -> Column:
+    """Array of candidates: start, end, FEATURES and ``hit``, all integers.
+
+    ``hit`` is 1 for a base span, 2 for what overlaps one of its kind otherwise, else 0; base spans of a kind do not overlap,
+    so the last one that starts before the candidate's end tells."""
+    fields = ", ".join(f"{n}:int" for n in ("start", "end", *FEATURES, "hit"))
 
-    def told(number: int, kind: str, x: Column) -> Column:
+    def told(number: int, kind: str, x: Column, firsts: Column, own: Column) -> Column:
         m, start = x["match"], x["start"]
         digits, end = digits_of(m), start + F.length(m)
-        front = F.substring(text, F.greatest(start - 11, F.lit(1)), F.least(start, F.lit(12)))
+        front = cut(runs, start - 12, start)
+        near = F.get(own, up_to(firsts, end - 1) - 1)
+        hit = let(near, lambda b: F.when((b["start"] == start) & (b["end"] == end), 1).when(b["end"] > start, 2).otherwise(0))
         values = {
             "start": start,
             "end": end,
@@ -128,13 +189,16 @@ def candidates(text: Column) -> Column:
             "marks": F.least(F.length(m) - F.length(digits), F.lit(6)),
             "plus": m.startswith("+").cast("int"),
             "before": _side(F.right(front, F.when(start > 0, 1).otherwise(0))),
-            "after": _side(F.substring(text, end + 1, F.lit(1))),
+            "after": _side(cut(runs, end, end + 1)),
             "assigned": front.rlike(r"[=\"':]").cast("int"),
+            "hit": hit,
         }
         return F.struct(*(v.cast("int").alias(k) for k, v in values.items()))
 
     def part(number: int, kind: str, pattern: str) -> Column:
-        found = F.transform(spans_of(text, pattern), lambda x: told(number, kind, x))
+        mine = F.filter(base, lambda b: b["kind"] == KINDS.index(kind))
+        each = lambda own: let(F.transform(own, lambda b: b["start"]), lambda firsts: F.transform(spans_of(text, pattern), lambda x: told(number, kind, x, firsts, own)))
+        found = let(mine, each)
         return F.when(_worth(text, pattern), found).otherwise(_none(f"struct<{fields}>"))
 
     return F.concat(*(part(number, kind, pattern) for number, (kind, pattern) in enumerate(LOOSE)))
@@ -250,17 +314,19 @@ def find(docs: DataFrame, text: str = "text", carried: Sequence[str] = ("doc_id"
 def _found(docs: DataFrame, text: str, carried: Sequence[str], precision: float) -> DataFrame:
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     kept = docs.select(*(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carried)), t.alias("t"))
-    found = written(kept.select(*(c for c in kept.columns if c != "t"), base_spans(F.col("t")).alias("base"), candidates(F.col("t")).alias("cands"), (F.xxhash64("t") % 2 == 0).cast("int").alias("half")))
-    same = lambda x: F.array_contains(F.col("base"), F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
-    one = found.select("half", F.explode(F.transform("cands", lambda x: x.withField("yes", same(x).cast("int")))).alias("c"))
-    cells = one.groupBy(*(F.col(f"c.{n}").alias(n) for n in FEATURES), "half").agg(F.sum("c.yes").alias("yes"), F.sum(1 - F.col("c.yes")).alias("no"))
+    whole = let(base_spans(F.col("t")), lambda b: F.struct(b.alias("base"), let(runs_of(F.col("t")), lambda r: candidates(F.col("t"), r, b)).alias("cands")))
+    names = [c for c in kept.columns if c != "t"]
+    both = written(kept.select(*names, whole.alias("both"), (F.xxhash64("t") % 2 == 0).cast("int").alias("half")))
+    found = both.select(*names, F.col("both.base").alias("base"), F.col("both.cands").alias("cands"), "half")
+    # What overlaps a base span is neither confirmed nor refuted.
+    one = found.select("half", F.explode("cands").alias("c")).filter(F.col("c.hit") < 2)
+    cells = one.groupBy(*(F.col(f"c.{n}").alias(n) for n in FEATURES), "half").agg(F.sum("c.hit").alias("yes"), F.sum(1 - F.col("c.hit")).alias("no"))
     model = fit([tuple(r) for r in cells.orderBy(*FEATURES, "half").collect()], precision)
-    clash = lambda x: F.exists("base", lambda b: (b["kind"] == x["kind"]) & (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    added = F.filter("cands", lambda x: ~clash(x) & model.accepts(x))
+    added = F.filter("cands", lambda x: (x["hit"] == 0) & model.accepts(x))
     added = F.transform(added, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
     added = F.when(F.size("cands") > 0, added).otherwise(_none(_SPAN))
-    out = found.withColumn("spans", F.sort_array(F.array_distinct(F.concat("base", added))))
-    return out.select(*(f"_c{i}" for i in range(len(carried))), "base", "spans")
+    every = let(F.sort_array(F.concat("base", added)), lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1) != x)))
+    return found.withColumn("spans", every).select(*(f"_c{i}" for i in range(len(carried))), "base", "spans")
 
 
 def shown(spans: Column) -> Column:
@@ -272,13 +338,15 @@ def shown(spans: Column) -> Column:
 def redacted(text: Column, spans: Column) -> Column:
     """The text with each span, or stretch of overlapping spans, replaced by its kind's name in angle brackets."""
     names = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    piece = lambda a, x: F.concat(a["out"], F.substring(text, a["at"] + 1, x["start"] - a["at"]), F.get(names, x["kind"]))
-    step = lambda a, x: F.struct(
-        F.when(x["start"] >= a["at"], piece(a, x)).otherwise(a["out"]).alias("out"), F.greatest(a["at"], x["end"]).alias("at")
-    )
-    done = F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    ends = lambda s: F.transform(s, lambda x: x["end"])
+
+    def done(s: Column) -> Column:
+        done_to = before_each(ends(s), F.greatest)
+        piece = lambda r: lambda x, at: F.when(x["start"] >= at, F.concat(cut(r, at, x["start"]), F.get(names, x["kind"]))).otherwise("")
+        rest = lambda r: F.array(cut(r, F.array_max(ends(s)), F.length(text)))
+        return let(runs_of(text), lambda r: F.array_join(F.concat(F.zip_with(s, done_to, piece(r)), rest(r)), ""))
+
+    return F.when(F.size(spans) > 0, let(spans, done)).otherwise(text)
 
 
 def redact(docs: DataFrame, text: str = "text", precision: float = 0.9) -> DataFrame:
