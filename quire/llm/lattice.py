@@ -39,32 +39,51 @@ class Lattice:
         mass = sum(math.exp(w) for w, _ in known.table.values()) + 256 * math.exp(known.byte_weight) + math.exp(top)
         self.weight = {piece: w - math.log(mass) for piece, (w, _) in known.table.items() if _INNER not in piece}
         self.byte, self.end = known.byte_weight - math.log(mass), top - math.log(mass)
-        self.reach: dict[str, int] = {}  # longest piece that starts with a character
-        for piece in self.weight:
-            self.reach[piece[0]] = max(self.reach.get(piece[0], 1), len(piece))
+        # By every start of a piece: the weight, or nothing where the start is no piece itself.
+        self.starts: dict[str, float | None] = {piece[:n]: None for piece in self.weight for n in range(2, len(piece))}
+        self.starts |= {piece: w for piece, w in self.weight.items() if len(piece) > 1}
+        self.chars: dict[str, float] = {}  # a character as a piece or as bytes
+
+    def char(self, char: str) -> float:
+        spelled = self.byte * len(char.encode("utf-8", "replace"))
+        both = _added(self.weight[char], spelled) if char in self.weight else spelled
+        if len(self.chars) < 1 << 16:
+            self.chars[char] = both
+        return both
 
     def of(self, word: bytes) -> float:
         """Natural log of the sum over all segmentations; of the end, if the word is empty."""
         if not word:
             return self.end
         text = pieces.MARK + word.decode("utf-8", "replace").replace(pieces.MARK, _INNER)
-        size, weight, reach = len(text), self.weight, self.reach
-        ahead = array("d", [-math.inf]) * (size + 1)
+        size, starts, chars = len(text), self.starts, self.chars
+        nothing = -math.inf
+        ahead = array("d", [nothing]) * (size + 1)
         ahead[0] = 0.0
         for i in range(size):
             here, char = ahead[i], text[i]
-            arcs = [(i + 1, self.byte * len(char.encode("utf-8", "replace")))]
-            for j in range(i + 1, min(i + reach.get(char, 0), size) + 1):
-                arc = weight.get(text[i:j])
-                if arc is not None:
-                    arcs.append((j, arc))
-            for j, arc in arcs:
+            arc = chars.get(char)
+            new = here + (self.char(char) if arc is None else arc)
+            old = ahead[i + 1]
+            ahead[i + 1] = new if old == nothing else _added(old, new)
+            for j in range(i + 2, size + 1):
+                arc = starts.get(text[i:j], 0.0)
+                if arc is None:
+                    continue
+                if arc == 0.0:  # no piece starts like this; weights are below 0
+                    break
                 old, new = ahead[j], here + arc
-                high, low = (old, new) if old > new else (new, old)
-                ahead[j] = high + math.log1p(math.exp(low - high)) if low > -math.inf else high
+                ahead[j] = new if old == nothing else _added(old, new)
         return ahead[size]
 
 
+def _added(a: float, b: float) -> float:
+    """Log of the sum; a term below the other's last digit changes nothing."""
+    if a < b:
+        a, b = b, a
+    return a + math.log1p(math.exp(b - a)) if b - a > -40.0 else a
+
+
 def lattice(path: str) -> Lattice:
     if path not in _LOADED:
         _LOADED[path] = Lattice(path)
@@ -121,7 +140,7 @@ def score(
     docs: DataFrame,
     path: str | None = None,
     learned: float = 0.9,
-    head: int = 20_000,
+    head: int = 100_000,
     widest: int = 64,
     stretch: int = 1 << 22,
     doc_id: str = "doc_id",

@@ -211,7 +211,7 @@ def test_scoring_query(spark, sums):
     same_scores(got, plain_scores(rows, sums))
 
 
-@pytest.mark.parametrize(("head", "widest", "stretch"), [(0, 64, 1 << 22), (3, 2, 10), (20_000, 64, 1)])
+@pytest.mark.parametrize(("head", "widest", "stretch"), [(0, 64, 1 << 22), (3, 2, 10), (100_000, 64, 1)])
 def test_scoring_edges(spark, sums, head, widest, stretch):
     docs = spark.createDataFrame(ODD_ROWS, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("t", "row", "word", "n", "score", "held_out")})
     same_scores(lattice.score(docs.repartition(3), head=head, widest=widest, stretch=stretch), plain_scores(ODD_ROWS, sums))
