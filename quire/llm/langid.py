@@ -245,16 +245,16 @@ def label(field: Field, texts: Sequence[str | None], most: int = 1 << 18) -> Ite
 
 
 def training_rows(docs: DataFrame, held_out: Column, per_language: int, most_languages: int) -> list[tuple[str, str]]:
-    """(text, lang) of the documents with the smallest hashes of each language, whole texts."""
+    """(text, lang) of the ids with the smallest hashes of each language, whole texts; an id counts once, by its first text."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out)
     known = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()]
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    narrow = rows.filter(F.col("lang").isin(known)).select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
-    chosen = narrow.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language).select("lang", "doc_id")
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = rows.filter(F.col("lang").isin(known)).select("lang", "doc_id").distinct()
+    chosen = ids.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language).drop("n")
     # At most per_language * most_languages ids; the texts are looked up by them.
-    some = rows.join(F.broadcast(chosen.distinct()), ["lang", "doc_id"]).select("lang", "doc_id", "text")
-    found = some.orderBy("lang", F.xxhash64("doc_id"), "doc_id", "text").limit(per_language * most_languages)
-    return [(r["text"], r["lang"]) for r in found.collect()]
+    some = rows.join(F.broadcast(chosen), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    found = some.orderBy("lang", F.xxhash64("doc_id"), "doc_id").collect()
+    return [(r["text"], r["lang"]) for r in found]
 
 
 def learned_field(
