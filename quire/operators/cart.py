@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ COLUMNS = (
     "id", "user_id", "book_id", "title", "volume", "cover", "unit_price", "quantity", "created_at", "updated_at",
 )
 SNAPSHOT = ("title", "volume", "cover", "unit_price")
+MOST = 2147483647  # of an integer column
 
 # Result codes of commands.
 OK, INVALID, NOT_FOUND, CONFLICT = "ok", "invalid", "not_found", "conflict"
@@ -123,7 +126,7 @@ def _stored(cart: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def _fits(total: Column) -> Column:
-    return F.coalesce((total >= 0) & (total <= 2147483647), F.lit(False))
+    return F.coalesce((total >= 0) & (total <= MOST), F.lit(False))
 
 
 def _apply(cart: DataFrame, touched: DataFrame) -> DataFrame:
@@ -225,26 +228,87 @@ def remove_from_cart(cart: DataFrame, commands: DataFrame) -> CartChange:
     return CartChange(left, _results(commands, _owned(first, cart), F.lit(False)))
 
 
+def _steps(books: DataFrame, commands: DataFrame) -> DataFrame:
+    """Commands of a mixed batch with the book they name, their number and their status before the cart is looked at."""
+    adds = resolve_adds(commands.filter(F.col("op") == "add"), books)
+    names = ["cmd_id", "user_id", "book_id", "op", "ts", "qty", "item", "status"]
+    others = commands.filter(F.col("op").isin("set", "remove")).withColumns(
+        {
+            "book_id": X.text_or_null("book_id"),
+            "qty": X.quantity_or_null("quantity"),
+            "item": F.lit(None).cast(adds.schema["item"].dataType),
+        }
+    )
+    lacking = (F.col("op") == "set") & F.col("qty").isNull()
+    others = others.withColumn("status", F.when(lacking, INVALID).otherwise(OK))
+    return adds.withColumn("book_id", F.col("item.book_id")).select(*names).unionByName(others.select(*names))
+
+
+def _in_turn(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Commands come sorted by key and time; the ids of adds that a row's quantity cannot take.
+
+    Only the quantity of the key at hand is held: None without a row, negative while it is unsound."""
+    key = have = None
+    for part in parts:
+        refused = []
+        columns = (part.column(n).to_pylist() for n in ("user_id", "book_id", "cmd_id", "op", "qty", "_start"))
+        for user, book, cmd, op, qty, start in zip(*columns, strict=True):
+            if (user, book) != key:
+                key, have = (user, book), start
+            if op == "remove":
+                have = None
+            elif op == "set":
+                have = have if have is None else qty
+            elif have is None:
+                have = qty
+            elif have < 0 or have + qty > MOST:
+                refused.append(cmd)
+            else:
+                have += qty
+        yield pa.RecordBatch.from_arrays([pa.array(refused, pa.string())], ["cmd_id"])
+
+
+def _refused(cart: DataFrame, steps: DataFrame) -> DataFrame:
+    """Ids of adds that find an unsound quantity or would leave the integer range when the batch is served in order.
+
+    Only keys that could come to this are served in turn: those with an unsound stored quantity, and those
+    where the stored quantity, all adds and the largest set together exceed the range.
+    """
+    valid = steps.filter(F.col("status") == OK)
+    load = written(
+        valid.groupBy(*KEY)
+        .agg(
+            F.sum(F.when(F.col("op") == "add", F.col("qty"))).alias("_adds"),
+            F.max(F.when(F.col("op") == "set", F.col("qty"))).alias("_sets"),
+        )
+        .filter(F.col("_adds").isNotNull())
+    )
+    start = F.when(F.col("_keep").isNotNull(), F.coalesce("_have", F.lit(-1)))
+    most = F.col("_adds") + F.coalesce("_sets", F.lit(0)) + F.coalesce(start, F.lit(0))
+    keys = load.join(_stored(cart, load), KEY, "left").withColumn("_start", start)
+    risky = written(keys.filter((F.col("_start") < 0) | (most > MOST)).select(*KEY, "_start"))
+    rows = valid.join(risky, KEY).select(*KEY, "ts", "cmd_id", "op", "qty", "_start").repartition(*KEY)
+    return rows.sortWithinPartitions(*KEY, "ts", "cmd_id").mapInArrow(_in_turn, "cmd_id string")
+
+
 def fold_commands(cart: DataFrame, books: DataFrame, commands: DataFrame) -> DataFrame:
     """The cart after a mixed batch of add, set and remove commands in (ts, cmd_id) order.
 
     Adds name a book as in ``add_to_cart``; set and remove name the ``book_id`` of the
-    row.  Nothing is sorted or collected per key: what counts is the last remove, the
+    row.  An add that finds an unsound quantity, or would leave the integer range, changes nothing; the
+    commands before and after it count as if it were not there.
+
+    Nothing is sorted or collected per key, but for keys that hold such an add: what counts is the last remove, the
     last set, the first add after the last remove and the sums of the adds after them,
     all of which are plain aggregates.
     """
-    adds = (
-        resolve_adds(commands.filter(F.col("op") == "add"), books)
-        .filter(F.col("status") == OK)
-        .select("cmd_id", "user_id", F.col("item.book_id").alias("book_id"), "ts", "qty", "item")
-    )
-    adds = written(adds)  # read twice below
-    others = (
-        commands.filter(F.col("op").isin("set", "remove"))
-        .select("cmd_id", "user_id", X.text_or_null("book_id").alias("book_id"), "op", "ts",
-                X.quantity_or_null("quantity").alias("qty"))
-        .filter((F.col("op") == "remove") | F.col("qty").isNotNull())
-    )
+    return _folded(cart, written(_steps(books, commands)))
+
+
+def _folded(cart: DataFrame, steps: DataFrame) -> DataFrame:
+    valid = steps.filter(F.col("status") == OK)
+    adds = valid.filter(F.col("op") == "add").join(written(_refused(cart, steps)), "cmd_id", "left_anti")
+    others = valid.filter(F.col("op") != "add")
     at = F.struct("ts", "cmd_id")
     marks = others.groupBy(*KEY).agg(
         F.max(F.when(F.col("op") == "remove", at)).alias("_removed"),
@@ -281,33 +345,40 @@ def fold_commands(cart: DataFrame, books: DataFrame, commands: DataFrame) -> Dat
             "_updated": F.greatest("_last_add", F.when(set_counts, F.col("_set.ts"))),
             "_keep": F.when(kept, F.col("_keep")),
         }
-    ).withColumn("_qty", F.when(F.col("_exists"), F.col("_qty")))
-    return _apply(cart, touched.filter(~F.col("_exists") | _fits(F.col("_qty"))))
+    )
+    return _apply(cart, touched.withColumn("_qty", F.when(F.col("_exists"), F.col("_qty"))))
 
 
 def fold_results(cart: DataFrame, books: DataFrame, commands: DataFrame) -> DataFrame:
-    """One row per command of a mixed batch: cmd_id, user_id, op, status.
+    """One row per command of a mixed batch: cmd_id, user_id, op, status, as if served one after another.
 
-    Adds are judged as in ``add_to_cart``.  A set or remove finds its row if the last add or remove of
+    An add is ``ok`` exactly if ``fold_commands`` counts it.  A set or remove finds its row if the last add or remove of
     the key before it was an add or, where there was none, if the cart holds the key.
     """
-    adds = resolve_adds(commands.filter(F.col("op") == "add"), books).withColumn("book_id", F.col("item.book_id"))
-    others = commands.filter(F.col("op").isin("set", "remove")).withColumns(
-        {
-            "book_id": X.text_or_null("book_id"),
-            "status": F.when((F.col("op") == "set") & X.quantity_or_null("quantity").isNull(), INVALID).otherwise(OK),
-        }
-    )
-    names = ["cmd_id", "user_id", "book_id", "op", "ts", "status"]
-    every = adds.select(*names).unionByName(others.select(*names))
+    return _fold_results(cart, written(_steps(books, commands)))
+
+
+def _fold_results(cart: DataFrame, steps: DataFrame) -> DataFrame:
+    every = steps.select("cmd_id", "user_id", "book_id", "op", "ts", "status")
     founding = (F.col("status") == OK) & F.col("op").isin("add", "remove")
     at = F.when(founding, F.struct("ts", "cmd_id", "op"))
     followed = running(every, KEY, ["ts", "cmd_id"], at, latest=True)
     held = cart.join(written(every.select(*KEY).distinct()), KEY, "left_semi").select(*KEY).distinct().withColumn("_held", F.lit(True))
     seen = followed.join(written(held), KEY, "left")
     there = F.when(F.col("before").isNull(), F.coalesce("_held", F.lit(False))).otherwise(F.col("before.op") == "add")
-    status = F.when((F.col("op") != "add") & (F.col("status") == OK) & ~there, NOT_FOUND).otherwise(F.col("status"))
-    return seen.select("cmd_id", "user_id", "op", status.alias("status"))
+    refused = written(_refused(cart, steps)).withColumn("_refused", F.lit(True))
+    status = (
+        F.when(F.col("_refused"), INVALID)
+        .when((F.col("op") != "add") & (F.col("status") == OK) & ~there, NOT_FOUND)
+        .otherwise(F.col("status"))
+    )
+    return seen.join(refused, "cmd_id", "left").select("cmd_id", "user_id", "op", status.alias("status"))
+
+
+def fold(cart: DataFrame, books: DataFrame, commands: DataFrame) -> CartChange:
+    """``fold_commands`` and ``fold_results`` of the same batch."""
+    steps = written(_steps(books, commands))
+    return CartChange(_folded(cart, steps), _fold_results(cart, steps))
 
 
 def line_subtotals(rows: DataFrame, price: str = "unit_price") -> DataFrame:

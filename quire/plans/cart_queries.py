@@ -176,7 +176,18 @@ def cart_remove_results(spark: SparkSession, base: str) -> DataFrame:
     return C.remove_from_cart(V.small_cart(spark, base), removals).results
 
 
+# Some rows of the small cart are full and some are unsound, in the same expression on both sides.
+_PLANTED = "case when id like '%-3' then 2147483640 when id like '%-4' then -1 else quantity end"
+_REFUSED = "(s.op = 'add' AND coalesce(r.qty < 0 OR r.qty + s.q > 2147483647, false))"
+
+
+def fold_tables(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    planted = V.small_cart(spark, base).withColumn("quantity", F.expr(_PLANTED).cast("int"))
+    return planted, V.small_books(spark, base), V.small_commands(spark, base)
+
+
 FOLD_SQL = with_views("v_small_cart v_small_commands v_small_books", f"""
+    f_cart AS (SELECT * REPLACE (cast({_PLANTED} as int) AS quantity) FROM v_small_cart),
     f_cmds AS (
       SELECT cmd_id, user_id, book_id, op, ts, {q_quantity('quantity')} AS q,
         row_number() OVER (PARTITION BY user_id, book_id ORDER BY ts, cmd_id) AS n
@@ -184,18 +195,18 @@ FOLD_SQL = with_views("v_small_cart v_small_commands v_small_books", f"""
     f_run AS (
       SELECT k.user_id, k.book_id, cast(0 as bigint) AS n, cast(c.quantity as bigint) AS qty,
         cast(null as varchar) AS born_cmd, cast(null as timestamp) AS born_ts, cast(null as timestamp) AS changed
-      FROM (SELECT DISTINCT user_id, book_id FROM f_cmds) k LEFT JOIN v_small_cart c USING (user_id, book_id)
+      FROM (SELECT DISTINCT user_id, book_id FROM f_cmds) k LEFT JOIN f_cart c USING (user_id, book_id)
       UNION ALL
       SELECT r.user_id, r.book_id, s.n,
-        CASE s.op WHEN 'add' THEN coalesce(r.qty, 0) + s.q WHEN 'set' THEN CASE WHEN r.qty IS NULL THEN NULL ELSE s.q END END,
+        CASE WHEN {_REFUSED} THEN r.qty WHEN s.op = 'add' THEN coalesce(r.qty, 0) + s.q WHEN s.op = 'set' AND r.qty IS NOT NULL THEN s.q END,
         CASE WHEN s.op = 'remove' THEN NULL WHEN s.op = 'add' AND r.qty IS NULL THEN s.cmd_id ELSE r.born_cmd END,
         CASE WHEN s.op = 'remove' THEN NULL WHEN s.op = 'add' AND r.qty IS NULL THEN s.ts ELSE r.born_ts END,
-        CASE WHEN s.op = 'remove' THEN NULL WHEN s.op = 'set' AND r.qty IS NULL THEN r.changed ELSE s.ts END
+        CASE WHEN s.op = 'remove' THEN NULL WHEN {_REFUSED} OR (s.op = 'set' AND r.qty IS NULL) THEN r.changed ELSE s.ts END
       FROM f_run r JOIN f_cmds s ON s.user_id = r.user_id AND s.book_id = r.book_id AND s.n = r.n + 1),
     f_end AS (SELECT user_id, book_id, arg_max(struct_pack(qty := qty, born_cmd := born_cmd, born_ts := born_ts, changed := changed), n) AS e
       FROM f_run GROUP BY 1, 2),
     f_result AS (
-      SELECT c.* FROM v_small_cart c WHERE NOT EXISTS
+      SELECT c.* FROM f_cart c WHERE NOT EXISTS
         (SELECT 1 FROM f_end f WHERE f.user_id = c.user_id AND f.book_id = c.book_id)
       UNION ALL
       SELECT CASE WHEN e.born_cmd IS NULL THEN c.id ELSE {q_md5_id('e.born_cmd')} END, f.user_id, f.book_id,
@@ -204,30 +215,28 @@ FOLD_SQL = with_views("v_small_cart v_small_commands v_small_books", f"""
         CASE WHEN e.born_cmd IS NULL THEN c.cover ELSE b.cover END,
         CASE WHEN e.born_cmd IS NULL THEN c.unit_price ELSE b.price END, cast(e.qty as int),
         coalesce(e.born_ts, c.created_at), coalesce(e.changed, c.updated_at)
-      FROM f_end f LEFT JOIN v_small_cart c USING (user_id, book_id) LEFT JOIN v_small_books b ON b.book_id = f.book_id
+      FROM f_end f LEFT JOIN f_cart c USING (user_id, book_id) LEFT JOIN v_small_books b ON b.book_id = f.book_id
       WHERE e.qty IS NOT NULL)
     SELECT {_ALL_TEXT} FROM f_result""").replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 @query("cart_fold", FOLD_SQL)
 def cart_fold(spark: SparkSession, base: str) -> DataFrame:
-    done = C.fold_commands(V.small_cart(spark, base), V.small_books(spark, base), V.small_commands(spark, base))
+    done = C.fold_commands(*fold_tables(spark, base))
     return as_text(done, *_TIMES)
 
 
 _FOLD_STEPS = FOLD_SQL[: FOLD_SQL.index("f_end AS")]
-
-
-@query(
-    "cart_fold_results",
-    f"""{_FOLD_STEPS}
+FOLD_RESULTS_SQL = f"""{_FOLD_STEPS}
     f_bad AS (SELECT * FROM v_small_commands WHERE op <> 'remove' AND ({q_quantity('quantity')}) IS NULL)
-    SELECT s.cmd_id, s.user_id, s.op, CASE WHEN s.op <> 'add' AND r.qty IS NULL THEN 'not_found' ELSE 'ok' END AS status
+    SELECT s.cmd_id, s.user_id, s.op, CASE WHEN {_REFUSED} THEN 'invalid' WHEN s.op <> 'add' AND r.qty IS NULL THEN 'not_found' ELSE 'ok' END AS status
     FROM f_cmds s JOIN f_run r ON r.user_id = s.user_id AND r.book_id = s.book_id AND r.n = s.n - 1
-    UNION ALL SELECT cmd_id, user_id, op, 'invalid' FROM f_bad""",
-)
+    UNION ALL SELECT cmd_id, user_id, op, 'invalid' FROM f_bad"""
+
+
+@query("cart_fold_results", FOLD_RESULTS_SQL)
 def cart_fold_results(spark: SparkSession, base: str) -> DataFrame:
-    return C.fold_results(V.small_cart(spark, base), V.small_books(spark, base), V.small_commands(spark, base))
+    return C.fold_results(*fold_tables(spark, base))
 
 
 @query(

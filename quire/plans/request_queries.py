@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from quire.operators import requests as R
 from quire.plans import views as V
-from quire.plans.cart_queries import FOLD_SQL
+from quire.plans.cart_queries import FOLD_RESULTS_SQL, FOLD_SQL, fold_tables
 from quire.plans.registry import as_text, query, r6
 from quire.plans.views import with_views
 from quire.sources.scratch import shared_folder
-from quire.sources.tables import publish, read_published
+from quire.sources.tables import publish, read_all_published, read_published
 from quire.streaming import jobs as J
 
 _TREND_SQL = """
@@ -198,11 +198,22 @@ def latency_per_minute(spark: SparkSession, base: str) -> DataFrame:
     return as_text(_rounded(out, "avg", *R.PERCENTILES), "minute_start")
 
 
-@query("stream_cart", FOLD_SQL)
-def stream_cart(spark: SparkSession, base: str) -> DataFrame:
+def _served_cart(spark: SparkSession, base: str) -> str:
+    """Where the cart and the answers are after the command stream has been served."""
     events = _event_stream(spark, base).selectExpr(*[f"{e} as `{a}`" for e, a in V._event_number("spark")])
     commands = events.filter("event_type <> 'purchase'").selectExpr(*[f"{e} as `{a}`" for e, a in V.SMALL_COMMANDS])
     place = shared_folder(spark)
-    publish({"cart_items": V.small_cart(spark, base)}, place, -1)
-    J.run_available(commands, f"{place}/state", J.cart_batch(place, V.small_books(spark, base)))
-    return as_text(read_published(spark, place, "cart_items"), "created_at", "updated_at")
+    start, books, _ = fold_tables(spark, base)
+    publish({"cart_items": start}, place, -1)
+    J.run_available(commands, f"{place}/state", J.cart_batch(place, books))
+    return place
+
+
+@query("stream_cart", FOLD_SQL)
+def stream_cart(spark: SparkSession, base: str) -> DataFrame:
+    return as_text(read_published(spark, _served_cart(spark, base), "cart_items"), "created_at", "updated_at")
+
+
+@query("stream_cart_results", FOLD_RESULTS_SQL)
+def stream_cart_results(spark: SparkSession, base: str) -> DataFrame:
+    return read_all_published(spark, _served_cart(spark, base), "cart_results").drop("version")

@@ -106,6 +106,18 @@ def read_published(spark: SparkSession, base: str, name: str, before: int | None
     return spark.read.parquet(row["path"])
 
 
+def read_all_published(spark: SparkSession, base: str, name: str) -> DataFrame:
+    """The rows of all versions of a published table with their ``version``; of a version published twice, the last attempt.
+
+    The paths of the versions are the only thing the driver holds."""
+    marks = spark.read.schema(_MARKER_SCHEMA).json(f"{base.rstrip('/')}/current").filter(F.col("name") == name)
+    last = marks.groupBy("version").agg(F.max_by("path", "attempt").alias("path")).orderBy("version").collect()
+    if not last:
+        raise ValueError(f"no published version of {name}")
+    rows = spark.read.option("basePath", f"{base.rstrip('/')}/data/{name}").parquet(*(r["path"] for r in last))
+    return rows.drop("attempt")
+
+
 def write_documents(docs: DataFrame, path: str) -> None:
     """JSON document sink."""
     docs.write.mode("overwrite").json(path)

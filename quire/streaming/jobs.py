@@ -29,17 +29,18 @@ def latency_stream(requests: DataFrame, lateness: str = LATENESS, length: str =
 
 
 def cart_batch(base: str, books: DataFrame, start: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
-    """Writer for ``foreachBatch``: folds a micro-batch of commands into the stored cart.
+    """Writer for ``foreachBatch``: folds a micro-batch of commands into the stored cart and answers each command.
 
-    Batch n reads the version before n and writes version n, so that a repeated batch
-    gives the same version again.
+    Batch n reads the version before n and writes version n of ``cart_items`` and ``cart_results``, so that a
+    repeated batch gives the same version again.
     """
 
     def write(commands: DataFrame, batch: int) -> None:
         before = start if batch == 0 else None
         if before is None:
             before = read_published(commands.sparkSession, base, "cart_items", before=batch)
-        publish({"cart_items": C.fold_commands(before, books, commands)}, base, batch)
+        done = C.fold(before, books, commands)
+        publish({"cart_items": done.cart, "cart_results": done.results}, base, batch)
 
     return write
 

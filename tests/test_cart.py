@@ -1,6 +1,7 @@
 import random
 from decimal import Decimal
 
+import pytest
 from helpers import add, at, book, books, by, cart, cart_row, command, commands
 
 from quire.functions import exprs as X
@@ -123,10 +124,14 @@ def test_items_by_ids_and_totals(spark):
 def replay(stored, steps, new_id):
     """One command after another on {(user, book): [id, qty, updated]}."""
     state = {k: list(v) for k, v in stored.items()}
+    said = {}
     for ts, cmd, user, book_id, op, qty in sorted(steps):
         key = (user, book_id)
+        said[cmd] = C.OK if op == "add" or key in state else C.NOT_FOUND
         if op == "add":
-            if key in state:
+            if key in state and (state[key][1] < 0 or state[key][1] + qty > 2147483647):
+                said[cmd] = C.INVALID
+            elif key in state:
                 state[key][1] += qty
                 state[key][2] = ts
             else:
@@ -136,16 +141,18 @@ def replay(stored, steps, new_id):
                 state[key][1:] = [qty, ts]
             else:
                 del state[key]
-    return {k: tuple(v) for k, v in state.items()}
+    return {k: tuple(v) for k, v in state.items()}, said
 
 
-def test_fold_equals_serial_replay(spark):
+@pytest.mark.parametrize("sizes", [(1, 2, 3, 4, 5), (1, 900_000_000, 2147483640, 2147483647)])
+def test_fold_equals_serial_replay(spark, sizes):
     rng = random.Random(7)
     shelf_rows = [book(f"B{i}", f"T{i}", f"Vol {i}") for i in range(4)]
-    stored = {("u1", "B0"): ("s0", 2, at(0)), ("u1", "B1"): ("s1", 1, at(0)), ("u9", "B0"): ("s9", 4, at(0))}
+    stored = {("u1", "B0"): ("s0", 2, at(0)), ("u1", "B1"): ("s1", 1, at(0)), ("u9", "B0"): ("s9", 4, at(0)),
+              ("u2", "B2"): ("s2", -5, at(0)), ("u3", "B3"): ("s3", 2147483646, at(0))}
     rows, steps = [], []
     for n in range(400):
-        user, b, op, qty, cmd = f"u{rng.randrange(12)}", rng.randrange(4), rng.choice(["add", "set", "remove"]), rng.randrange(1, 6), f"m{n:04d}"
+        user, b, op, qty, cmd = f"u{rng.randrange(12)}", rng.randrange(4), rng.choice(["add", "add", "set", "remove"]), rng.choice(sizes), f"m{n:04d}"
         minute = rng.randrange(1, 60)
         steps.append((at(minute), cmd, user, f"B{b}", op, qty))
         if op == "add":
@@ -154,10 +161,31 @@ def test_fold_equals_serial_replay(spark):
             rows.append(command(cmd, op, user, minute, book_id=f"B{b}", quantity=str(qty)))
     ids = {r["c"]: r["i"] for r in spark.createDataFrame([(s[1],) for s in steps], "c string").select("c", X.derived_id("c").alias("i")).collect()}
     start = cart(spark, *[cart_row(v[0], k[0], k[1], v[1]) for k, v in stored.items()])
-    got = C.fold_commands(start, books(spark, *shelf_rows), commands(spark, *rows)).collect()
+    done = C.fold(start, books(spark, *shelf_rows), commands(spark, *rows))
+    got = done.cart.collect()
     state = {(r["user_id"], r["book_id"]): (r["id"], r["quantity"], r["updated_at"]) for r in got}
     assert len(state) == len(got)
-    assert state == replay(stored, steps, ids.get)
+    assert (state, by(done.results, "cmd_id", "status")) == replay(stored, steps, ids.get)
+
+
+def test_a_good_set_outlives_a_bad_add(spark):
+    shelf = books(spark, book("SH001", "Salt Harbor"))
+    stored = cart(spark, cart_row("c1", quantity=2147483647), cart_row("c2", user="u2", quantity=-1))
+    asked = commands(
+        spark,
+        add("a1", minute=1, quantity="5"),
+        command("s1", "set", minute=2, book_id="SH001", quantity="3"),
+        add("a2", minute=3, quantity="2147483647"),
+        add("a3", minute=4, quantity="4"),
+        add("b1", user="u2", minute=1),
+        command("s2", "set", user="u2", minute=2, book_id="SH001", quantity="1"),
+        add("b2", user="u2", minute=3),
+    )
+    done = C.fold(stored, shelf, asked)
+    assert by(done.cart, "id", "quantity") == {"c1": 7, "c2": 2}
+    assert by(done.results, "cmd_id", "status") == {
+        "a1": C.INVALID, "s1": C.OK, "a2": C.INVALID, "a3": C.OK, "b1": C.INVALID, "s2": C.OK, "b2": C.OK,
+    }
 
 
 def test_one_bad_key_stops_nobody_else(spark):

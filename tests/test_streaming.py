@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from quire import schemas
 from quire.operators import cart as C
 from quire.operators import requests as R
-from quire.sources.tables import publish, read_published
+from quire.sources.tables import publish, read_all_published, read_published
 from quire.streaming import jobs as J
 
 
@@ -77,5 +77,8 @@ def test_cart_stream_equals_fold_and_repeats(spark, tmp_path):
     assert {(r["user_id"], r["book_id"], r["quantity"]) for r in got.collect()} == {("u1", "B1", 4), ("u2", "B2", 3)}
     last = spark.read.schema(schemas.CART_COMMANDS).parquet(f"{source}/part=2")
     writer(last, 2)  # the same batch once more
+    answers = read_all_published(spark, base, "cart_results")
+    assert {r["cmd_id"]: (r["version"], r["status"]) for r in answers.collect()} == {f"m{n}": ((n - 1) // 2, "ok") for n in range(1, 7)}
+    assert answers.count() == 6
     again = read_published(spark, base, "cart_items").select(*C.COLUMNS)
     assert sorted(map(str, again.collect())) == sorted(map(str, want.collect()))
