@@ -4,10 +4,12 @@ Centroids are fitted on a bounded sample; every vector goes to the list of its n
 centroid.  A query probes the lists whose centroids are nearest to it.  Lists are dealt
 into cells of bounded size, vectors by queries, so that a list of any size is shared by many tasks.
 
-In a cell, vectors and queries are turned by a random rotation, after which any d of D
-dimensions hold about d / D of a squared distance.  The scan adds up blocks of columns
-and, after each, drops the candidates whose distance so far is too large to belong to a
-vector nearer than the best ones known: a test with error bound ``1 + eps / sqrt(d)``.
+In a cell, vectors and queries are turned by a random rotation, after which the share of a squared
+distance that d of D dimensions hold has mean d / D and variance 2 d (D - d) / (D^2 (D + 2)).  The scan
+adds up blocks of columns and, after each, drops the candidates whose distance so far is more than
+``sigmas`` deviations too large for a vector as near as the k-th best known.  That bound comes
+from the candidates that look best after a block, which are measured to the end, and, in all lists but a query's
+nearest ones, from what those have shown before: they are scanned first, and their bound is joined in.
 What survives is measured exactly on the original vectors.
 """
 
@@ -44,28 +46,31 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray
     return centers
 
 
-def scan(x: np.ndarray, query: np.ndarray, k: int, step: int, eps: float, chunk: int = 1024) -> np.ndarray:
-    """Places in rotated ``x`` that may be among the k nearest to the rotated query."""
-    size, kept, dist, bound = x.shape[1], [], [], math.inf
+def scan(x: np.ndarray, query: np.ndarray, k: int, step: int, sigmas: float, bound: float = math.inf) -> tuple[np.ndarray, int]:
+    """Places in rotated ``x`` that may be among the k nearest to the rotated query and within the squared
+    distance ``bound``, and the number of components read."""
+    size = x.shape[1]
     slack = 1e-12 * float(query @ query) + 1e-30  # of rounding: near ties are measured exactly later
-    for start in range(0, len(x), chunk):
-        alive, far = np.arange(start, min(start + chunk, len(x))), np.zeros(min(chunk, len(x) - start))
-        for d in range(0, size, step):
-            part = x[alive, d : d + step] - query[d : d + step]
-            far = far + np.einsum("ij,ij->i", part, part)
-            seen = min(d + step, size)
-            share = seen / size * (1 + eps / math.sqrt(seen)) ** 2 if seen < size else 1.0
-            on = far <= bound * share * (1 + 1e-9) + slack
-            alive, far = alive[on], far[on]
-            if not len(alive):
-                break
-        kept.append(alive)
-        dist.append(far)
-        known = np.concatenate(dist)
-        if len(known) >= k:
-            bound = np.partition(known, k - 1)[k - 1]
-    places, far = np.concatenate(kept), np.concatenate(dist)
-    return places[far <= bound * (1 + 1e-9) + slack]
+    alive, far, read = np.arange(len(x)), np.zeros(len(x)), 0
+    for d in range(0, size, step):
+        part = x[alive, d : d + step] - query[d : d + step]
+        far = far + np.einsum("ij,ij->i", part, part)
+        seen = min(d + step, size)
+        read += part.size
+        if seen < size and len(alive) >= (k if bound == math.inf else 16 * k):  # the k that look best now are at most this far
+            first = np.argpartition(far, k - 1)[:k]
+            rest = x[alive[first], seen:] - query[seen:]
+            bound = min(bound, float((far[first] + np.einsum("ij,ij->i", rest, rest)).max()))
+            read += rest.size
+        share = seen / size + sigmas * math.sqrt(2 * seen * (size - seen) / (size + 2)) / size
+        on = far <= bound * min(1.0, share) * (1 + 1e-9) + slack
+        alive, far = alive[on], far[on]
+        if not len(alive):
+            break
+    if len(alive) > k:
+        bound = min(bound, float(np.partition(far, k - 1)[k - 1]))
+        alive = alive[far <= bound * (1 + 1e-9) + slack]
+    return alive, read
 
 
 def _vectors(table, column: str) -> np.ndarray:
@@ -81,14 +86,16 @@ def nearest(
     embedding: str = "embedding",
     sample: int = 20_000,
     most_lists: int = 4096,
-    probe: float = 0.6,
+    probe: float = 0.65,
     least_probes: int = 8,
     cell_vectors: int = 8192,
     cell_queries: int = 512,
-    step: int = 16,
-    eps: float = 2.1,
+    step: int = 8,
+    sigmas: float = 2.0,
+    lead: float = 0.125,
 ) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the k nearest found of each query, nearest first.
+    """query_id, rank (from 1), vec_id, score: the k nearest found of each query, nearest first; compared and read: the
+    vectors in the lists the query probed, and how many of their components were read.
 
     Queries are the rows whose id is divisible by ``every``; candidates are all rows but those with the
     query's id.  score is the Euclidean distance of the original vectors in double precision, ties
@@ -98,7 +105,7 @@ def nearest(
 
     The centroids are fitted on the ``sample`` rows with the smallest hashes of their ids;
     there are sqrt(rows) lists, up to ``most_lists``, of which a query probes the share ``probe``, and more while
-    these hold fewer than k candidates.
+    these hold fewer than k candidates.  The share ``lead`` of those, the nearest, are scanned before the others.
     """
     spark = vectors.sparkSession
     v = F.col("v")
@@ -106,7 +113,7 @@ def nearest(
     rows = common.columns(vectors, id=vec_id, v=embedding).select(F.col("id").cast("long"), v.cast("array<double>").alias("v"))
     rows = rows.filter(F.col("id").isNotNull() & F.coalesce(fine, F.lit(False)))
     sizes = rows.groupBy(F.size("v").alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "size").limit(1).collect()
-    schema = "query_id long, rank int, vec_id long, score double"
+    schema = "query_id long, rank int, vec_id long, score double, compared long, read long"
     if not sizes:
         return spark.createDataFrame([], schema)
     size, total = sizes[0]["size"], sizes[0]["n"]
@@ -135,38 +142,54 @@ def nearest(
                 part = batch.slice(start, 1024)
                 order = squared(_vectors(pa.Table.from_batches([part]), "v") @ turn, centers).argsort(1, kind="stable")
                 short = np.cumsum(filled[order], axis=1) - filled[order] < k + 1  # lists that are needed to have k candidates
-                taken = short | (np.arange(len(centers)) < probes)
-                row, at = np.nonzero(taken & (filled[order] > 0))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(order[row, at].astype(np.int32))], ["id", "v", "list"]
-                )
+                place = np.arange(len(centers))
+                row, at = np.nonzero((short | (place < probes)) & (filled[order] > 0))
+                begins = (short | (place < max(1, lead * probes)))[row, at]
+                columns = [part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(order[row, at].astype(np.int32)), pa.array(begins)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "v", "list", "begins"])
 
     one_each = listed.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
-    asked = written(one_each.mapInArrow(choose, "id long, v array<double>, list int"))
+    asked = written(one_each.mapInArrow(choose, "id long, v array<double>, list int, begins boolean"))
     asks = {r["list"]: r["n"] for r in asked.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = [(i, math.ceil(n / cell_vectors), math.ceil(asks[i] / cell_queries)) for i, n in held.items() if i in asks]
     grid = F.broadcast(spark.createDataFrame(plan, "list int, blocks int, chunks int"))  # one row per list, at most most_lists
     mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     data = listed.join(grid, "list").select("list", "id", "v", mine("blocks").alias("block"), each("chunks").alias("chunk"))
-    questions = asked.join(grid, "list").select("list", "id", "v", mine("chunks").alias("chunk"), each("blocks").alias("block"))
+    names, kinds = ["query_id", "vec_id", "score", "compared", "read"], (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
+        """The best of each query, and a row without a vector that says what was read."""
+        out: list[list] = [[], [], [], [], []]
         if left.num_rows and right.num_rows:
             ids, x, asking, q = left.column("id").to_numpy(), _vectors(left, "v"), right.column("id").to_numpy(), _vectors(right, "v")
+            bounds = right.column("bound").to_numpy()
             xt, qt = x @ turn, q @ turn
             for i, one in enumerate(asking):
-                places = scan(xt, qt[i], k + int((ids == one).sum()), step, eps)
+                places, read = scan(xt, qt[i], k + int((ids == one).sum()), step, sigmas, bounds[i])
                 places = places[ids[places] != one]
                 score = np.sqrt(((x[places] - q[i]) ** 2).sum(1))
                 best = np.lexsort((ids[places], score))[:k]
-                for target, value in zip(out, (np.full(len(best), one), ids[places[best]], score[best]), strict=True):
-                    target.append(value)
-        kinds = (pa.int64(), pa.int64(), pa.float64())
-        return pa.table([pa.array(np.concatenate(c) if c else [], t) for c, t in zip(out, kinds, strict=True)], names=["query_id", "vec_id", "score"])
-
-    key = ["list", "block", "chunk"]
-    found = data.groupBy(*key).cogroup(questions.groupBy(*key)).applyInArrow(cell, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                n = len(best)
+                rows = ([one] * (n + 1), [*ids[places[best]], None], [*score[best], None], [None] * n + [len(x)], [None] * n + [read])
+                for target, values in zip(out, rows, strict=True):
+                    target.extend(values)
+        return pa.table([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names)
+
+    def scanned(questions: DataFrame) -> DataFrame:
+        dealt = questions.join(grid, "list").select("list", "id", "v", "bound", mine("chunks").alias("chunk"), each("blocks").alias("block"))
+        key = ["list", "block", "chunk"]
+        types = "query_id long, vec_id long, score double, compared long, read long"
+        return written(data.groupBy(*key).cogroup(dealt.groupBy(*key)).applyInArrow(cell, types))
+
+    def best_of(found: DataFrame) -> DataFrame:
+        nearest_first = Window.partitionBy("query_id").orderBy("score", "vec_id")
+        some = found.filter(F.col("vec_id").isNotNull()).select("query_id", "vec_id", "score")
+        return some.withColumn("rank", F.row_number().over(nearest_first)).filter(F.col("rank") <= k)
+
+    first = scanned(asked.filter("begins").withColumn("bound", F.lit(math.inf)))
+    known = best_of(first).filter(F.col("rank") == k).select(F.col("query_id").alias("id"), (F.col("score") * F.col("score")).alias("known"))
+    later = asked.filter(~F.col("begins")).join(written(known), "id", "left").withColumn("bound", F.coalesce("known", F.lit(math.inf)))
+    found = first.unionByName(scanned(later))
+    work = found.groupBy("query_id").agg(F.sum("compared").alias("compared"), F.sum("read").alias("read"))
+    return best_of(found).join(work, "query_id").select("query_id", "rank", "vec_id", "score", "compared", "read")

@@ -379,12 +379,27 @@ def test_nearest_recall(spark, cells):
     assert hit >= 0.9 * total
 
 
-def test_scan_drops_no_neighbour():
+def test_scan_drops_few_neighbours_and_reads_less():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(3000, 64)) @ ann.rotation(64)
-    for q in x[:20]:
-        best = np.argsort(((x - q) ** 2).sum(1), kind="stable")[:10]
-        assert len(set(best) & set(ann.scan(x, q, 10, 16, 2.1))) >= 9
+    alone = carried = hit = 0
+    for q in x[:40]:
+        far = ((x - q) ** 2).sum(1)
+        best = np.argsort(far, kind="stable")[:10]
+        places, read = ann.scan(x, q, 10, 8, 2.0)
+        alone, hit = alone + read, hit + len(set(best) & set(places))
+        assert best[0] in places
+        places, read = ann.scan(x[:200], q, 10, 8, 2.0, far[best[-1]])  # a short list, with a bound from others
+        carried += read
+        assert all(far[places] <= far[best[-1]] * (1 + 1e-8))
+        assert set(ann.scan(x, q, 10, 8, 50.0)[0]) == set(best)  # tests that never fail leave the exact answer
+    assert hit >= 0.95 * 400 and alone < 0.75 * 40 * x.size and carried < 0.5 * 40 * 200 * 64
+
+
+def test_nearest_reads_less_than_it_probes(spark):
+    rows = ann.nearest(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")).collect()
+    work = {r["query_id"]: (r["compared"], r["read"]) for r in rows}
+    assert sum(read for _, read in work.values()) < 0.62 * 64 * sum(n for n, _ in work.values())
 
 
 # ---- sharding ----------------------------------------------------------------------------------
