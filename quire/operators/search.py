@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from decimal import Decimal
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import exprs as X
@@ -120,6 +121,44 @@ def page(found: DataFrame, sort: str = "title-asc", number: int = 1, size: int =
     return found.orderBy(*sort_keys(sort)).offset(size * (number - 1)).limit(size)
 
 
+class PageIndex(NamedTuple):
+    """Cards in order, dealt into range parts (``part``, ``at`` within it), and per part the place where it begins."""
+
+    rows: DataFrame
+    parts: DataFrame
+
+
+def page_index(found: DataFrame, sort: str = "title-asc", parts: int | None = None) -> PageIndex:
+    """Sort once, for many pages: a page then reads the one or two parts it lies in, however deep it is.
+
+    The rows are written by part, so that a filter on ``part`` prunes the files; ``parts`` holds one row for each.
+    """
+    keys = sort_keys(sort)
+    dealt = found.repartitionByRange(parts, *keys) if parts else found.repartitionByRange(*keys)
+    # Numbers of this kind are the task's number and, in the low 33 bits, the row's place in it.
+    numbered = dealt.sortWithinPartitions(*keys).withColumn("_n", F.monotonically_increasing_id())
+    place = F.shiftright("_n", 33).cast("int").alias("part"), (F.col("_n") - F.shiftleft(F.shiftright("_n", 33), 33)).alias("at")
+    rows = written(numbered.select(*place, *found.columns), by="part")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+    sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
+    return PageIndex(rows, written(sizes.withColumn("begin", F.coalesce(F.sum("rows").over(before), F.lit(0)))))
+
+
+def page_at(index: PageIndex, number: int = 1, size: int = PAGE_SIZE) -> DataFrame:
+    """The cards of a page with their ``position`` (from 1) in the whole order."""
+    low, high = size * (number - 1), size * number
+    touched = index.parts.filter((F.col("begin") < high) & (F.col("begin") + F.col("rows") > low)).select("part", "begin").collect()
+    rows = index.rows.filter(F.col("part").isin([r["part"] for r in touched]))  # at most ``size`` parts, mostly one
+    begin = F.coalesce(*[F.when(F.col("part") == r["part"], F.lit(r["begin"])) for r in touched], F.lit(None).cast("long"))
+    placed = rows.withColumn("position", begin + F.col("at") + 1).filter((F.col("position") > low) & (F.col("position") <= high))
+    return placed.orderBy("position").drop("part", "at")
+
+
+def positions(index: PageIndex) -> DataFrame:
+    """All cards with their ``position`` (from 1) in the whole order."""
+    return index.rows.join(index.parts, "part").withColumn("position", F.col("begin") + F.col("at") + 1).drop("part", "at", "begin", "rows")
+
+
 def page_counts(found: DataFrame, number: int = 1, size: int = PAGE_SIZE) -> DataFrame:
     """Total matches, pages and cards shown up to the given page."""
     n = F.count(F.lit(1))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from quire.functions import exprs as X
 from quire.operators import cart as CART
 from quire.operators import catalog as C
 from quire.operators import search as S
+from quire.operators.skew import written
 from quire.plans import views as V
 from quire.plans.registry import (
     as_text, q_blank, q_list, q_quantity, q_text, q_trim, q_volume_number, query,
@@ -199,6 +201,32 @@ def search_page(spark: SparkSession, base: str) -> DataFrame:
     return S.page(S.search_cards(V.books(spark, base), **_OPEN), "price-desc", 3)
 
 
+def _placed_sql(sort: str) -> str:
+    order = f"{_SORT_SQL[sort]}, title, volume ASC NULLS LAST, book_id"
+    return f"SELECT *, row_number() OVER (ORDER BY {order}) AS position, count(*) OVER () AS n FROM ({_CARD_SQL})"
+
+
+_POSITIONS = " UNION ALL ".join(f"SELECT '{sort}' AS sort, position, book_id FROM ({_placed_sql(sort)})" for sort in _SORT_SQL)
+
+
+@query("search_positions", _titles_sql(f"SELECT * FROM ({_POSITIONS})"))
+def search_positions(spark: SparkSession, base: str) -> DataFrame:
+    """The place of every card in each of the four orders."""
+    found = written(S.search_cards(V.books(spark, base), **_OPEN))
+    placed = [S.positions(S.page_index(found, sort)).select(F.lit(sort).alias("sort"), "position", "book_id") for sort in _SORT_SQL]
+    return functools.reduce(DataFrame.unionByName, placed)
+
+
+@query(
+    "search_deep_page",
+    _titles_sql(f"SELECT * EXCLUDE (n) FROM ({_placed_sql('price-desc')}) WHERE position > n // 8 * 8 - 8 AND position <= n // 8 * 8"),
+)
+def search_deep_page(spark: SparkSession, base: str) -> DataFrame:
+    """The last full page."""
+    index = S.page_index(S.search_cards(V.books(spark, base), **_OPEN), "price-desc")
+    return S.page_at(index, index.parts.agg(F.sum("rows")).first()[0] // 8)
+
+
 @query(
     "search_page_counts",
     _titles_sql(f"""
@@ -482,3 +510,16 @@ def fn_cart_ids(spark: SparkSession, base: str) -> DataFrame:
 )
 def fn_cover_volume(spark: SparkSession, base: str) -> DataFrame:
     return V.books(spark, base).select("book_id", X.repaired_volume("cover", "book_id").alias("volume"))
+
+
+@query(
+    "fn_money_text",
+    with_views("v_items", """
+    SELECT id, cast(line_total as varchar) AS total_text,
+      cast(cast(round(line_total * cast(0.125 as decimal(4,3)), 2) as decimal(28,2)) as varchar) AS eighth_text
+    FROM v_items"""),
+)
+def fn_money_text(spark: SparkSession, base: str) -> DataFrame:
+    """Totals, and eighths of them, of which many end in half a cent."""
+    total, eighth = F.col("line_total"), F.lit(Decimal("0.125"))
+    return V.items(spark, base).select("id", X.money_text(total).alias("total_text"), X.money_text(total * eighth).alias("eighth_text"))

@@ -32,14 +32,14 @@ def shared_folder(spark: SparkSession, base: str | None = None) -> str:
     return path
 
 
-def written(df: DataFrame, base: str | None = None) -> DataFrame:
-    """The same rows from a table written to the shared folder.
+def written(df: DataFrame, base: str | None = None, by: str | None = None) -> DataFrame:
+    """The same rows from a table written to the shared folder, with a folder for each value of the column ``by``.
 
     Used where an intermediate result is read several times: it is computed once, survives
     lost executors, and its size is known to the optimizer.
     """
     path = shared_folder(df.sparkSession, base)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,3 +1,4 @@
+import re
 from decimal import Decimal
 
 import pytest
@@ -254,3 +255,21 @@ def test_tables_and_defaults(spark, tmp_path):
     assert added.count() == 1 and T.read_table(spark, str(tmp_path), "users").count() == 2
     filled = T.apply_defaults(books(spark, book("B", "T", page_count=None, stock=None)), "books").first()
     assert (filled["page_count"], filled["stock"]) == (0, 0)
+
+
+def test_indexed_pages_equal_sorted_pages(spark):
+    rows = [book(f"B{i:03d}", f"T{i % 37:02d}", f"Vol {i // 37}", price=f"{i % 5}.00") for i in range(150)]
+    found = S.search_cards(books(spark, *rows), min_price=None, max_price=None)
+    for sort in ("title-desc", "price-asc"):
+        index = S.page_index(found, sort, parts=6)
+        assert index.parts.count() > 1
+        want = [r["book_id"] for r in S.sort_cards(found, sort).collect()]
+        for number in (1, 7, 19, 20):
+            got = S.page_at(index, number).collect()
+            assert [(r["position"], r["book_id"]) for r in got] == list(enumerate(want, 1))[8 * number - 8 : 8 * number]
+        assert {r["book_id"]: r["position"] for r in S.positions(index).collect()} == {b: n for n, b in enumerate(want, 1)}
+        plan = S.page_at(index, 15)._jdf.queryExecution().executedPlan().toString()  # reads the files of its parts alone
+        named = re.search(r"PartitionFilters: \[.*?part#\d+ (?:IN \(([\d,]+)\)|= (\d+))", plan)
+        assert named and len((named[1] or named[2]).split(",")) <= 2
+    empty = S.page_index(found.limit(0))
+    assert S.page_at(empty, 1).collect() == []
