@@ -10,6 +10,7 @@ from quire.plans import views as V
 from quire.plans.cart_queries import FOLD_RESULTS_SQL, FOLD_SQL, fold_tables
 from quire.plans.registry import as_text, query, r6
 from quire.plans.views import with_views
+from quire.sources import request_log as L
 from quire.sources.scratch import shared_folder
 from quire.sources.tables import publish, read_all_published, read_published
 from quire.streaming import jobs as J
@@ -56,6 +57,55 @@ def request_latency_rough(spark: SparkSession, base: str) -> DataFrame:
     return ranks.filter(near[0] & near[1] & near[2]).select("endpoint", "n", "min", "max")
 
 
+# The log of the events as the load generator writes it: clicks and views as JSON lines, the rest as CSV, each with damaged
+# lines beside the sound ones: JSON cut off or without a value, CSV with words for numbers.
+_IN_JSON = "endpoint IN ('click', 'view')"
+_CUT, _LACKING = "duration_ms < 5", "duration_ms > 95"
+
+
+def _written_log(spark: SparkSession, base: str) -> tuple[str, str]:
+    log = V.requests(spark, base).select("ts", "endpoint", "duration_ms", "status", "failed")
+    place = shared_folder(spark)
+    expected = F.when(F.col("failed"), "false").otherwise("true")
+    tags = F.create_map(F.lit("name"), F.col("endpoint"), F.lit("status"), F.col("status").cast("string"), F.lit("expected_response"), expected)
+    line = lambda *value: F.to_json(
+        F.struct(F.lit("Point").alias("type"), F.lit("http_req_duration").alias("metric"), F.struct(F.col("ts").alias("time"), *value, tags.alias("tags")).alias("data"))
+    )
+    whole = line(F.col("duration_ms").alias("value"))
+    lines = [whole, F.when(F.expr(_CUT), F.substring(whole, 1, 60)), F.when(F.expr(_LACKING), line())]
+    log.filter(_IN_JSON).select(F.explode(F.array_compact(F.array(*lines))).alias("value")).write.text(f"{place}/json")
+    numbers = [(F.unix_timestamp("ts").cast("string"), F.col("duration_ms").cast("string"))]
+    numbers += [(F.when(F.expr(_CUT), "soon"), F.lit("1.5")), (F.when(F.expr(_LACKING), "1767225600"), F.lit("slow"))]
+    pairs = F.filter(F.array(*[F.struct(t.alias("timestamp"), v.alias("metric_value")) for t, v in numbers]), lambda x: x["timestamp"].isNotNull())
+    table = log.filter(f"NOT {_IN_JSON}").select(F.explode(pairs).alias("p"), "endpoint", "status", expected.alias("expected_response"))
+    names = [F.lit("http_req_duration").alias("metric_name"), "p.timestamp", "p.metric_value", F.col("endpoint").alias("name")]
+    empty = [F.lit("").alias("group"), F.lit("").alias("check")]
+    table.select(*names, *empty, "status", "expected_response").write.option("header", True).csv(f"{place}/csv")
+    return f"{place}/json", f"{place}/csv"
+
+
+@query("request_latency_from_log", with_views("v_requests", _TREND_SQL.format("")))
+def request_latency_from_log(spark: SparkSession, base: str) -> DataFrame:
+    lines, table = _written_log(spark, base)
+    points = L.read_points(spark, lines).unionByName(L.read_points_csv(spark, table))
+    return _rounded(R.trend(L.points_to_requests(points)), "avg", "med", "p90", "p95")
+
+
+@query(
+    "request_log_damage",
+    with_views("v_requests", f"""
+    SELECT CASE WHEN {_IN_JSON} THEN 'json' ELSE 'csv' END AS format,
+      count(*) + count(*) FILTER ({_CUT}) + count(*) FILTER ({_LACKING}) AS lines,
+      count(*) FILTER ({_CUT}) + count(*) FILTER ({_LACKING}) AS damaged
+    FROM v_requests GROUP BY 1"""),
+)
+def request_log_damage(spark: SparkSession, base: str) -> DataFrame:
+    """Lines and damaged lines by format, summed over the files."""
+    found = [L.read_log(spark, path, fmt).damage.withColumn("format", F.lit(fmt)) for fmt, path in zip(("json", "csv"), _written_log(spark, base), strict=True)]
+    total = lambda c: F.sum(c).alias(c)
+    return found[0].unionByName(found[1]).groupBy("format").agg(total("lines"), total("damaged"))
+
+
 @query("request_latency_ok", with_views("v_requests", _TREND_SQL.format("WHERE NOT failed")))
 def request_latency_ok(spark: SparkSession, base: str) -> DataFrame:
     return _rounded(R.trend_of_successful(V.requests(spark, base)), "avg", "med", "p90", "p95")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire import schemas
@@ -13,6 +15,7 @@ _POINT = (
     "type string, metric string, data struct<time: timestamp, value: double, "
     "tags: map<string, string>>"
 )
+_FLAT = ("metric", "ts", "value", "endpoint", "check_group", "check_name", "status", "expected")
 _SUMMARY = (
     "metrics map<string, struct<avg: double, min: double, med: double, max: double, "
     "`p(90)`: double, `p(95)`: double, count: double, rate: double, passes: double, "
@@ -26,35 +29,73 @@ def read_requests(spark: SparkSession, path: str, fmt: str = "json") -> DataFram
     return reader.csv(path, header=True) if fmt == "csv" else reader.json(path)
 
 
+class Log(NamedTuple):
+    """The sound points of a raw log, and per file its lines and how many of them are damaged."""
+
+    points: DataFrame
+    damage: DataFrame
+
+
+def read_log(spark: SparkSession, path: str, fmt: str = "json") -> Log:
+    """A raw log as JSON lines or CSV; a damaged line costs nothing but itself, and is counted.
+
+    A line is damaged if it cannot be parsed, if it says no type (JSON), or if it is a point without a metric, a time or a
+    value.  Lines of other types are no points and not damaged.
+    """
+    rows = _csv_lines(spark, path) if fmt == "csv" else _json_lines(spark, path)
+    points = rows.filter(~F.col("damaged") & F.col("is_point")).select(*_FLAT)
+    damage = rows.groupBy("file").agg(F.count(F.lit(1)).alias("lines"), F.count_if("damaged").alias("damaged"))
+    return Log(points, damage)
+
+
 def read_points(spark: SparkSession, path: str) -> DataFrame:
-    """Raw JSON-lines points as flat rows, one per sample."""
-    raw = spark.read.schema(_POINT).json(path).filter(F.col("type") == "Point")
-    tags = F.col("data.tags")
-    return raw.select(
-        "metric",
-        F.col("data.time").alias("ts"),
-        F.col("data.value").alias("value"),
-        F.try_element_at(tags, F.lit("name")).alias("endpoint"),
-        F.try_element_at(tags, F.lit("group")).alias("check_group"),
-        F.try_element_at(tags, F.lit("check")).alias("check_name"),
-        F.try_element_at(tags, F.lit("status")).try_cast("int").alias("status"),
-        (F.try_element_at(tags, F.lit("expected_response")) == "true").alias("expected"),
-    )
+    """Raw JSON-lines points as flat rows, one per sample; damaged lines are left out, see ``read_log``."""
+    return read_log(spark, path).points
 
 
 def read_points_csv(spark: SparkSession, path: str) -> DataFrame:
     """Raw CSV points (epoch-second timestamps) in the shape of ``read_points``."""
+    return read_log(spark, path, "csv").points
+
+
+def _judged(rows: DataFrame, broken: Column, is_point: Column) -> DataFrame:
+    lacking = F.col("metric").isNull() | F.col("ts").isNull() | F.col("value").isNull()
+    flags = {"is_point": F.coalesce(is_point, F.lit(False)), "damaged": F.coalesce(broken | (is_point & lacking), F.lit(True))}
+    return rows.withColumns({"file": F.col("_metadata.file_name")} | flags)
+
+
+def _json_lines(spark: SparkSession, path: str) -> DataFrame:
+    raw = spark.read.schema(f"{_POINT}, _broken string").option("columnNameOfCorruptRecord", "_broken").json(path)
+    tag = lambda name: F.try_element_at(F.col("data.tags"), F.lit(name))
+    flat = raw.withColumns(
+        {
+            "ts": F.col("data.time"),
+            "value": F.col("data.value"),
+            "endpoint": tag("name"),
+            "check_group": tag("group"),
+            "check_name": tag("check"),
+            "status": tag("status").try_cast("int"),
+            "expected": tag("expected_response") == "true",
+        }
+    )
+    return _judged(flat, F.col("_broken").isNotNull() | F.col("type").isNull(), F.col("type") == "Point")
+
+
+def _csv_lines(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.option("header", True).csv(path)
-    return raw.select(
-        F.col("metric_name").alias("metric"),
-        F.timestamp_seconds(F.col("timestamp").cast("long")).alias("ts"),
-        F.col("metric_value").cast("double").alias("value"),
-        F.col("name").alias("endpoint"),
-        F.col("group").alias("check_group"),
-        F.col("check").alias("check_name"),
-        F.col("status").try_cast("int").alias("status"),
-        (F.col("expected_response") == "true").alias("expected"),
+    flat = raw.withColumns(
+        {
+            "metric": F.col("metric_name"),
+            "ts": F.timestamp_seconds(F.col("timestamp").try_cast("long")),
+            "value": F.col("metric_value").try_cast("double"),
+            "endpoint": F.col("name"),
+            "check_group": F.col("group"),
+            "check_name": F.col("check"),
+            "status": F.col("status").try_cast("int"),
+            "expected": F.col("expected_response") == "true",
+        }
     )
+    return _judged(flat, F.lit(False), F.lit(True))
 
 
 def points_to_requests(points: DataFrame, metric: str = "http_req_duration") -> DataFrame:

@@ -134,3 +134,22 @@ def test_requests_and_summary(spark, tmp_path):
     got = by(L.read_summary(spark, str(tmp_path / "s.json")), "metric")
     assert got["http_req_duration"]["p(95)"] == 3.0 and got["http_reqs"]["rate"] == 2.5
     assert got["http_req_duration"]["thresholds"] == {"avg<2000": False}
+
+
+def test_damaged_lines_are_left_out_and_counted(spark, tmp_path):
+    sound = {"type": "Point", "metric": "m", "data": {"time": "2026-01-01T00:00:00Z", "value": 2.5, "tags": {"name": "GET /x"}}}
+    header = {"type": "Metric", "metric": "m", "data": {}}
+    lacking = [{**sound, "metric": None}, {**sound, "data": {"time": "2026-01-01T00:00:00Z"}}, {**sound, "data": {"time": "soon", "value": 1.0}}, {}]
+    for name, lines in (("a", [header, sound, *lacking]), ("b", [sound, sound])):
+        text = "\n".join(map(json.dumps, lines)) + "\n" + (json.dumps(sound)[:50] + "\nnot a line\n" if name == "a" else "")
+        (tmp_path / f"{name}.json").write_text(text)
+    log = L.read_log(spark, f"{tmp_path}/*.json")
+    assert by(log.damage, "file", "lines", "damaged") == {"a.json": (8, 6), "b.json": (2, 0)}
+    assert [r["value"] for r in log.points.collect()] == [2.5] * 3
+    (tmp_path / "c.csv").write_text(
+        "metric_name,timestamp,metric_value,name,group,check,status,expected_response\n"
+        "m,1767225600,2.5,GET /x,,,200,true\nm,soon,2.5,GET /x,,,200,true\nm,1767225600,fast,,,,x,\nm,17672\n,1767225600,1.0,,,,,\n"
+    )
+    log = L.read_log(spark, f"{tmp_path}/c.csv", "csv")
+    assert by(log.damage, "file", "lines", "damaged") == {"c.csv": (5, 4)}
+    assert [(r["ts"], r["value"], r["expected"]) for r in log.points.collect()] == [(at(0), 2.5, True)]
