@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import exprs as X
 from quire.operators.cart import INVALID, NOT_FOUND, OK
-from quire.operators.skew import SECTION, nest, written
+from quire.operators.skew import SECTION, crowded, nest, written
 
 RECENT_ORDERS = 3  # fixed value
 ITEM_FIELDS = (
@@ -80,7 +80,7 @@ def order_history(
     if users is not None:
         ids = chosen.select(F.col("id").alias("order_id"))
         shown = items.join(ids, "order_id", "left_semi")
-    lines = items_with_cover(shown, books)
+    shown = shown.filter(F.col("order_id").isNotNull())
     fields = ("book_id", "title", "unit_price", "quantity", "line_total", "cover")
 
     def item(x: Column) -> Column:
@@ -93,10 +93,20 @@ def order_history(
             x["unit_price"].alias("price"),
         )
 
-    nested = nest(lines, ["order_id"], [F.col("id")], fields, item, "items", section_length)
-    item_type = nested.schema["items"].dataType
+    def nested(lines: DataFrame, small: bool) -> DataFrame:
+        covered = items_with_cover(lines, books)
+        docs = nest(covered, ["order_id"], [F.col("id")], fields, item, "items", section_length, small)
+        return docs.withColumnRenamed("order_id", "id")
+
+    # Orders with very many lines are told apart, so that the lines of all others are shuffled by order only once.
+    large = crowded(shown, ["order_id"])
+    few = nested(shown.join(large, "order_id", "left_anti"), True)
+    many = nested(shown.join(large, "order_id", "left_semi"), False)
+    others = chosen.join(large.withColumnRenamed("order_id", "id"), "id", "left_anti")
+    item_type = few.schema["items"].dataType
     return (
-        chosen.join(nested.withColumnRenamed("order_id", "id"), "id", "left")
+        others.join(few, "id", "left")
+        .unionByName(chosen.join(many, "id"))
         .withColumns(
             {
                 "purchase_date": F.col("created_at"),

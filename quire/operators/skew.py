@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quire.sources.scratch import written
 
-__all__ = ["SECTION", "nest", "running", "same_keys", "written"]
+__all__ = ["SECTION", "crowded", "nest", "running", "same_keys", "written"]
 
 # Items of one key that one document holds.
 SECTION = 10_000
@@ -47,13 +47,20 @@ def running(rows: DataFrame, keys: Sequence[str], order: Sequence[str], amount:
     fold = F.max if latest else F.sum
     whole = (lambda c: c) if latest else (lambda c: F.coalesce(c, F.lit(0)))
     starts = parts.groupBy(*keys, "_part").agg(fold("_amount").alias("_sum"))
-    starts = starts.select(*keys, "_part", whole(fold("_sum").over(earlier)).alias("_start"))
+    # Only a key that goes on from one part into the next has a start: at most one row per part.
+    starts = written(starts.select(*keys, "_part", fold("_sum").over(earlier).alias("_start")).filter("_start is not null"))
     within = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = same_keys(parts.withColumn("_within", whole(fold("_amount").over(within))), starts, [*keys, "_part"])
-    both = F.greatest("_start", "_within") if latest else F.col("_start") + F.col("_within")
+    joined = same_keys(parts.withColumn("_within", whole(fold("_amount").over(within))), starts, [*keys, "_part"], "left")
+    both = F.greatest("_start", "_within") if latest else whole(F.col("_start")) + F.col("_within")
     return joined.withColumn("before", both).drop("_amount", "_part", "_start", "_within")
 
 
+def crowded(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The keys with more than ``SECTION`` rows, which ``nest`` should not number within one task."""
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return written(counts.filter(F.col("_n") > SECTION).select(*keys))
+
+
 def nest(
     df: DataFrame,
     keys: Sequence[str],
@@ -62,6 +69,7 @@ def nest(
     make: Callable[[Column], Column],
     name: str,
     section_length: int = SECTION,
+    small: bool = False,
 ) -> DataFrame:
     """One row per key and section with the sorted array ``name`` of its rows.
 
@@ -69,11 +77,16 @@ def nest(
     single section 0.  ``order`` should end in a unique column.
 
     Only the ``order`` columns (o0, o1, ...) and ``fields`` are shuffled; ``make`` builds
-    an item from them once they are sorted.
+    an item from them once they are sorted.  With ``small``, where no key is ``crowded``, a key is numbered
+    by the task that packs it, so that rows are shuffled once, by ``keys``.
     """
     keys = list(keys)
     by = [f"o{i}" for i in range(len(order))]
     narrow = df.select(*keys, *[c.alias(o) for c, o in zip(order, by, strict=True)], *fields)
-    placed = running(narrow, keys, by, F.lit(1)).withColumn("section", F.floor(F.col("before") / section_length).cast("int"))
+    if small:
+        placed = narrow.withColumn("before", F.row_number().over(Window.partitionBy(*keys).orderBy(*by)) - 1)
+    else:
+        placed = running(narrow, keys, by, F.lit(1))
+    placed = placed.withColumn("section", F.floor(F.col("before") / section_length).cast("int"))
     packed = F.sort_array(F.collect_list(F.struct(*by, *fields))).alias(name)
     return placed.groupBy(*keys, "section").agg(packed).withColumn(name, F.transform(name, make))
