@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from quire.operators import orders as O
+from quire.operators import quality as Q
 from quire.operators import skew as S
 from quire.plans import views as V
 
@@ -39,3 +40,12 @@ def test_starts_of_parts_are_few(spark, monkeypatch):
     numbered = S.running(rows, ["k"], ["id"], F.lit(1))
     assert numbered.filter("before <> floor(id / 1000)").count() == 0
     assert kept[1].count() < 200
+
+
+def test_deleted_users_are_read_from_a_small_table(spark):
+    tables = {"users": V.users(spark, BASE), "cart_items": V.cart(spark, BASE), "orders": V.orders(spark, BASE), "order_items": V.items(spark, BASE)}
+    gone = spark.createDataFrame([("1",)] * 5 + [(None,)], "id string")
+    left = Q.cascade_delete_users(tables, gone)
+    assert all("Scan ExistingRDD" not in plan(left[t]) for t in tables)
+    assert left["users"].count() == tables["users"].count() - 1
+    assert left["cart_items"].count() == tables["cart_items"].filter("user_id <> '1'").count()
