@@ -167,8 +167,10 @@ def conflicting_fixes(fixes: DataFrame) -> DataFrame:
 
 
 def backfill_item_covers(items: DataFrame, books: DataFrame) -> DataFrame:
-    """Order lines with an empty cover take the book's, if that is not blank."""
-    covers = books.filter(~X.is_blank("cover")).select("book_id", F.col("cover").alias("_cover"))
+    """Order lines with an empty cover take the book's, if that is not blank.
+
+    A task holds its share of the books and lets the lines pass unsorted, however many name one book or none."""
+    covers = books.filter(~X.is_blank("cover")).select("book_id", F.col("cover").alias("_cover")).hint("shuffle_hash")
     joined = items.join(covers, "book_id", "left")
     cover = F.when((F.col("cover") == "") & F.col("_cover").isNotNull(), F.col("_cover")).otherwise(F.col("cover"))
     return joined.withColumn("cover", cover).select(*items.columns)

@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from quire.operators import catalog
 from quire.operators import orders as O
 from quire.operators import quality as Q
 from quire.operators import skew as S
@@ -49,3 +50,8 @@ def test_deleted_users_are_read_from_a_small_table(spark):
     assert all("Scan ExistingRDD" not in plan(left[t]) for t in tables)
     assert left["users"].count() == tables["users"].count() - 1
     assert left["cart_items"].count() == tables["cart_items"].filter("user_id <> '1'").count()
+
+
+def test_lines_of_a_hot_book_are_not_sorted(spark):
+    items = V.items(spark, BASE)
+    assert "ShuffledHashJoin" in plan(catalog.backfill_item_covers(items, V.books(spark, BASE)))
