@@ -21,6 +21,7 @@ from quire.sources.scratch import written
 # White space between words, and the symbols counted.
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]+"
+PLAIN = r"[a-z\x20]+"
 # Character classes that are counted beside these two; what is left over is plain letters.
 CLASSES = {"upper": r"\p{Lu}+", "digit": r"[0-9]+", "point": r"[.,;:!?'\"()\-]+", "wide": r"[^\x00-\x7F]+"}
 # Frequent words of four languages.
@@ -69,8 +70,11 @@ def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     twice = F.filter(s, lambda x, i: same(x, F.get(s, F.greatest(i - 1, F.lit(0)))) & (i > 0) | same(x, F.get(s, i + 1)))
     repeated = F.when(s.isNotNull(), _covered(F.sort_array(F.transform(twice, lambda x: x["i"])), width)).otherwise(0)
     total = F.length(t)
-    left = {"word": F.length(_without(t, SPACE)), "symbol": total - F.length(_without(t, SYMBOLS))}
-    left |= {k: total - F.length(_without(t, p)) for k, p in CLASSES.items()}
+    # Plain small letters and blanks are in no class below: the patterns go over what stands between them.
+    df = df.withColumn("odd", _without(t, PLAIN))
+    odd = F.col("odd")
+    left = {"word": F.length(F.array_join(w, ""))}
+    left |= {k: F.length(odd) - F.length(_without(odd, p)) for k, p in {"symbol": SYMBOLS, **CLASSES}.items()}
     df = df.withColumns({f"c_{k}": x for k, x in left.items()} | {"total": total, "repeated": repeated, "padded": F.concat(F.lit(" "), "common", F.lit(" "))})
     named = ["symbol", *CLASSES]
     rest = F.col("c_word") - sum((F.col(f"c_{k}") for k in named), F.lit(0))
@@ -93,10 +97,15 @@ def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 def distance(p: Column, q: Column) -> Column:
     """Jensen-Shannon distance of two histograms of the same length; null if either is empty."""
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, y: a + y)
-    p1, q1 = F.transform(p, lambda x: x / total(p)), F.transform(q, lambda x: x / total(q))
     part = lambda x, m: F.when(x > 0, x * F.ln(x / m)).otherwise(0.0)
-    each = F.zip_with(p1, q1, lambda a, b: part(a, (a + b) / 2) + part(b, (a + b) / 2))
-    return F.when((total(p) > 0) & (total(q) > 0), F.sqrt(F.greatest(total(each) / (2 * math.log(2)), F.lit(0.0))))
+
+    def of(sums: Column) -> Column:
+        p1, q1 = F.transform(p, lambda x: x / sums["p"]), F.transform(q, lambda x: x / sums["q"])
+        each = F.zip_with(p1, q1, lambda a, b: part(a, (a + b) / 2) + part(b, (a + b) / 2))
+        return F.when((sums["p"] > 0) & (sums["q"] > 0), F.sqrt(F.greatest(total(each) / (2 * math.log(2)), F.lit(0.0))))
+
+    # The totals are an element of an array, so that they are summed once and not for each bin.
+    return F.transform(F.array(F.struct(total(p).alias("p"), total(q).alias("q"))), of)[0]
 
 
 def quality(

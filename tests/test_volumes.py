@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from quire.llm import divergence
 from quire.operators import catalog
 from quire.operators import orders as O
 from quire.operators import quality as Q
@@ -55,3 +56,16 @@ def test_deleted_users_are_read_from_a_small_table(spark):
 def test_lines_of_a_hot_book_are_not_sorted(spark):
     items = V.items(spark, BASE)
     assert "ShuffledHashJoin" in plan(catalog.backfill_item_covers(items, V.books(spark, BASE)))
+
+
+def test_totals_of_histograms_are_summed_once():
+    assert str(divergence.distance(F.col("p"), F.col("q"))).count("aggregate(") <= 3
+
+
+def test_counts_of_characters(spark):
+    text = "Äa b#1\t Zz, [*]\n\nein—wort 日本\x0b(x)$"
+    row = divergence.features(spark.createDataFrame([(1, text, "de"), (2, None, None)], "doc_id long, text string, lang string")).orderBy("doc_id").first()
+    inside = [c for c in text if c not in " \t\n\x0b\x0c\r"]
+    assert row["word_chars"] == len(inside) and row["n_symbols"] == sum(c in "#*$%&|<>" for c in inside)
+    counted = [sum(map(f, inside)) for f in (lambda c: c in "#*$%&|<>", str.isupper, str.isdigit, lambda c: c in ".,;:!?'\"()-", lambda c: ord(c) > 127)]
+    assert list(row["chars"])[:5] == [float(n) for n in counted]
