@@ -54,10 +54,16 @@ def consolidate(cart: DataFrame) -> DataFrame:
     )
 
 
+def _owners(rows: DataFrame) -> DataFrame:
+    """The users of ``rows`` once each, written: a table small enough to be sent to all tasks, so that the cart rows of all
+    other users are told apart without a shuffle."""
+    return written(rows.select("user_id").distinct())
+
+
 def cart_view(cart: DataFrame, users: DataFrame | None = None) -> DataFrame:
     """What each user sees, newest first; ``users`` (user_id) limits the owners."""
     if users is not None:
-        cart = cart.join(users.select("user_id"), "user_id", "left_semi")
+        cart = cart.join(_owners(users), "user_id", "left_semi")
     return (
         consolidate(cart)
         .withColumnsRenamed({"title": "book_title", "unit_price": "price"})
@@ -115,11 +121,11 @@ def _first_add(cond: Column | None = None) -> Column:
     return F.min_by(what, when) if cond is None else F.min_by(what, F.when(cond, when))
 
 
-def _stored(cart: DataFrame, keys: DataFrame) -> DataFrame:
-    """Per key among ``keys``: the row that is kept and the total, which is NULL if a
+def _stored(cart: DataFrame, keys: DataFrame, owners: DataFrame) -> DataFrame:
+    """Per key among ``keys``, whose users are ``owners``: the row that is kept and the total, which is NULL if a
     stored quantity is missing or negative."""
     sound = F.bool_and(F.coalesce(F.col("quantity") >= 0, F.lit(False)))
-    rows = cart.join(keys.select(*KEY), KEY, "left_semi")
+    rows = cart.join(owners, "user_id", "left_semi").join(keys.select(*KEY), KEY, "left_semi")
     return rows.groupBy(*KEY).agg(
         F.max_by("id", _newest()).alias("_keep"), F.when(sound, F.sum("quantity")).alias("_have")
     )
@@ -129,8 +135,8 @@ def _fits(total: Column) -> Column:
     return F.coalesce((total >= 0) & (total <= MOST), F.lit(False))
 
 
-def _apply(cart: DataFrame, touched: DataFrame) -> DataFrame:
-    """Replace the rows of the touched keys.
+def _apply(cart: DataFrame, touched: DataFrame, owners: DataFrame) -> DataFrame:
+    """Replace the rows of the touched keys; only rows of ``owners``, who own all touched keys, are shuffled for it.
 
     ``touched`` has one row per key: _keep (id or NULL), _exists, _qty, _updated and
     the struct _new used where no stored row is kept.
@@ -139,7 +145,8 @@ def _apply(cart: DataFrame, touched: DataFrame) -> DataFrame:
     touched = written(touched)  # read twice below, and small beside the cart
     changes = touched.select(*KEY, F.lit(True).alias("_touched"), "_keep", "_exists", "_qty", "_updated")
     merged = (
-        cart.join(changes, KEY, "left")
+        cart.join(owners, "user_id", "left_semi")
+        .join(changes, KEY, "left")
         .filter(F.col("_touched").isNull() | (live & F.col("_keep").eqNullSafe(F.col("id"))))
         .withColumns(
             {
@@ -157,7 +164,7 @@ def _apply(cart: DataFrame, touched: DataFrame) -> DataFrame:
         F.col("_new.ts").alias("created_at"),
         F.col("_updated").alias("updated_at"),
     )
-    return merged.unionByName(inserted)
+    return cart.join(owners, "user_id", "left_anti").select(*COLUMNS).unionByName(merged).unionByName(inserted)
 
 
 def add_to_cart(cart: DataFrame, books: DataFrame, commands: DataFrame) -> CartChange:
@@ -172,13 +179,14 @@ def add_to_cart(cart: DataFrame, books: DataFrame, commands: DataFrame) -> CartC
         .groupBy("user_id", F.col("item.book_id").alias("book_id"))
         .agg(F.sum("qty").alias("_add"), _first_add().alias("_new"), F.max("ts").alias("_updated"))
     )
+    owners = _owners(adds)
     total = F.col("_add") + F.when(F.col("_keep").isNull(), F.lit(0)).otherwise(F.col("_have"))
-    merged = written(adds.join(_stored(cart, adds), KEY, "left").withColumns({"_exists": F.lit(True), "_qty": total}))
+    merged = written(adds.join(_stored(cart, adds, owners), KEY, "left").withColumns({"_exists": F.lit(True), "_qty": total}))
     bad = merged.filter(~_fits(F.col("_qty"))).select(*KEY, F.lit(True).alias("_bad"))
     told = resolved.select("cmd_id", "user_id", "status", F.col("item.book_id").alias("book_id"))
     status = F.when((F.col("status") == OK) & F.col("_bad"), INVALID).otherwise(F.col("status"))
     results = told.join(bad, KEY, "left").select("cmd_id", "user_id", status.alias("status"), "book_id")
-    return CartChange(_apply(cart, merged.filter(_fits(F.col("_qty")))), results)
+    return CartChange(_apply(cart, merged.filter(_fits(F.col("_qty"))), owners), results)
 
 
 def _owned(commands: DataFrame, cart: DataFrame) -> DataFrame:
@@ -268,7 +276,23 @@ def _in_turn(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(refused, pa.string())], ["cmd_id"])
 
 
-def _refused(cart: DataFrame, steps: DataFrame) -> DataFrame:
+class _Batch(NamedTuple):
+    """The steps of a mixed batch and what they find in the cart."""
+
+    steps: DataFrame
+    owners: DataFrame  # all users of the steps
+    stored: DataFrame  # of all keys of the steps
+    refused: DataFrame
+
+
+def _batch(cart: DataFrame, books: DataFrame, commands: DataFrame) -> _Batch:
+    steps = written(_steps(books, commands))
+    owners = _owners(steps)
+    stored = written(_stored(cart, written(steps.select(*KEY).distinct()), owners))
+    return _Batch(steps, owners, stored, written(_refused(stored, steps)))
+
+
+def _refused(stored: DataFrame, steps: DataFrame) -> DataFrame:
     """Ids of adds that find an unsound quantity or would leave the integer range when the batch is served in order.
 
     Only keys that could come to this are served in turn: those with an unsound stored quantity, and those
@@ -285,7 +309,7 @@ def _refused(cart: DataFrame, steps: DataFrame) -> DataFrame:
     )
     start = F.when(F.col("_keep").isNotNull(), F.coalesce("_have", F.lit(-1)))
     most = F.col("_adds") + F.coalesce("_sets", F.lit(0)) + F.coalesce(start, F.lit(0))
-    keys = load.join(_stored(cart, load), KEY, "left").withColumn("_start", start)
+    keys = load.join(stored, KEY, "left").withColumn("_start", start)
     risky = written(keys.filter((F.col("_start") < 0) | (most > MOST)).select(*KEY, "_start"))
     rows = valid.join(risky, KEY).select(*KEY, "ts", "cmd_id", "op", "qty", "_start").repartition(*KEY)
     return rows.sortWithinPartitions(*KEY, "ts", "cmd_id").mapInArrow(_in_turn, "cmd_id string")
@@ -302,12 +326,12 @@ def fold_commands(cart: DataFrame, books: DataFrame, commands: DataFrame) -> Dat
     last set, the first add after the last remove and the sums of the adds after them,
     all of which are plain aggregates.
     """
-    return _folded(cart, written(_steps(books, commands)))
+    return _folded(cart, _batch(cart, books, commands))
 
 
-def _folded(cart: DataFrame, steps: DataFrame) -> DataFrame:
-    valid = steps.filter(F.col("status") == OK)
-    adds = valid.filter(F.col("op") == "add").join(written(_refused(cart, steps)), "cmd_id", "left_anti")
+def _folded(cart: DataFrame, batch: _Batch) -> DataFrame:
+    valid = batch.steps.filter(F.col("status") == OK)
+    adds = valid.filter(F.col("op") == "add").join(batch.refused, "cmd_id", "left_anti")
     others = valid.filter(F.col("op") != "add")
     at = F.struct("ts", "cmd_id")
     marks = others.groupBy(*KEY).agg(
@@ -327,7 +351,7 @@ def _folded(cart: DataFrame, steps: DataFrame) -> DataFrame:
         _first_add(after_remove).alias("_new"),
     )
     folded = written(added.join(marks, KEY, "full_outer"))
-    keys = folded.join(_stored(cart, folded), KEY, "left")
+    keys = folded.join(batch.stored, KEY, "left")
     kept = F.col("_keep").isNotNull() & F.col("_removed").isNull()
     founded = F.col("_new").isNotNull()
     set_counts = (
@@ -346,7 +370,7 @@ def _folded(cart: DataFrame, steps: DataFrame) -> DataFrame:
             "_keep": F.when(kept, F.col("_keep")),
         }
     )
-    return _apply(cart, touched.withColumn("_qty", F.when(F.col("_exists"), F.col("_qty"))))
+    return _apply(cart, touched.withColumn("_qty", F.when(F.col("_exists"), F.col("_qty"))), batch.owners)
 
 
 def fold_results(cart: DataFrame, books: DataFrame, commands: DataFrame) -> DataFrame:
@@ -355,18 +379,17 @@ def fold_results(cart: DataFrame, books: DataFrame, commands: DataFrame) -> Data
     An add is ``ok`` exactly if ``fold_commands`` counts it.  A set or remove finds its row if the last add or remove of
     the key before it was an add or, where there was none, if the cart holds the key.
     """
-    return _fold_results(cart, written(_steps(books, commands)))
+    return _fold_results(_batch(cart, books, commands))
 
 
-def _fold_results(cart: DataFrame, steps: DataFrame) -> DataFrame:
-    every = steps.select("cmd_id", "user_id", "book_id", "op", "ts", "status")
+def _fold_results(batch: _Batch) -> DataFrame:
+    every = batch.steps.select("cmd_id", "user_id", "book_id", "op", "ts", "status")
     founding = (F.col("status") == OK) & F.col("op").isin("add", "remove")
     at = F.when(founding, F.struct("ts", "cmd_id", "op"))
     followed = running(every, KEY, ["ts", "cmd_id"], at, latest=True)
-    held = cart.join(written(every.select(*KEY).distinct()), KEY, "left_semi").select(*KEY).distinct().withColumn("_held", F.lit(True))
-    seen = followed.join(written(held), KEY, "left")
+    seen = followed.join(batch.stored.select(*KEY, F.lit(True).alias("_held")), KEY, "left")
     there = F.when(F.col("before").isNull(), F.coalesce("_held", F.lit(False))).otherwise(F.col("before.op") == "add")
-    refused = written(_refused(cart, steps)).withColumn("_refused", F.lit(True))
+    refused = batch.refused.withColumn("_refused", F.lit(True))
     status = (
         F.when(F.col("_refused"), INVALID)
         .when((F.col("op") != "add") & (F.col("status") == OK) & ~there, NOT_FOUND)
@@ -377,8 +400,8 @@ def _fold_results(cart: DataFrame, steps: DataFrame) -> DataFrame:
 
 def fold(cart: DataFrame, books: DataFrame, commands: DataFrame) -> CartChange:
     """``fold_commands`` and ``fold_results`` of the same batch."""
-    steps = written(_steps(books, commands))
-    return CartChange(_folded(cart, steps), _fold_results(cart, steps))
+    batch = _batch(cart, books, commands)
+    return CartChange(_folded(cart, batch), _fold_results(batch))
 
 
 def line_subtotals(rows: DataFrame, price: str = "unit_price") -> DataFrame:

@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from quire.llm import divergence
+from quire.operators import cart as C
 from quire.operators import catalog
 from quire.operators import orders as O
 from quire.operators import quality as Q
@@ -44,6 +45,25 @@ def test_starts_of_parts_are_few(spark, monkeypatch):
     assert kept[1].count() < 200
 
 
+def test_rows_of_other_users_are_not_shuffled_for_a_batch(spark):
+    adds = V.commands(spark, BASE).filter("op = 'add'")
+    text = plan(C.add_to_cart(V.cart(spark, BASE), V.books(spark, BASE), adds).cart)
+    assert "LeftAnti" in text and "LeftSemi" in text
+
+
+def test_the_cart_is_looked_up_once_for_a_mixed_batch(spark, monkeypatch):
+    calls, stored = [], C._stored
+    monkeypatch.setattr(C, "_stored", lambda *a: calls.append(1) or stored(*a))
+    C.fold(V.small_cart(spark, BASE), V.small_books(spark, BASE), V.small_commands(spark, BASE))
+    assert len(calls) == 1
+
+
+def test_owners_are_told_once(spark):
+    asked = spark.createDataFrame([("1",)] * 50 + [("2",), (None,)], "user_id string")
+    assert C._owners(asked).count() == 3
+    assert "Scan ExistingRDD" not in plan(C.cart_view(V.cart(spark, BASE), asked))
+
+
 def test_deleted_users_are_read_from_a_small_table(spark):
     tables = {"users": V.users(spark, BASE), "cart_items": V.cart(spark, BASE), "orders": V.orders(spark, BASE), "order_items": V.items(spark, BASE)}
     gone = spark.createDataFrame([("1",)] * 5 + [(None,)], "id string")
