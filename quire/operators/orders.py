@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import cached_property
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -214,37 +215,75 @@ def _retotal(orders: DataFrame, items: DataFrame, touched: DataFrame) -> DataFra
     )
 
 
-def update_quantities(orders: DataFrame, items: DataFrame, commands: DataFrame) -> LineChange:
-    """Set line quantities (last valid command of a line counts) and the totals of
-    the orders concerned."""
-    item_id, qty = X.text_or_null("order_item_id"), X.quantity_or_null("quantity")
-    parsed = commands.select("cmd_id", "user_id", item_id.alias("order_item_id"), qty.alias("qty"), "ts")
-    bad = F.col("order_item_id").isNull() | F.col("qty").isNull()
-    hits = written(_own_lines(parsed.filter(~bad), items, orders, ["order_item_id"]))
-    last = hits.groupBy(F.col("order_item_id").alias("id")).agg(
-        F.max_by("qty", F.struct("ts", "cmd_id")).alias("_qty")
-    )
-    changed = (
+class QuantityChange:
+    """Like ``LineChange``, but each part is planned when it is asked for: the lines alone need no table of hits."""
+
+    def __init__(self, orders: DataFrame, items: DataFrame, commands: DataFrame) -> None:
+        item_id, qty = X.text_or_null("order_item_id"), X.quantity_or_null("quantity")
+        self._orders, self._items = orders, items
+        self._parsed = commands.select("cmd_id", "user_id", item_id.alias("order_item_id"), qty.alias("qty"), "ts")
+        self._bad = F.col("order_item_id").isNull() | F.col("qty").isNull()
+        self._valid = self._parsed.filter(~self._bad)
+
+    @cached_property
+    def items(self) -> DataFrame:
+        return _with_quantities(self._items, _last_sets(self._valid, self._items, self._orders))
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        own = _own_lines(self._valid, self._items, self._orders, ["order_item_id"])
+        hits = written(own.select("order_id", "order_item_id", "cmd_id", "ts", "qty"))
+        last = hits.groupBy(F.col("order_item_id").alias("id")).agg(_last_quantity())
+        return _retotal(self._orders, _with_quantities(self._items, last), hits.select("order_id").distinct())
+
+    @cached_property
+    def results(self) -> DataFrame:
+        hits = _own_lines(self._valid, self._items, self._orders, ["order_item_id"])
+        hit = hits.select("cmd_id", F.lit(True).alias("_hit"))
+        status = F.when(self._bad, INVALID).when(F.col("_hit"), OK).otherwise(NOT_FOUND)
+        return (
+            self._parsed.join(hit, "cmd_id", "left")
+            .withColumn("status", status)
+            .select("cmd_id", "user_id", "status", F.when(F.col("status") == OK, 1).otherwise(0).alias("affected_rows"))
+        )
+
+
+def _last_quantity() -> Column:
+    return F.max_by("qty", F.struct("ts", "cmd_id")).alias("_qty")
+
+
+def _last_sets(commands: DataFrame, items: DataFrame, orders: DataFrame) -> DataFrame:
+    """Per line (id) that its order's user sets: the quantity of the last command.
+
+    Lines get their owner first, by order; then lines and commands are shuffled by the line's id, and stay there for the
+    last command and for a join with the lines.  The owner is compared as a list of one: as a second join key it would
+    cost another shuffle.  The commands of one line pass through one task, one at a time.
+    """
+    owners = orders.select(F.col("id").alias("order_id"), F.col("user_id").alias("_owner"))
+    lines = items.select(F.col("id").alias("order_item_id"), "order_id").join(owners, "order_id")
+    own = F.array_contains(F.array("_owner"), F.col("user_id"))
+    hits = commands.join(lines.select("order_item_id", "_owner"), "order_item_id").filter(own)
+    return hits.groupBy(F.col("order_item_id").alias("id")).agg(_last_quantity())
+
+
+def _with_quantities(items: DataFrame, last: DataFrame) -> DataFrame:
+    total = (F.col("unit_price") * F.col("_qty")).cast(X.WIDE_MONEY)
+    return (
         items.join(last, "id", "left")
         .withColumns(
             {
                 "quantity": F.coalesce("_qty", "quantity"),
-                "line_total": F.when(
-                    F.col("_qty").isNotNull(), (F.col("unit_price") * F.col("_qty")).cast(X.WIDE_MONEY)
-                ).otherwise(F.col("line_total")),
+                "line_total": F.when(F.col("_qty").isNotNull(), total).otherwise(F.col("line_total")),
             }
         )
         .select(*items.columns)
     )
-    hit = hits.select("cmd_id", F.lit(True).alias("_hit"))
-    status = F.when(bad, INVALID).when(F.col("_hit"), OK).otherwise(NOT_FOUND)
-    results = (
-        parsed.join(hit, "cmd_id", "left")
-        .withColumn("status", status)
-        .select("cmd_id", "user_id", "status", F.when(F.col("status") == OK, 1).otherwise(0).alias("affected_rows"))
-    )
-    touched = hits.select("order_id").distinct()
-    return LineChange(_retotal(orders, changed, touched), changed, results)
+
+
+def update_quantities(orders: DataFrame, items: DataFrame, commands: DataFrame) -> QuantityChange:
+    """Set line quantities (last valid command of a line counts) and the totals of
+    the orders concerned."""
+    return QuantityChange(orders, items, commands)
 
 
 def delete_items(orders: DataFrame, items: DataFrame, commands: DataFrame) -> LineChange:

@@ -171,7 +171,7 @@ u_items AS (SELECT i.* REPLACE (coalesce(l.qty, i.quantity) AS quantity,
 _LINE_VIEWS = "v_orders v_items v_line_commands"
 
 
-def _sets(spark: SparkSession, base: str) -> O.LineChange:
+def _sets(spark: SparkSession, base: str) -> O.QuantityChange:
     sets = V.line_commands(spark, base).filter("op = 'set'")
     return O.update_quantities(V.orders(spark, base), V.items(spark, base), sets)
 

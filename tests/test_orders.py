@@ -94,6 +94,25 @@ def test_set_line_quantity(spark):
     assert by(change.orders, "id", "total_amount") == {"o1": Decimal("120.00"), "o2": Decimal("1.00")}
 
 
+def test_set_quantity_of_lines_and_orders_that_repeat(spark):
+    heads = orders(spark, order("o1"), order("o1"), order("o1", user="u2"), order("o2", user="u3"), order("o3", user=None), order(None))
+    lines = items(spark, item("i1", "o1"), item("i1", "o1", 5), item("i1", "o2"), item("i2", "o3"), item("i3", None), item("i4", "o9"), item(None, "o1"))
+    change = O.update_quantities(
+        heads,
+        lines,
+        commands(
+            spark, command("k1", "i1", quantity="2"), command("k2", "i1", user="u2", quantity="3", minute=1), command("k3", "i1", user="u3", quantity="4", minute=1),
+            command("k4", "i1", user="u4", quantity="9", minute=9), command("k5", "i2", user=None, quantity="9"), command("k6", "i3", quantity="9"),
+            command("k7", "i4", quantity="9"), command("k8", None, quantity="9"),
+        ),
+    )
+    got = sorted((str(r["id"]), str(r["order_id"]), r["quantity"]) for r in change.items.collect())
+    untouched = sorted((str(r["id"]), str(r["order_id"]), r["quantity"]) for r in lines.filter("id is null or id <> 'i1'").collect())
+    assert got == sorted([("i1", "o1", 4), ("i1", "o1", 4), ("i1", "o2", 4), *untouched])
+    status = {(r["cmd_id"], r["status"]) for r in change.results.collect()}
+    assert status == {(f"k{i}", "ok" if i < 4 else "invalid" if i == 8 else "not_found") for i in range(1, 9)}
+
+
 def test_remove_lines(spark):
     heads = orders(spark, order("o1"), order("o2", total="60.00"), order("o3", user="u2"))
     lines = items(spark, item("i1", "o1"), item("i2", "o1"), item("i3", "o2"), item("i4", "o2", 1, "5.00"), item("i5", "o3"))

@@ -64,6 +64,19 @@ def test_owners_are_told_once(spark):
     assert "Scan ExistingRDD" not in plan(C.cart_view(V.cart(spark, BASE), asked))
 
 
+def test_changed_lines_need_no_table_of_hits(spark, monkeypatch):
+    monkeypatch.setattr(O, "written", lambda df: 1 / 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sets = V.line_commands(spark, BASE).filter("op = 'set'")
+        text = plan(O.update_quantities(V.orders(spark, BASE), V.items(spark, BASE), sets).items)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # Two for the commands' own join, by order lines and owners, by line commands, owned lines and lines.
+    assert text.count("Exchange hashpartitioning") == 7
+
+
 def test_deleted_users_are_read_from_a_small_table(spark):
     tables = {"users": V.users(spark, BASE), "cart_items": V.cart(spark, BASE), "orders": V.orders(spark, BASE), "order_items": V.items(spark, BASE)}
     gone = spark.createDataFrame([("1",)] * 5 + [(None,)], "id string")
